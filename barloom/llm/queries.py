@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import exact, mixing
+from barloom.llm import exact, mixing, mpeg, packing, quality
 from barloom.llm.common import documents
 
 
@@ -16,5 +17,17 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).drop("copies")
 
 
-QUERIES = {f.__name__: f for f in (op5_exact_dedup, op7_mixing)}
+def op9_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpeg.stored_text(documents(spark, sf_dir))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op5_exact_dedup, op7_mixing, op9_mpeg_audio, op10_packing)}
 ORACLES = {"op5_exact_dedup": exact.ORACLE, "op7_mixing": mixing.ORACLE}
