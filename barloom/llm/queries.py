@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import exact, mixing, mpeg, packing, quality
+from barloom.llm import exact, licenses, mixing, mpeg, packing, quality, secrets
 from barloom.llm.common import documents
 
 
@@ -29,5 +29,13 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op5_exact_dedup, op7_mixing, op9_mpeg_audio, op10_packing)}
-ORACLES = {"op5_exact_dedup": exact.ORACLE, "op7_mixing": mixing.ORACLE}
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_licenses, op5_exact_dedup, op7_mixing, op8_secrets, op9_mpeg_audio, op10_packing)}
+ORACLES = {"op2_licenses": licenses.oracle(), "op5_exact_dedup": exact.ORACLE, "op7_mixing": mixing.ORACLE}
