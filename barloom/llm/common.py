@@ -20,13 +20,25 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back, so a lost executor never costs its lineage."""
+#: Rows of at most a few numbers each that may be broadcast, some tens of MB.
+SMALL_ROWS = 1_000_000
+
+
+def materialize(df: DataFrame, name: str = "step", few: bool = False) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back, so a lost executor never costs its lineage.
+
+    few: df has a few numbers a row; each core writes one file, where shuffle partitions would make many small ones.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(max(8, df.sparkSession.sparkContext.defaultParallelism)) if few else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(table: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """A materialized table of narrow rows, marked for broadcast if it has no more than `rows` rows."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())

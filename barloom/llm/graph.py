@@ -5,25 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import materialize
+from barloom.llm.common import materialize, small
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges(a, b): the smallest node it is connected with.
 
-    Each round takes the smallest label among the neighbours, then the label's own label (pointer jumping), so the
-    number of rounds grows with the logarithm of the longest path. Both tables of each join are plain scans, which lets
-    AQE split a hub's rows.
+    Each round takes every label's own label (pointer jumping) and then the smallest among the neighbours', for
+    itself and for the node that was its label, so the number of rounds grows with the logarithm of the longest path. Labels are broadcast while they are few (see `small`); beyond
+    that both sides of each join are plain scans, which lets AQE split a hub's rows.
     """
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b"), F.col("a"))).filter("u <> v")
-    both = materialize(both.distinct(), "edges")
-    labels = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "labels")
+    ways = F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))))
+    both = materialize(edges.select(ways.alias("e")).select("e.*").filter("u <> v").distinct(), "edges", few=True)
+    labels = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label"))
+    labels = materialize(labels, "labels", few=True)
     while True:
-        near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("label").alias("m"))
-        new = labels.join(near.withColumnRenamed("u", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        new = materialize(new, "labels")
-        up = new.select(F.col("node").alias("label"), F.col("label").alias("upper"))
-        new = materialize(new.join(up, "label", "left").select("node", "old", F.coalesce("upper", "label").alias("label")), "labels")
+        up = small(labels).select(F.col("node").alias("label"), F.col("label").alias("upper"))
+        jumped = labels.join(up, "label", "left").select("node", F.coalesce("upper", "label").alias("label"))
+        jumped = materialize(jumped, "labels", few=True)
+        near = both.join(small(jumped.withColumnRenamed("node", "v")), "v").groupBy("u").agg(F.min("label").alias("m"))
+        known = small(jumped)
+        told = near.withColumnRenamed("u", "node").join(known, "node").select(F.explode(F.array("node", "label")).alias("node"), "m").groupBy("node").agg(F.min("m").alias("m"))
+        new = told.join(known, "node")
+        new = materialize(new.select("node", F.least("label", "m").alias("label"), (F.col("m") < F.col("label")).alias("moved")), "labels", few=True)
         labels = new.select("node", "label")
-        if new.filter("label <> old").isEmpty():
+        if new.filter("moved").isEmpty():
             return labels.withColumnRenamed("label", "component")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm import recompression as rc
-from barloom.llm.common import materialize
+from barloom.llm.common import materialize, small
 from barloom.llm.graph import components
 
 SHINGLE = 4
@@ -270,19 +270,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     postings = rows.mapInArrow(_posting_rows(k, percent), "key bigint, a bigint, b bigint")
     ties = postings.repartition("key").sortWithinPartitions("key").mapInArrow(_tie_rows, "a bigint, b bigint")
     clusters = components(ties)
-    sizes = materialize(clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "cluster-sizes")
+    sizes = materialize(clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "cluster-sizes", few=True)
     wanted = F.least(F.ceil(F.col("n") / block), F.lit(MOST_BLOCKS))
     blocks = F.greatest(wanted, F.ceil(F.col("n") / LARGEST_BLOCK)).cast("int")
-    members = clusters.join(sizes, "component").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = materialize(members.select(F.col("node").alias("doc"), F.col("component").alias("cluster"), "blocks", "own"), "members")
-    texts = rows.mapInArrow(_pressed, "doc bigint, pressed binary").join(members, "doc")
+    members = clusters.join(small(sizes), "component").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    members = materialize(members.select(F.col("node").alias("doc"), F.col("component").alias("cluster"), "blocks", "own"), "members", few=True)
+    texts = rows.mapInArrow(_pressed, "doc bigint, pressed binary").join(small(members), "doc")
     texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     texts = texts.select("cluster", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "doc", "pressed")
     grouped = texts.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
     linked = components(grouped.mapInArrow(_link_rows(k, percent), "a bigint, b bigint"))
     sized = rows.mapInArrow(_size_rows(k), "doc bigint, _id bigint, n_shingles bigint, twin bigint")
     linked = linked.withColumnsRenamed({"node": "twin", "component": "found"})
-    return sized.join(linked, "twin", "left").select("doc", "_id", "n_shingles", F.coalesce("found", "twin").alias("component"))
+    return sized.join(small(linked), "twin", "left").select("doc", "_id", "n_shingles", F.coalesce("found", "twin").alias("component"))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

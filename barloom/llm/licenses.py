@@ -65,9 +65,10 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phras
     spark = docs.sparkSession
     known = spark.createDataFrame(templates(phrases, notices, k), "template int, label string, phrase boolean, grams int, gram string, at int")
     known = F.broadcast(known.withColumn("h", F.xxhash64("gram")))
-    rows = docs.select(*_keys(id_col, text_col), words_of(F.col(text_col)).alias("_w")).filter(F.size("_w") >= k)
-    grams = F.transform(F.sequence(F.lit(0), F.size("_w") - k), lambda i: F.concat_ws(" ", *[F.get("_w", i + j) for j in range(k)]))
-    rows = rows.select("_id", "_text_key", F.posexplode(grams).alias("pos", "_gram")).withColumn("_h", F.xxhash64("_gram"))
+    # The words are bound as a lambda's variable: a column used inside one would be split anew for every position.
+    rolled = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0))), lambda i: F.concat_ws(" ", *[F.get(w, i + j) for j in range(k)]))
+    grams = F.transform(F.array(words_of(F.col(text_col))), rolled)[0]
+    rows = docs.select(*_keys(id_col, text_col), F.posexplode(grams).alias("pos", "_gram")).withColumn("_h", F.xxhash64("_gram"))
     hits = rows.join(known, (F.col("_h") == F.col("h")) & (F.col("_gram") == F.col("gram")))
     one = ["_id", "_text_key", "template", "label", "phrase", "grams"]
     diagonals = (
