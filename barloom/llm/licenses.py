@@ -38,7 +38,7 @@ NOTICES = {
     "cc-by": "this work is licensed under a creative commons attribution 4 0 international license",
     "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software",
 }
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def templates(phrases=PHRASES, notices=NOTICES, k: int = K) -> list[tuple[int, str, bool, int, str, int]]:
@@ -53,7 +53,8 @@ def templates(phrases=PHRASES, notices=NOTICES, k: int = K) -> list[tuple[int, s
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0))
+    """The words of a lower-cased text. Splitting is linear; extracting all matches copies the text for each."""
+    return F.array_remove(F.split(ascii_lower(text), NO_WORD), "")
 
 
 def _keys(id_col: str, text_col: str) -> list[Column]:
@@ -100,7 +101,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         F.array_join(F.array_sort(F.collect_set(F.when(phrase, F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"), F.max("coverage").alias("score"),
     ).withColumnsRenamed({"_id": "_fid", "_text_key": "_fkey"})
-    n_words = F.regexp_count(ascii_lower(F.col(text_col)), F.lit(WORD)).cast("long")
+    n_words = F.size(words_of(F.col(text_col))).cast("long")
     rows = docs.select(*_keys(id_col, text_col), n_words.alias("n_words"))
     rows = rows.join(found, F.col("_id").eqNullSafe(F.col("_fid")) & (F.col("_text_key") == F.col("_fkey")), "left")
     return rows.select(
