@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import exact, jaccard, licenses, mixing, mpeg, packing, quality, secrets, substrings
+from barloom.llm import exact, html_crf, jaccard, licenses, mixing, mpeg, packing, quality, secrets, substrings
 from barloom.llm.common import documents
 
 
@@ -45,8 +45,14 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents(spark, sf_dir))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality, op2_licenses, op3_substring_dedup, op4_jaccard_join, op5_exact_dedup, op7_mixing, op8_secrets, op9_mpeg_audio, op10_packing)
-}
+    for f in (
+        op1_quality, op2_licenses, op3_substring_dedup, op4_jaccard_join, op5_exact_dedup, op6_html_text, op7_mixing, op8_secrets, op9_mpeg_audio, op10_packing,
+    )
+}
 ORACLES = {"op2_licenses": licenses.oracle(), "op5_exact_dedup": exact.ORACLE, "op7_mixing": mixing.ORACLE}
