@@ -6,8 +6,9 @@ leaves room for empty parts, and a set with more empty parts than that room post
 missed. Each part is a posting; documents that share a posting are tied to the list's smallest member (never pair by
 pair), first inside each scanning block, then globally, and the ties' components hold every link.
 
-Links. The sets of a component are joined in blocks of at most `block` sets: a component of one block in one task, larger
-ones in block pairs (at most 32 blocks until blocks reach 20,000 sets). Inside, inverted lists are ordered by set size, so
+Links. The sets of a component are grouped by size bands, of which only neighbours can be linked, and joined band by band
+in blocks of at most `block` sets: a band of one block in one task, larger ones in block pairs (at most 32 blocks until
+blocks reach 20,000 sets). Inside, inverted lists are ordered by set size, so
 the blocks of a list whose sizes cannot reach the threshold are skipped by position; and a set's overlap counts are derived
 from those of the most similar set just computed, by the lists of the elements in which the two differ. Only links that
 join two parts not yet connected are emitted: at most one per set and block pair.
@@ -20,6 +21,8 @@ table; other columns are ignored by `join` and passed through by `one_of_each`.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -34,7 +37,7 @@ from barloom.llm.graph import components
 SHINGLE = 4
 PERCENT = 85
 CHUNK_BYTES = 3_000_000
-BLOCK, MOST_BLOCKS, LARGEST_BLOCK = 128, 32, 20_000
+BLOCK, MOST_BLOCKS, LARGEST_BLOCK = 192, 32, 20_000
 NO_ID = 1 << 62
 
 
@@ -235,7 +238,7 @@ def link_sets(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tupl
 
 
 def _link_rows(k: int, percent: int):
-    """From rows sorted by (cluster, x, y): the connecting links of each group's sets."""
+    """From rows sorted by group: the connecting links of each group's sets."""
 
     def linked(group):
         docs, press = dict(group), zstandard.ZstdDecompressor()
@@ -244,10 +247,10 @@ def _link_rows(k: int, percent: int):
     def run(batches):
         now, group, out = None, [], []
         for batch in batches:
-            for cluster, x, y, doc, pressed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (cluster, x, y) != now:
+            for which, doc, pressed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if which != now:
                     out += linked(group)
-                    now, group = (cluster, x, y), []
+                    now, group = which, []
                 group.append((doc, pressed))
             yield _edges(out)
             out = []
@@ -270,17 +273,23 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     postings = rows.mapInArrow(_posting_rows(k, percent), "key bigint, a bigint, b bigint")
     ties = postings.repartition("key").sortWithinPartitions("key").mapInArrow(_tie_rows, "a bigint, b bigint")
     clusters = components(ties)
-    sizes = materialize(clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "cluster-sizes", few=True)
+    sized = materialize(rows.mapInArrow(_size_rows(k), "doc bigint, _id bigint, n_shingles bigint, twin bigint"), "sizes")
+    ratio = 100 / (percent - 1)  # a little over the largest ratio of linked sizes, so that linked sets are at most one band apart
+    known = small(clusters.select(F.col("node").alias("doc"), F.col("component").alias("cluster")))
+    members = sized.filter("n_shingles > 0").select("doc", "n_shingles").distinct().join(known, "doc")
+    members = members.withColumn("own_band", F.floor(F.log("n_shingles") / math.log(ratio)).cast("int"))
+    members = materialize(members.withColumn("band", F.explode(F.array(F.col("own_band"), F.col("own_band") - 1))), "members", few=True)
+    counts = members.groupBy("cluster", "band").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("band") == F.col("own_band"), 1)).alias("n_own")).filter("n > 1 and n_own > 0")
+    counts = materialize(counts, "member-counts", few=True)
     wanted = F.least(F.ceil(F.col("n") / block), F.lit(MOST_BLOCKS))
     blocks = F.greatest(wanted, F.ceil(F.col("n") / LARGEST_BLOCK)).cast("int")
-    members = clusters.join(small(sizes), "component").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = materialize(members.select(F.col("node").alias("doc"), F.col("component").alias("cluster"), "blocks", "own"), "members", few=True)
-    texts = rows.mapInArrow(_pressed, "doc bigint, pressed binary").join(small(members), "doc")
+    placed = members.join(small(counts), ["cluster", "band"]).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    placed = materialize(placed.select("doc", "cluster", "band", "blocks", "own"), "placed", few=True)
+    texts = rows.mapInArrow(_pressed, "doc bigint, pressed binary").join(small(placed), "doc")
     texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    texts = texts.select("cluster", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "doc", "pressed")
-    grouped = texts.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
+    group = F.xxhash64("cluster", "band", F.least("own", "other"), F.greatest("own", "other"))
+    grouped = texts.select(group.alias("group"), "doc", "pressed").repartition("group").sortWithinPartitions("group")
     linked = components(grouped.mapInArrow(_link_rows(k, percent), "a bigint, b bigint"))
-    sized = rows.mapInArrow(_size_rows(k), "doc bigint, _id bigint, n_shingles bigint, twin bigint")
     linked = linked.withColumnsRenamed({"node": "twin", "component": "found"})
     return sized.join(small(linked), "twin", "left").select("doc", "_id", "n_shingles", F.coalesce("found", "twin").alias("component"))
 
