@@ -15,7 +15,7 @@ import re
 import numpy as np
 import regex
 
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 450_000
 LONG_WORD = 48
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
