@@ -52,6 +52,38 @@ _DIST = {
 _NEEDS = {**{k: [v] for k, v in _DIST.items()}, "relative_range_pct": ["atr_14"], **{f"atrp_14_{t}": ["atr_14"] for t in ("1m", "5m", "daily")}}
 
 
+#: Trading days of the multi-day frames.
+_DAYS = {"5d": 5, "10d": 10, "20d": 20, "3m": 63, "6m": 126, "1y": 252}
+
+
+def _high_low(days: str) -> tuple[Column, Column]:
+    """Highest and lowest price of that many days, today up to this bar included; null while fewer days are there."""
+    high, low = C(f"_high_{days}"), C(f"_low_{days}")
+    return F.when(high.isNotNull(), F.greatest(high, F.max("high").over(_today()))), F.when(low.isNotNull(), F.least(low, F.min("low").over(_today())))
+
+
+def _multi_day() -> dict[str, Callable[[], Column]]:
+    m: dict[str, Callable[[], Column]] = {f"change_pct_{n}d": lambda n=n: _pct(C("close"), C(f"_close_{n}d")) for n in (2, 5, 10, 20)}
+    for d in ("5d", "10d", "20d", "1y"):
+        high, low = _high_low(d)
+        m[f"range_{d}"] = lambda high=high, low=low: high - low
+        m[f"range_pct_{d}"] = lambda high=high, low=low: F.when(low > 0, (high - low) / low * 100)
+        m[f"position_in_range_{d}"] = lambda high=high, low=low: F.when(high > low, (C("close") - low) / (high - low) * 100)
+    for d in ("3m", "6m", "1y"):
+        m[f"biggest_range_{d}"] = lambda d=d: C(f"_biggest_{d}")
+    return m
+
+
+def _day_columns(order) -> dict[str, Column]:  # noqa: ANN001
+    """What the multi-day metrics take from earlier days; unused ones are pruned."""
+    full = lambda n, rows, value: F.when(F.count(F.lit(1)).over(rows) >= n, value.over(rows))
+    out = {f"_close_{n}d": F.lag("day_close", n).over(order) for n in (2, 5, 10, 20)}
+    for d, n in _DAYS.items():
+        out[f"_high_{d}"], out[f"_low_{d}"] = (full(n - 1, order.rowsBetween(1 - n, -1), v) for v in (F.max("day_high"), F.min("day_low")))
+        out[f"_biggest_{d}"] = full(n, order.rowsBetween(-n, -1), F.max(F.when(C("day_low") > 0, (C("day_high") - C("day_low")) / C("day_low") * 100)))
+    return out
+
+
 def catalogue() -> dict[str, Callable[[], Column]]:
     """name -> builder over bars with session, et_date, daily references and the indicators it needs."""
     m: dict[str, Callable[[], Column]] = {"price": lambda: C("close"), "volume_live": lambda: C("volume"), "vwap_live": lambda: F.when(C("volume") > 0, C("vwap")), "market_volume": lambda: F.sum(_in("market", C("volume"))).over(_today())}
@@ -101,7 +133,7 @@ def catalogue() -> dict[str, Callable[[], Column]]:
         m[f"trade_count_{n}m"] = lambda n=n: I.guard(n, F.sum("trade_count").over(I.rows(n)))
     for name in ("minutes_since_news", "hours_since_news", "days_since_news", "days_until_earnings"):
         m[name] = lambda name=name: C(name)
-    return m
+    return m | _multi_day()
 
 
 _custom: dict[str, tuple[Column, tuple[str, ...]]] = {}
@@ -115,10 +147,10 @@ def register_metric(name: str, column: Column, depends: Iterable[str] = ()) -> N
 
 
 def _with_references(bars: DataFrame) -> DataFrame:
-    days = B.daily(bars).select("symbol", "et_date", "today_open", "today_close", "yesterday_close", "day_volume")
+    days = B.daily(bars).select("symbol", "et_date", "today_open", "today_close", "yesterday_close", "day_volume", "day_high", "day_low", "day_close")
     order = Window.partitionBy("symbol").orderBy("et_date")
-    days = days.withColumns({f"_avg_volume_{n}d": F.when(F.count(F.lit(1)).over(order.rowsBetween(-n, -1)) >= n, F.avg("day_volume").over(order.rowsBetween(-n, -1))) for n in (5, 10, 20)})
-    return bars.join(days.drop("day_volume"), ["symbol", "et_date"])
+    days = days.withColumns({f"_avg_volume_{n}d": F.when(F.count(F.lit(1)).over(order.rowsBetween(-n, -1)) >= n, F.avg("day_volume").over(order.rowsBetween(-n, -1))) for n in (5, 10, 20)} | _day_columns(order))
+    return bars.join(days.drop("day_volume", "day_high", "day_low", "day_close"), ["symbol", "et_date"])
 
 
 def _with_candles(bars: DataFrame) -> DataFrame:
@@ -145,7 +177,7 @@ def with_metrics(bars: DataFrame, names: list[str], events: DataFrame | None = N
     df = bars.withColumn("session", S.market_session(C("ts"))).withColumn("et_date", S.et_date(C("ts")))
     if needs := sorted({x for n in names for x in _NEEDS.get(n, [])}):
         df = I.with_indicators(df, needs)
-    if any(n.startswith(tuple(_DAILY)) for n in names):
+    if any(n.startswith(tuple(_DAILY)) or n in _multi_day() for n in names):
         df = _with_references(df)
     if any(n.startswith("consecutive") for n in names):
         df = _with_candles(df)

@@ -175,6 +175,14 @@ metric_query("range_pct_n", {f"range_pct_{n}m": G(n, f"CASE WHEN {LO(W(n))} > 0
 metric_query("range_today", {"range_today": f"{HI(DAY)} - {LO(DAY)}", "range_pct_today": f"CASE WHEN {LO(DAY)} > 0 THEN ({HI(DAY)} - {LO(DAY)}) / {LO(DAY)} * 100 END"})
 POS = lambda w: f"CASE WHEN {HI(w)} > {LO(w)} THEN (close - {LO(w)}) / ({HI(w)} - {LO(w)}) * 100 END"
 metric_query("position_in_range", {**{f"position_in_range_{n}m": G(n, POS(W(n))) for n in (2, 5, 15, 30, 60)}, "position_in_range_today": POS(DAY)})
+_DAYS = {"5d": 5, "10d": 10, "20d": 20}
+_PAST = "(PARTITION BY symbol ORDER BY et_date ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+_FULL = lambda n, e: f"CASE WHEN count(*) OVER {_PAST.format(n=n)} >= {n} THEN {e} OVER {_PAST.format(n=n)} END"
+MULTI = f"{WITH_REFS}, e AS (SELECT symbol, et_date, " + ", ".join(
+    [f"lag(day_close, {n}) OVER (PARTITION BY symbol ORDER BY et_date) AS c{n}" for n in (2, 5, 10, 20)] + [f"{_FULL(n - 1, 'max(day_high)')} AS h{d}, {_FULL(n - 1, 'min(day_low)')} AS l{d}" for d, n in _DAYS.items()]
+) + f" FROM d), w AS (SELECT x.*, {HI(DAY)} AS dh, {LO(DAY)} AS dl, e.* EXCLUDE (symbol, et_date) FROM x JOIN e USING (symbol, et_date)), z AS (SELECT *, " + ", ".join(f"CASE WHEN h{d} IS NOT NULL THEN greatest(h{d}, dh) END AS hi{d}, CASE WHEN l{d} IS NOT NULL THEN least(l{d}, dl) END AS lo{d}" for d in _DAYS) + " FROM w)"
+metric_query("change_pct_days", {f"change_pct_{n}d": pct("close", f"c{n}") for n in (2, 5, 10, 20)}, prelude=MULTI, source="z")
+metric_query("range_days", {"range_5d": "hi5d - lo5d", "range_10d": "hi10d - lo10d", "range_pct_20d": "CASE WHEN lo20d > 0 THEN (hi20d - lo20d) / lo20d * 100 END", **{f"position_in_range_{d}": f"CASE WHEN hi{d} > lo{d} THEN (close - lo{d}) / (hi{d} - lo{d}) * 100 END" for d in _DAYS}}, prelude=MULTI, source="z")
 ATR = f"t0 AS (SELECT *, greatest(high, coalesce(lag(close) OVER {ORD}, high)) - least(low, coalesce(lag(close) OVER {ORD}, low)) AS tr FROM x), t AS (SELECT *, {G(14, f'avg(tr) OVER {W(14)}')} AS atr_14 FROM t0)"
 metric_query("relative_range", {"relative_range_pct": f"({HI(DAY)} - {LO(DAY)}) / nullif(atr_14, 0) * 100"}, hour_bars, f"{HOUR}, {ATR}", "t")
 metric_query("atrp", {f"atrp_14_{t}": "CASE WHEN close > 0 THEN atr_14 / close * 100 END" for t in ("1m", "5m", "daily")}, prelude=f"{USER}, {ATR}", source="t")

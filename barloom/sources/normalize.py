@@ -16,7 +16,7 @@ FIELDS = sorted({*SYMBOLS, *PRICES, *SIZES, *TIMES, "T", "ev", "type", "bid", "a
 
 
 def _f(name: str) -> Column:
-    return F.get_json_object("_raw", f"$.{name}")
+    return F.col("_fields")[name]
 
 
 def _number(name: str) -> Column:
@@ -37,9 +37,10 @@ def normalize(messages: DataFrame, raw_col: str = "raw", provider_col: str | Non
     """messages' columns plus symbol, ts, price, size, type, bid, ask and `reason` (null for good ticks).
 
     The shape is told by provider_col (alpaca, polygon, mock, generic) or, without it, by the fields present. Where
-    ingest_col is given it stands in for an unreadable timestamp; otherwise such a message is rejected.
+    ingest_col is given it stands in for an unreadable timestamp; otherwise such a message is rejected. Each message is
+    parsed once, to a map of its fields as text (names differ in case, so a struct would be ambiguous).
     """
-    df = messages.withColumn("_raw", F.col(raw_col))
+    df = messages.withColumn("_fields", F.from_json(raw_col, "map<string,string>"))
     sniffed = F.when(_f("T").isin("t", "q") & _f("S").isNotNull(), "alpaca").when(_f("ev").isin("T", "Q"), "polygon").when(_f("symbol").isNotNull() & _f("price").isNotNull() & _f("timestamp").isNotNull(), "mock").otherwise("generic")
     df = df.withColumn("_shape", F.coalesce(F.lower(F.col(provider_col)), sniffed) if provider_col else sniffed)
     shape = F.col("_shape")
@@ -55,8 +56,7 @@ def normalize(messages: DataFrame, raw_col: str = "raw", provider_col: str | Non
         "*", pick(F.upper(_f("S")), _f("sym"), _f("symbol"), F.coalesce(*map(_f, SYMBOLS))).alias("symbol"), ts.alias("ts"), price.alias("price"), F.coalesce(size.cast("long"), F.lit(0)).alias("size"),
         F.when(quote, "quote").otherwise(F.coalesce(_f("type"), F.lit("trade"))).alias("type"), F.coalesce(_number("bp"), _number("bid")).alias("bid"), F.coalesce(_number("ap"), _number("ask")).alias("ask"),
     )
-    broken = F.get_json_object("_raw", "$").isNull()
-    return out.withColumn("reason", F.when(broken, "not JSON").otherwise(tick_fault())).drop("_raw", "_shape")
+    return out.withColumn("reason", F.when(F.col("_fields").isNull(), "not JSON").otherwise(tick_fault())).drop("_fields", "_shape")
 
 
 def split_normalized(messages: DataFrame, **named) -> tuple[DataFrame, DataFrame]:
