@@ -86,6 +86,9 @@ def test_word_bpe_equals_the_library():
     texts = ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(800)] + ["", "x" * 500, "don't I'LL we've"]
     want = [np.array(e.ids, "<u4").tobytes() for e in bpe.library.encode_batch(texts, add_special_tokens=False)]
     assert list(bpe.encode(texts)) == want
+    letters = list("aBbÉé's,.!_#(- \n12")
+    texts = ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(800)] + ["nul\x00. x\x7f. y", "A" * 300 + ".", "«a». ñ¿ ²!", "!" * 200_000 + "a"]
+    assert list(bpe.encode(texts)) == [np.array(e.ids, "<u4").tobytes() for e in bpe.library.encode_batch(texts, add_special_tokens=False)]
 
 
 def check_pieces(rows, docs, window):
