@@ -36,9 +36,14 @@ def live_bars(ticks: DataFrame, at, seconds: int = 60) -> DataFrame:
 
 def resample(bars: DataFrame, seconds: int) -> DataFrame:
     """Coarser bars from bars; vwap weighted by volume."""
+    return regroup(bars, start_of(F.col("ts"), seconds))
+
+
+def regroup(bars: DataFrame, start: Column) -> DataFrame:
+    """Coarser bars, one for each symbol and interval start."""
     volume = F.sum("volume")
     return (
-        bars.groupBy("symbol", start_of(F.col("ts"), seconds).alias("bar"))
+        bars.groupBy("symbol", start.alias("bar"))
         .agg(
             F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), volume.alias("volume"),
             F.when(volume == 0, 0.0).otherwise(F.sum(F.col("vwap") * F.col("volume")) / volume).alias("vwap"), F.sum("trade_count").alias("trade_count"),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from barloom.functions import sessions as S
 from barloom.operators import bars as B
 from barloom.operators import indicators as I
+from barloom.operators import timeframes as TF
 
 C = F.col
 
@@ -133,6 +134,10 @@ def catalogue() -> dict[str, Callable[[], Column]]:
         m[f"trade_count_{n}m"] = lambda n=n: I.guard(n, F.sum("trade_count").over(I.rows(n)))
     for name in ("minutes_since_news", "hours_since_news", "days_since_news", "days_until_earnings"):
         m[name] = lambda name=name: C(name)
+    for n in (1, 5, 15):
+        m[f"price_change_{n}m_either_pct"] = lambda n=n: F.coalesce(_pct(C("close"), _past(n)), I.price_change_range_pct(f"{n}m"))
+    for name in TF.NAMES:
+        m[name] = lambda name=name: C(name)
     return m | _multi_day()
 
 
@@ -168,13 +173,16 @@ _DAILY = {"change_from_close", "change_from_open", "gap_from_close", "avg_volume
 
 def with_metrics(bars: DataFrame, names: list[str], events: DataFrame | None = None) -> DataFrame:
     """bars with the named metrics only. events(symbol, event_ts, kind) feeds the news and earnings metrics."""
-    made = catalogue()
+    own_frame = [n for n in dict.fromkeys([*names, *[d for n in names if n in _custom for d in _custom[n][1]]]) if TF.parts(n)]
+    made = catalogue() | {n: lambda n=n: C(n) for n in own_frame}
     own = [n for n in names if n in _custom]
     names = list(dict.fromkeys([*[d for n in own for d in _custom[n][1]], *[n for n in names if n not in _custom]]))
     if unknown := [n for n in names if n not in made]:
         raise ValueError(f"unknown metrics {unknown}")
     keep = bars.columns
     df = bars.withColumn("session", S.market_session(C("ts"))).withColumn("et_date", S.et_date(C("ts")))
+    if own_frame:
+        df = TF.with_timeframes(df, own_frame)
     if needs := sorted({x for n in names for x in _NEEDS.get(n, [])}):
         df = I.with_indicators(df, needs)
     if any(n.startswith(tuple(_DAILY)) or n in _multi_day() for n in names):

@@ -223,6 +223,34 @@ query("macd", f"WITH RECURSIVE {USER}, {NUMBERED}, {_ema_sql('e12', 12, '2.0 / 1
 GAINS = f"q0 AS (SELECT *, close - lag(close) OVER {ORD} AS ch FROM x), q AS (SELECT symbol, ts, greatest(ch, 0) AS up, greatest(-ch, 0) AS dn, row_number() OVER {ORD} AS rn FROM q0 WHERE ch IS NOT NULL)"
 query("rsi", f"WITH RECURSIVE {USER}, {GAINS}, {_ema_sql('u', 14, '1.0 / 14', 'up')}, {_ema_sql('v', 14, '1.0 / 14', 'dn')} SELECT symbol, strftime(u.ts, '{TS}') AS ts, {r6('CASE WHEN v.v = 0 THEN 100 ELSE 100 - 100 / (1 + u.v / v.v) END')} AS rsi_14 FROM u JOIN v USING (symbol, rn)")(lambda s, d: final(I.with_indicators(user_bars(s, d), ["rsi_14"]).filter("rsi_14 is not null"), "symbol", "ts", "rsi_14"))
 
+# Own timeframes -------------------------------------------------------------------------------------------------------
+FRAMES = {"5m": "s - s % 300", "10m": "s - s % 600", "15m": "s - s % 900", "2h": "s - s % 7200", "4h": "s - s % 14400", "daily": "epoch(et_date)::BIGINT"}
+_COARSE = "SELECT symbol, {b} AS b, max(high) AS high, min(low) AS low, last(close ORDER BY ts) AS close FROM x GROUP BY ALL"
+_BY = "(PARTITION BY symbol ORDER BY b)"
+
+
+def _held(values: dict[str, str]) -> str:
+    """x with each timeframe's value of the interval before the bar's own. values: timeframe -> table of symbol, b, v."""
+    joins = " ".join(f"LEFT JOIN (SELECT symbol, b, lag(v) OVER {_BY} AS v{t} FROM {table}) h{t} ON h{t}.symbol = x.symbol AND h{t}.b = {FRAMES[t].replace('s ', 'x.s ').replace('et_date', 'x.et_date')}" for t, table in values.items())
+    return f"z AS (SELECT x.*, {', '.join(f'v{t}' for t in values)} FROM x {joins})"
+
+
+metric_query("change_pct_frames", {f"change_pct_{t}": pct("close", f"v{t}") for t in ("10m", "2h", "4h")}, prelude=f"{USER}, {_held({t: f'(SELECT symbol, b, close AS v FROM ({_COARSE.format(b=FRAMES[t])}))' for t in ('10m', '2h', '4h')})}", source="z")
+_FRAME_ATR = lambda t: f"(SELECT symbol, b, CASE WHEN count(*) OVER {W(14).replace('ts', 'b')} >= 14 THEN avg(tr) OVER {W(14).replace('ts', 'b')} END AS v FROM (SELECT *, greatest(high, coalesce(lag(close) OVER {_BY}, high)) - least(low, coalesce(lag(close) OVER {_BY}, low)) AS tr FROM ({_COARSE.format(b=FRAMES[t])})))"
+metric_query("atr_frames", {f"atr_14_{t}": f"v{t}" for t in ("5m", "daily")}, prelude=f"{USER}, {_held({t: _FRAME_ATR(t) for t in ('5m', 'daily')})}", source="z")
+
+
+def _frame_rsi(t: str) -> str:
+    gains = f"q{t} AS (SELECT symbol, b AS ts, greatest(ch, 0) AS up, greatest(-ch, 0) AS dn, row_number() OVER {_BY} AS rn FROM (SELECT *, close - lag(close) OVER {_BY} AS ch FROM ({_COARSE.format(b=FRAMES[t])})) WHERE ch IS NOT NULL)"
+    value = f"CASE WHEN d{t}.v = 0 THEN 100 ELSE 100 - 100 / (1 + u{t}.v / d{t}.v) END"
+    # Every interval has a row, so that lag finds the one before.
+    rows = f"r{t} AS (SELECT c.symbol, c.b, r.v FROM ({_COARSE.format(b=FRAMES[t])}) c LEFT JOIN (SELECT symbol, u{t}.ts AS b, {value} AS v FROM u{t} JOIN d{t} USING (symbol, rn)) r USING (symbol, b))"
+    return f"{gains}, {_ema_sql(f'u{t}', 14, '1.0 / 14', 'up', f'q{t}')}, {_ema_sql(f'd{t}', 14, '1.0 / 14', 'dn', f'q{t}')}, {rows}"
+
+
+metric_query("rsi_frames", {f"rsi_14_{t}": f"v{t}" for t in ("15m", "daily")}, prelude=f"RECURSIVE {USER}, {_frame_rsi('15m')}, {_frame_rsi('daily')}, {_held({t: f'r{t}' for t in ('15m', 'daily')})}", source="z")
+metric_query("price_change_either", {f"price_change_{n}m_either_pct": f"coalesce({pct('close', f'lag(close, {n}) OVER {ORD}')}, CASE WHEN count(*) OVER {RANGE(n * 60)} >= 2 THEN CASE WHEN {FIRST(n * 60)} = 0 THEN 0 ELSE (close - {FIRST(n * 60)}) / {FIRST(n * 60)} * 100 END END)" for n in (1, 5, 15)})
+
 # As-of joins and attributes -------------------------------------------------------------------------------------------
 _EVENTS = "n AS (SELECT user_id::VARCHAR AS symbol, floor(epoch(ts))::BIGINT AS es FROM events WHERE event_type = 'error')"
 query("news_asof", f"WITH {USER}, {_EVENTS}, j AS (SELECT x.symbol, x.ts, x.s - n.es AS age FROM x ASOF LEFT JOIN n ON x.symbol = n.symbol AND x.s >= n.es) SELECT symbol, {STAMP}, {r6('CASE WHEN age <= 86400 THEN age / 60.0 END')} AS minutes_since_news, {r6('CASE WHEN age <= 259200 THEN age / 86400.0 END')} AS days_since_news FROM j")(
