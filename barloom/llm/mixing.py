@@ -83,7 +83,8 @@ def thresholds(sizes: DataFrame, wanted: DataFrame, bits: int = BITS, levels: in
             edge.alias("e").join(crossing.alias("c"), F.col("e.source").eqNullSafe(F.col("c.source")), "left")
             .select(
                 F.col("e.source").alias("source"), "source_size", "target", "times",
-                F.coalesce("still", F.lit(0.0)).alias("need"), F.coalesce("bucket", F.lit(0)).alias("prefix"), F.coalesce("words", F.lit(0)).alias("mass"),
+                # A budget met exactly at an earlier level crosses nothing more: its threshold stays, at this level's depth.
+                F.coalesce("still", F.lit(0.0)).alias("need"), F.coalesce("bucket", F.shiftleft("prefix", bits)).alias("prefix"), F.coalesce("words", F.lit(0)).alias("mass"),
             )
         )
         edge = materialize(edge.select(*keep), "mix-edge")
