@@ -114,39 +114,28 @@ def _chunks(batches):
         yield block
 
 
-def _size_rows(k: int):
-    """(doc, id, shingles, twin): twin is the smallest document of the block with the same set."""
+def _set_rows(k: int, percent: int):
+    """(key, a, b, id, shingles). With a key: a posting of document a (b is null), or a tie of a and b found inside the
+    block. Without one: document a, its id and size, and as b its twin, the smallest document of the block with the same
+    set, whose postings are in the same table: both come from one cut of the scan into blocks."""
 
     def run(batches):
+        parts = Parts(percent)
         for block in _chunks(batches):
             sets = shingle_sets([r for _, r, _ in block], k)
-            twins: dict[bytes, int] = {}
             marks = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b"%d" % i for i, s in enumerate(sets)]
-            for mark, (key, _, _) in zip(marks, block, strict=True):
-                twins[mark] = min(twins.get(mark, key), key)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([b[0] for b in block], pa.int64()), pa.array([b[2] for b in block], pa.int64()),
-                pa.array([len(s) for s in sets], pa.int64()), pa.array([twins[m] for m in marks], pa.int64()),
-            ], names=["doc", "_id", "n_shingles", "twin"])
-
-    return run
-
-
-def _posting_rows(k: int, percent: int):
-    """(key, a, b): a posting of document a (b is null), or a tie of a and b found inside the block."""
-
-    def run(batches):
-        parts = Parts(percent)
-        for block in _chunks(batches):
             first: dict[bytes, tuple[int, np.ndarray]] = {}
-            for (key, _, _), s in zip(block, shingle_sets([r for _, r, _ in block], k), strict=True):
-                if len(s):
-                    mark = xxhash.xxh3_128_digest(s.tobytes())
-                    first[mark] = (min(key, first[mark][0]) if mark in first else key, s)
-            if not first:
+            for mark, (key, _, _), s in zip(marks, block, sets, strict=True):
+                first[mark] = (min(key, first[mark][0]) if mark in first else key, s)
+            yield _set_batch(
+                pa.nulls(len(block), pa.int64()), [d for d, _, _ in block], pa.array([first[m][0] for m in marks], pa.int64()),
+                pa.array([i for _, _, i in block], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+            )
+            posted = [(d, s) for d, s in first.values() if len(s)]
+            if not posted:
                 continue
-            made = [parts.keys(s) for _, s in first.values()]
-            keys, docs = np.concatenate(made), np.repeat(np.array([d for d, _ in first.values()], np.int64), [len(m) for m in made])
+            made = [parts.keys(s) for _, s in posted]
+            keys, docs = np.concatenate(made), np.repeat(np.array([d for d, _ in posted], np.int64), [len(m) for m in made])
             order = np.lexsort((docs, keys))
             keys, docs = keys[order], docs[order]
             heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -154,11 +143,16 @@ def _posting_rows(k: int, percent: int):
             ties = np.unique(np.stack([hub, docs], 1)[hub != docs], axis=0)
             b = pa.array(np.r_[np.zeros(len(heads), np.int64), ties[:, 1]], mask=np.r_[np.ones(len(heads), bool), np.zeros(len(ties), bool)])
             spread = rc.mix(ties[:, 0].astype(np.uint64) ^ rc.mix(ties[:, 1].astype(np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[keys[heads], spread].view(np.int64)), pa.array(np.r_[docs[heads], ties[:, 0]]), b], names=["key", "a", "b"])
+            none = pa.nulls(len(b), pa.int64())
+            yield _set_batch(np.r_[keys[heads], spread].view(np.int64), np.r_[docs[heads], ties[:, 0]], b, none, none)
 
     return run
 
 
+def _set_batch(key, a, b, ids, n):
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(a, pa.int64()), b, ids, n], names=["key", "a", "b", "_id", "n_shingles"])
+
+
 def _tie_rows(batches):
     """From postings sorted by key: each member of a list tied to the list's first."""
     last, hub = None, 0
@@ -270,10 +264,12 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """(doc, _id, n_shingles, component): component is the smallest document key reachable by links."""
     rows = _rows(docs, id_col, text_col)
-    postings = rows.mapInArrow(_posting_rows(k, percent), "key bigint, a bigint, b bigint")
+    # One pass, stored: a second scan may cut other blocks, and twins there would not be those that were posted here.
+    found = materialize(rows.mapInArrow(_set_rows(k, percent), "key bigint, a bigint, b bigint, _id bigint, n_shingles bigint"), "sets")
+    postings = found.filter("key is not null").select("key", "a", "b")
     ties = postings.repartition("key").sortWithinPartitions("key").mapInArrow(_tie_rows, "a bigint, b bigint")
     clusters = components(ties)
-    sized = materialize(rows.mapInArrow(_size_rows(k), "doc bigint, _id bigint, n_shingles bigint, twin bigint"), "sizes")
+    sized = found.filter("key is null").select(F.col("a").alias("doc"), "_id", "n_shingles", F.col("b").alias("twin"))
     ratio = 100 / (percent - 1)  # a little over the largest ratio of linked sizes, so that linked sets are at most one band apart
     known = small(clusters.select(F.col("node").alias("doc"), F.col("component").alias("cluster")))
     members = sized.filter("n_shingles > 0").select("doc", "n_shingles").distinct().join(known, "doc")
