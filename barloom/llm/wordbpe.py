@@ -3,7 +3,7 @@
 The tokenizers library is the reference; here its file's merges are applied to many words at once with numpy, and each
 white-space-delimited word is encoded once per worker and cached, which its pre-tokenizer allows (it drops white space
 and never joins across it). Words beyond printable ASCII and Latin-1 letters, or very long ones, and texts with the
-control characters that only Python splits on, go to the library itself.
+control characters that only Python splits on or with an added token's content, go to the library itself.
 """
 
 from __future__ import annotations
@@ -51,7 +51,9 @@ class WordBpe:
 
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model = file["model"]
+        self.added = [t["content"] for t in file.get("added_tokens", [])]
         vocab, end = model["vocab"], model["end_of_word_suffix"]
         chars = _byte_chars()
         self.inner = np.array([vocab[c] for c in chars], np.int64)
@@ -142,11 +144,10 @@ class WordBpe:
                 group, size = [], 0
         yield from self._encode(group, known)
 
-    @staticmethod
-    def _words(text: str) -> list[str] | None:
+    def _words(self, text: str) -> list[str] | None:
         """Words to look up, or None for the library. Closing punctuation is a pre-token of its own, so it is set apart
         and the text lower-cased, where its letters allow that: far fewer different words are left."""
-        if _ODD_SPACE.search(text):
+        if _ODD_SPACE.search(text) or any(t in text for t in self.added):
             return None
         return text.split() if _BEYOND.search(text) else _CLOSING.sub(r" \g<0>", text.lower()).split()
 
