@@ -8,8 +8,8 @@ pair), first inside each scanning block, then globally, and the ties' components
 
 Links. The sets of a component are grouped by size bands, of which only neighbours can be linked, and joined band by band
 in blocks of at most `block` sets: a band of one block in one task, larger ones in block pairs (at most 32 blocks until
-blocks reach 20,000 sets). Inside, inverted lists are ordered by set size, so
-the blocks of a list whose sizes cannot reach the threshold are skipped by position; and a set's overlap counts are derived
+blocks reach 20,000 sets or 2,000,000 shingles, whichever comes first). Inside, inverted lists are ordered by set size, so
+the parts of a list whose sizes cannot reach the threshold are skipped by position; and a set's overlap counts are derived
 from those of the most similar set just computed, by the lists of the elements in which the two differ. Only links that
 join two parts not yet connected are emitted: at most one per set and block pair.
 
@@ -38,6 +38,7 @@ SHINGLE = 4
 PERCENT = 85
 CHUNK_BYTES = 3_000_000
 BLOCK, MOST_BLOCKS, LARGEST_BLOCK = 192, 32, 20_000
+LARGEST_SHINGLES = 2_000_000
 NO_ID = 1 << 62
 
 
@@ -194,7 +195,8 @@ def link_sets(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tupl
     own = [tokens[b - n : b] for n, b in zip(sizes.tolist(), stops.tolist(), strict=True)]
     owner = np.repeat(np.arange(len(order)), sizes)
     by = np.argsort(tokens, kind="stable")
-    members, heads = owner[by], np.r_[0, np.cumsum(np.bincount(tokens))]
+    members = owner[by]
+    listed = tokens[by].astype(np.int64) * len(order) + members  # ascending: lists by token, each by set number
     parent = list(range(len(order)))
 
     def root(x):
@@ -205,24 +207,26 @@ def link_sets(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tupl
 
     def counted(which, low, high):
         """How often each set with a number in [low, high) stands in the lists of these tokens."""
-        if not len(which):
-            return np.zeros(high - low, np.int64)
-        held = np.concatenate([members[heads[t] : heads[t + 1]] for t in which.tolist()])
-        held = held[(held >= low) & (held < high)]
-        return np.bincount(held - low, minlength=high - low)
+        heads = np.searchsorted(listed, which * len(order) + low)
+        n = np.searchsorted(listed, which * len(order) + high) - heads
+        at = np.repeat(heads - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(members[at] - low, minlength=high - low)
 
-    links, before, counts = [], None, None
+    links, before, counts, least, most = [], None, None, 0, 0
     for i in sorted(range(len(order)), key=lambda i: (int(own[i][0]), int(own[i][-1]), len(own[i]))):
+        low = int(np.searchsorted(sizes, -(-percent * sizes[i] // 100)))
+        high = int(np.searchsorted(sizes, sizes[i] * 100 // percent, "right"))
         if before is not None:
             gone, come = np.setdiff1d(own[before], own[i], True), np.setdiff1d(own[i], own[before], True)
-        if before is not None and len(gone) + len(come) < len(own[i]) // 2:
-            counts = counts - counted(gone, 0, len(order)) + counted(come, 0, len(order))
+        if before is not None and least <= low and high <= most and len(gone) + len(come) < len(own[i]) // 2:
+            counts = counts - counted(gone, least, most) + counted(come, least, most)
         else:
-            counts = counted(own[i], 0, len(order))
+            # A little more than this set's sizes, so that the next set's are mostly among them.
+            least = int(np.searchsorted(sizes, percent * sizes[i] * 19 // 2000))
+            most = int(np.searchsorted(sizes, sizes[i] * 2100 // (20 * percent), "right"))
+            counts = counted(own[i], least, most)
         before = i
-        low = int(np.searchsorted(sizes, -(-percent * sizes[i] // 100)))
-        high = int(np.searchsorted(sizes, sizes[i] * 100 // percent, "right"))
-        near = counts[low:high]
+        near = counts[low - least : high - least]
         for j in (np.flatnonzero((100 + percent) * near >= percent * (sizes[low:high] + sizes[i])) + low).tolist():
             a, b = root(i), root(j)
             if a != b:
@@ -232,23 +236,37 @@ def link_sets(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tupl
 
 
 def _link_rows(k: int, percent: int):
-    """From rows sorted by group: the connecting links of each group's sets."""
-
-    def linked(group):
-        docs, press = dict(group), zstandard.ZstdDecompressor()
-        return link_sets(list(docs), shingle_sets([press.decompress(p) for p in docs.values()], k), percent)
+    """From rows sorted by group: the connecting links of each group's sets. Texts are held only until their sets are made."""
 
     def run(batches):
-        now, group, out = None, [], []
+        press = zstandard.ZstdDecompressor()
+        now, sets, waiting, size, out = None, {}, {}, 0, []
+
+        def parse():
+            nonlocal size
+            sets.update(zip(waiting, shingle_sets(list(waiting.values()), k), strict=True))
+            waiting.clear()
+            size = 0
+
+        def linked():
+            parse()
+            found = link_sets(list(sets), list(sets.values()), percent)
+            sets.clear()
+            return found
+
         for batch in batches:
             for which, doc, pressed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if which != now:
-                    out += linked(group)
-                    now, group = which, []
-                group.append((doc, pressed))
+                    out += linked()
+                    now = which
+                if doc not in sets and doc not in waiting:
+                    waiting[doc] = press.decompress(pressed)
+                    size += len(waiting[doc])
+                    if size > CHUNK_BYTES:
+                        parse()
             yield _edges(out)
             out = []
-        yield _edges(linked(group))
+        yield _edges(linked())
 
     return run
 
@@ -261,7 +279,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK, shingles: int = LARGEST_SHINGLES) -> DataFrame:
     """(doc, _id, n_shingles, component): component is the smallest document key reachable by links."""
     rows = _rows(docs, id_col, text_col)
     # One pass, stored: a second scan may cut other blocks, and twins there would not be those that were posted here.
@@ -275,10 +293,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     members = sized.filter("n_shingles > 0").select("doc", "n_shingles").distinct().join(known, "doc")
     members = members.withColumn("own_band", F.floor(F.log("n_shingles") / math.log(ratio)).cast("int"))
     members = materialize(members.withColumn("band", F.explode(F.array(F.col("own_band"), F.col("own_band") - 1))), "members", few=True)
-    counts = members.groupBy("cluster", "band").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("band") == F.col("own_band"), 1)).alias("n_own")).filter("n > 1 and n_own > 0")
+    counts = members.groupBy("cluster", "band").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("band") == F.col("own_band"), 1)).alias("n_own"), F.sum("n_shingles").alias("mass")).filter("n > 1 and n_own > 0")
     counts = materialize(counts, "member-counts", few=True)
     wanted = F.least(F.ceil(F.col("n") / block), F.lit(MOST_BLOCKS))
-    blocks = F.greatest(wanted, F.ceil(F.col("n") / LARGEST_BLOCK)).cast("int")
+    blocks = F.greatest(wanted, F.ceil(F.col("n") / LARGEST_BLOCK), F.ceil(F.col("mass") / shingles)).cast("int")
     placed = members.join(small(counts), ["cluster", "band"]).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     placed = materialize(placed.select("doc", "cluster", "band", "blocks", "own"), "placed", few=True)
     texts = rows.mapInArrow(_pressed, "doc bigint, pressed binary").join(small(placed), "doc")
