@@ -3,8 +3,9 @@
 Documents are parsed into locally consistent symbols (see recompression.py): equal windows of `window` words have the
 same interior symbols, so each window picks one of them, its anchor, by content alone, and only windows with the same
 anchor can be equal. One row per anchor occurrence goes to its anchor's task, with a digest of each window that picked it.
-There, among windows with equal anchor and digest (112 bits of the content), the one with the smallest (doc_id, start)
-is the first and all others are repeats. Each scanning task first combines its own windows, so a passage that a third of
+There, among windows with equal anchor and digest (96 bits besides the anchor), the one with the smallest (doc_id, start)
+is the first and all others are repeats. Windows of anchors that are frequent in a sample go to tasks by anchor and
+digest, so a hot anchor has no task of its own; the sample decides where windows meet and never whether. Each scanning task first combines its own windows, so a passage that a third of
 all documents carry sends one row per block of documents and not one per document.
 
 Repeats travel to their documents as word intervals; the whole texts meet them there and lose the covered words.
@@ -30,7 +31,8 @@ from barloom.llm import recompression as rc
 
 WINDOW = 20
 CHUNK_BYTES = 3_000_000
-DIGEST_BYTES = 6
+DIGEST_BYTES = 12
+SAMPLE_DOCS, HOT_SHARE = 5_000, 2_000
 HEAD = np.dtype([("doc", "<i8"), ("start", "<i4")])
 
 
@@ -82,7 +84,32 @@ def _runs(marked: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at[np.r_[True, cut]], at[np.r_[cut, True]]
 
 
-def _anchor_rows(window: int, n_rounds: int):
+def _hot_counts(window: int, n_rounds: int):
+    """(anchor, n): how many different windows of each block have the anchor; the null anchor has all of them."""
+
+    def run(batches):
+        for block in _chunks(batches):
+            names, begins, _ = rc.token_names(b"\n".join(r for _, r in block))
+            docs = np.searchsorted(np.cumsum([len(r) + 1 for _, r in block]), begins, "right")
+            first, _, anchor = rc.anchors(names, docs, window, n_rounds)
+            fresh = np.unique(rc.window_digests(names, first, window)[0], return_index=True)[1] if len(first) else first
+            found, n = np.unique(anchor[fresh], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([*found.view(np.int64).tolist(), None], pa.int64()), pa.array(np.r_[n, len(fresh)].astype(np.int64))], names=["anchor", "n"])
+
+    return run
+
+
+def hot_anchors(rows: DataFrame, window: int, n_rounds: int) -> np.ndarray:
+    """At most HOT_SHARE anchors: those with at least one in HOT_SHARE of a sample's different windows."""
+    sample = rows.sample(min(1.0, SAMPLE_DOCS / max(1, rows.count())), seed=1)
+    counts = sample.mapInArrow(_hot_counts(window, n_rounds), "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n"))
+    everything = F.max(F.when(F.col("anchor").isNull(), F.col("n")))
+    total = counts.agg(everything).first()[0] or 0
+    least = max(2, -(-total // HOT_SHARE))
+    return np.sort(np.array([r.anchor for r in counts.filter(F.col("anchor").isNotNull() & (F.col("n") >= least)).collect()], np.int64).view(np.uint64))
+
+
+def _anchor_rows(window: int, n_rounds: int, hot: np.ndarray):
     """Rows (anchor, blob): blob is the document, the first window and its digests; or, for repeats found in the block
     already, an even key, the document and a word interval with no digests."""
 
@@ -97,6 +124,8 @@ def _anchor_rows(window: int, n_rounds: int):
             if not len(first):
                 continue
             one, two = rc.window_digests(names, first, window)
+            split = np.isin(anchor, hot)
+            anchor = np.where(split, rc.mix(anchor ^ rc.mix(one)), anchor)
             doc = docs[first]
             origin = np.searchsorted(docs, np.arange(len(block)))
             start = first - origin[doc]
@@ -105,12 +134,12 @@ def _anchor_rows(window: int, n_rounds: int):
             a, b = _runs(again, doc)
             local = [_blob(k, s, b"") + int(e).to_bytes(4, "little") for k, s, e in zip(keys[doc[a]].tolist(), start[a].tolist(), (start[b] + window).tolist(), strict=True)]
             spread = rc.mix(keys[doc[a]].astype(np.uint64))
-            cut = np.flatnonzero((np.diff(place) != 0) | (anchor[1:] != anchor[:-1]) | (np.diff(doc) != 0) | (np.diff(first) > 1) | (again[1:] != again[:-1])) + 1
+            cut = np.flatnonzero((np.diff(place) != 0) | (anchor[1:] != anchor[:-1]) | (np.diff(doc) != 0) | (np.diff(first) > 1) | (again[1:] != again[:-1]) | split[1:]) + 1
             heads = np.r_[0, cut]
             tails = np.r_[cut, len(first)]
             fresh = ~again[heads]
             heads, tails = heads[fresh], tails[fresh]
-            digests = two.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :DIGEST_BYTES].tobytes()
+            digests = np.concatenate([x.astype("<u8").view(np.uint8).reshape(-1, 8) for x in (two, one)], 1)[:, :DIGEST_BYTES].tobytes()
             blobs = [_blob(k, s, digests[DIGEST_BYTES * i : DIGEST_BYTES * j]) for k, s, i, j in zip(keys[doc[heads]].tolist(), start[heads].tolist(), heads.tolist(), tails.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.r_[anchor[heads], spread].view(np.int64)), pa.array(blobs + local, pa.binary()), pa.array(np.r_[np.ones(len(heads), bool), np.zeros(len(a), bool)]),
@@ -130,13 +159,13 @@ def _interval_rows(window: int):
         sizes = (np.fromiter(map(len, blobs), np.int64, len(blobs)) - HEAD.itemsize) // DIGEST_BYTES
         heads = np.frombuffer(b"".join([x[: HEAD.itemsize] for x in blobs]), HEAD)
         flat = np.frombuffer(b"".join([x[HEAD.itemsize :] for x in blobs]), np.uint8).reshape(-1, DIGEST_BYTES)
-        wide = np.zeros((len(flat), 8), np.uint8)
+        wide = np.zeros((len(flat), 16), np.uint8)
         wide[:, :DIGEST_BYTES] = flat
-        digest, row = wide.view("<u8").ravel(), np.repeat(np.arange(len(blobs)), sizes)
+        digests, row = wide.view("<u8"), np.repeat(np.arange(len(blobs)), sizes)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         start = heads["start"][row] + nth
         ids, rank = np.unique(heads["doc"], return_inverse=True)
-        again = _repeats((rank[row].astype(np.int64) << 32) + start, anchor[row], digest)
+        again = _repeats((rank[row].astype(np.int64) << 32) + start, anchor[row], np.ascontiguousarray(digests[:, 0]), np.ascontiguousarray(digests[:, 1]))
         a, b = _runs(again, row)
         return heads["doc"][row[a]], start[a], start[b] + window
 
@@ -171,7 +200,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     if window < 4:
         raise ValueError("window must be 4 words or more")
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    named = rows.mapInArrow(_anchor_rows(window, n_rounds), "anchor bigint, blob binary, fresh boolean")
+    named = rows.mapInArrow(_anchor_rows(window, n_rounds, hot_anchors(rows, window, n_rounds)), "anchor bigint, blob binary, fresh boolean")
     return named.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_interval_rows(window), "doc bigint, begin bigint, end bigint")
 
 
