@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import materialize
-from barloom.llm.wordbpe import WordBpe
+from barloom.llm.wordbpe import KEPT_WORDS, WordBpe
 
 WINDOW = 4096
 OPEN_WINDOWS = 64
@@ -89,6 +89,7 @@ def _pack_partition(tokenizer: str, window: int, open_windows: int):
                     elif emitted := packer.place(thing[2], thing):
                         out += rows(emitted, None)
             yield table(out)
+        bpe.keep(KEPT_WORDS)
         yield table([r for things in packer.rest() for r in rows(things, part)])
 
     return run

@@ -1,13 +1,14 @@
 """Word-level encoding with a public BPE file, as bytes of little-endian unsigned 32-bit ids.
 
 The tokenizers library is the reference; here its file's merges are applied to many words at once with numpy, and each
-white-space-delimited word is encoded once per worker and cached, which its pre-tokenizer allows (it drops white space
-and never joins across it). Words beyond printable ASCII and Latin-1 letters, or very long ones, and texts with the
+white-space-delimited word is encoded once and cached, which its pre-tokenizer allows (it drops white space and never
+joins across it). A full cache keeps the half of its words used most, and a partition's end the most used few. Words beyond printable ASCII and Latin-1 letters, or very long ones, and texts with the
 control characters that only Python splits on or with an added token's content, go to the library itself.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -15,7 +16,8 @@ import re
 import numpy as np
 import regex
 
-CACHE_WORDS = 450_000
+CACHE_WORDS, KEPT_WORDS = 300_000, 40_000
+GROUP_CHARS = 2_000_000
 LONG_WORD = 48
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
@@ -36,6 +38,14 @@ def _byte_chars() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+class _Numbers(dict):
+    """Numbers words as they are first looked up."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class WordBpe:
     _one: dict[str, WordBpe] = {}
 
@@ -62,7 +72,7 @@ class WordBpe:
         self.keys = np.array([vocab[a] << 20 | vocab[b] for a, b in pairs], np.uint64)
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self.tables = self._tables()
-        self.words: dict[str, bytes] = {}
+        self.forget()
 
     def _tables(self):
         """Hash tables from pair to merge rank; what collides in the first is in the next, until none is left."""
@@ -89,8 +99,8 @@ class WordBpe:
             todo = todo[(found >= 0) & ~hit]
         return out
 
-    def merge(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each non-empty pre-token: every round merges the lowest-ranked pair of each unfinished word."""
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the non-empty pre-tokens, one after the other, and their bounds: every round merges the lowest-ranked pair of each unfinished word."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         flat = np.frombuffer(b"".join(words), np.uint8)
         ends = np.cumsum(sizes)
@@ -115,34 +125,68 @@ class WordBpe:
             live[hit + 1] = False
             symbols, owner = symbols[live], owner[live]
         symbols, owner = np.concatenate(done_symbols), np.concatenate(done_owner)
-        symbols = symbols[np.argsort(owner, kind="stable")].astype("<u4").tobytes()
-        stops = np.cumsum(np.bincount(owner, minlength=len(words))) * 4
-        return [symbols[a:b] for a, b in zip(np.r_[0, stops[:-1]].tolist(), stops.tolist(), strict=True)]
-
-    def learn(self, unknown: set[str]) -> None:
-        """Puts the words' ids into the cache."""
-        plain = [w for w in unknown if len(w) <= LONG_WORD and (w.isascii() or _PLAIN.fullmatch(w))]
-        for word in unknown.difference(plain):
-            self.words[word] = np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        whole = [w for w in plain if w.isalpha()]
-        mixed = {w: _SPLIT.findall(w.lower()) for w in plain if not w.isalpha()}
-        low = [w.lower() for w in whole]
-        parts = list(set(low).union(*mixed.values()))
-        if parts:
-            ids = dict(zip(parts, self.merge([p.encode() for p in parts]), strict=True))
-            self.words.update(zip(whole, map(ids.__getitem__, low), strict=True))
-            self.words.update((w, b"".join(map(ids.__getitem__, split))) for w, split in mixed.items())
+        symbols = symbols[np.argsort(owner, kind="stable")].astype("<u4")
+        return symbols, np.r_[0, np.cumsum(np.bincount(owner, minlength=len(words)))]
+
+    def forget(self) -> None:
+        self.numbers, self.flat, self.starts, self.sizes, self.uses = _Numbers(), *(np.zeros(0, t) for t in ("<u4", np.int64, np.int64, np.int64))
+
+    def keep(self, most: int) -> None:
+        """Forgets all words but the `most` used most; their use counts by half, so that what was frequent long ago goes."""
+        if len(self.numbers) <= most:
+            return
+        kept = np.sort(np.argpartition(-self.uses, most - 1)[:most]) if most else np.zeros(0, np.int64)
+        words = list(self.numbers)
+        self.numbers = _Numbers((words[i], n) for n, i in enumerate(kept.tolist()))
+        self.flat, sizes = self._ids(kept), self.sizes[kept]
+        self.starts, self.sizes, self.uses = np.cumsum(sizes) - sizes, sizes, self.uses[kept] // 2
+
+    def _ids(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of the words with these numbers, one after the other."""
+        sizes = self.sizes[numbers]
+        begins = np.repeat(self.starts[numbers] - np.cumsum(sizes) + sizes, sizes)
+        begins += np.arange(len(begins))
+        return self.flat[begins]
+
+    def learn(self, words: list[str]) -> None:
+        """Adds the ids of the words that were numbered last."""
+        parts: dict[str, int] = _Numbers()
+        split, odd = [], {}
+        for n, word in enumerate(words):
+            if len(word) > LONG_WORD or not (word.isascii() or _PLAIN.fullmatch(word)):
+                odd[n] = np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4")
+                split.append(())
+            elif word.isalpha():
+                split.append((parts[word.lower()],))
+            else:
+                split.append([parts[x] for x in _SPLIT.findall(word.lower())])
+        made, bounds = self.merge([p.encode() for p in parts]) if parts else (np.zeros(0, "<u4"), np.zeros(1, np.int64))
+        n_parts = np.fromiter(map(len, split), np.int64, len(split))
+        flat = np.fromiter((x for s in split for x in s), np.int64, n_parts.sum())
+        sizes = np.diff(bounds)[flat]
+        at = np.repeat(bounds[flat] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        per_word = np.bincount(np.repeat(np.arange(len(words)), n_parts), sizes, len(words)).astype(np.int64)
+        per_word[list(odd)] = [len(x) for x in odd.values()]
+        ends = np.cumsum(per_word)
+        ids = np.zeros(ends[-1], "<u4")
+        plain = np.ones(len(ids), bool)
+        for n, x in odd.items():
+            ids[ends[n] - len(x) : ends[n]], plain[ends[n] - len(x) : ends[n]] = x, False
+        ids[plain] = made[at]
+        self.starts = np.r_[self.starts, len(self.flat) + ends - per_word]
+        self.flat, self.sizes = np.r_[self.flat, ids], np.r_[self.sizes, per_word]
+        self.uses = np.r_[self.uses, np.zeros(len(words), np.int64)]
 
     def encode(self, texts: list[str | None]):
         """The ids of each text, as bytes."""
-        known, group, size = self.words, [], 0
+        group, size = [], 0
         for text in texts:
             group.append(text or "")
             size += len(group[-1])
-            if size > 4_000_000:
-                yield from self._encode(group, known)
+            if size > GROUP_CHARS:
+                yield from self._encode(group)
                 group, size = [], 0
-        yield from self._encode(group, known)
+        yield from self._encode(group)
 
     def _words(self, text: str) -> list[str] | None:
         """Words to look up, or None for the library. Closing punctuation is a pre-token of its own, so it is set apart
@@ -151,14 +195,26 @@ class WordBpe:
             return None
         return text.split() if _BEYOND.search(text) else _CLOSING.sub(r" \g<0>", text.lower()).split()
 
-    def _encode(self, texts, known):
-        split = [self._words(t) for t in texts]
-        unknown = set().union(*filter(None, split))
-        if len(known) + len(unknown) > CACHE_WORDS and len(known) > CACHE_WORDS // 2:
-            known.clear()
-        self.learn(unknown.difference(known))
-        for text, words in zip(texts, split, strict=True):
+    def _encode(self, texts):
+        known, found, told = len(self.numbers), [], []
+        for text in texts:
+            words = self._words(text)
             if words is None:
-                yield np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                told.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
             else:
-                yield b"".join(map(known.__getitem__, words))
+                told.append(None)
+                found.append(np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words)))
+        if len(self.numbers) > known:
+            self.learn(list(itertools.islice(self.numbers, known, None)))
+        numbers = np.concatenate([*found, np.zeros(0, np.int64)])
+        self.uses += np.bincount(numbers, minlength=len(self.uses))
+        ids, ends = self._ids(numbers).tobytes(), np.r_[0, np.cumsum(self.sizes[numbers]) * 4]
+        stops = ends[np.cumsum([0, *map(len, found)])].tolist()
+        which = iter(zip(stops[:-1], stops[1:], strict=True))
+        for whole in told:
+            if whole is None:
+                a, b = next(which)
+                whole = ids[a:b]
+            yield whole
+        if len(self.numbers) > CACHE_WORDS:
+            self.keep(CACHE_WORDS // 2)
