@@ -8,7 +8,7 @@ pair), first inside each scanning block, then globally, and the ties' components
 
 Links. The sets of a component are grouped by size bands, of which only neighbours can be linked, and joined band by band
 in blocks of at most `block` sets: a band of one block in one task, larger ones in block pairs (at most 32 blocks until
-blocks reach 20,000 sets or 2,000,000 shingles, whichever comes first). Inside, inverted lists are ordered by set size, so
+blocks reach 20,000 sets or 1,000,000 shingles, whichever comes first). Inside, inverted lists are ordered by set size, so
 the parts of a list whose sizes cannot reach the threshold are skipped by position; and a set's overlap counts are derived
 from those of the most similar set just computed, by the lists of the elements in which the two differ. Only links that
 join two parts not yet connected are emitted: at most one per set and block pair.
@@ -38,7 +38,7 @@ SHINGLE = 4
 PERCENT = 85
 CHUNK_BYTES = 3_000_000
 BLOCK, MOST_BLOCKS, LARGEST_BLOCK = 192, 32, 20_000
-LARGEST_SHINGLES = 2_000_000
+LARGEST_SHINGLES = 1_000_000
 NO_ID = 1 << 62
 
 
@@ -47,11 +47,10 @@ def doc_key(doc_id, raw: bytes) -> int:
     return int(doc_id) if doc_id is not None else NO_ID + (xxhash.xxh3_64_intdigest(raw) >> 3)
 
 
-def shingle_sets(raws: list[bytes], k: int = SHINGLE) -> list[np.ndarray]:
+def shingle_sets(raws: list[bytes], k: int = SHINGLE, known: rc.Names | None = None) -> list[np.ndarray]:
     """The sorted 64-bit shingle names of each lower-cased text."""
-    names, begins, _ = rc.token_names(b"\n".join(r.lower() for r in raws))
-    stops = np.cumsum([len(r) + 1 for r in raws])
-    bounds = np.searchsorted(begins, np.r_[0, stops]).tolist()
+    names, counts, _ = rc.tokens_of([r.lower() for r in raws], rc.Names() if known is None else known)
+    bounds = [0, *np.cumsum(counts).tolist()]
     whole = names
     for step in range(1, k):
         whole = rc.mix(whole[: len(names) - step] * np.uint64(2 * step + 1) + names[step:]) if len(names) > step else names[:0]
@@ -121,9 +120,9 @@ def _set_rows(k: int, percent: int):
     set, whose postings are in the same table: both come from one cut of the scan into blocks."""
 
     def run(batches):
-        parts = Parts(percent)
+        parts, known = Parts(percent), rc.Names()
         for block in _chunks(batches):
-            sets = shingle_sets([r for _, r, _ in block], k)
+            sets = shingle_sets([r for _, r, _ in block], k, known)
             marks = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b"%d" % i for i, s in enumerate(sets)]
             first: dict[bytes, tuple[int, np.ndarray]] = {}
             for mark, (key, _, _), s in zip(marks, block, sets, strict=True):
@@ -239,12 +238,12 @@ def _link_rows(k: int, percent: int):
     """From rows sorted by group: the connecting links of each group's sets. Texts are held only until their sets are made."""
 
     def run(batches):
-        press = zstandard.ZstdDecompressor()
+        press, known = zstandard.ZstdDecompressor(), rc.Names()
         now, sets, waiting, size, out = None, {}, {}, 0, []
 
         def parse():
             nonlocal size
-            sets.update(zip(waiting, shingle_sets(list(waiting.values()), k), strict=True))
+            sets.update(zip(waiting, shingle_sets(list(waiting.values()), k, known), strict=True))
             waiting.clear()
             size = 0
 

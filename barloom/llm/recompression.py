@@ -1,16 +1,21 @@
 """Locally consistent names for token runs and pairs (recompression), as numpy over batches of documents.
 
 Round 0 names runs of equal tokens; each later round splits all symbols into a left and a right half by one bit of a
-hash and names every (left, right) neighbour pair. A name is a 64-bit fingerprint of what it stands for, so all tasks
-give equal content equal names without a dictionary. With each symbol goes the range of tokens that determines it: the
+hash and names every (left, right) neighbour pair. A token's name is a keyed digest of its bytes and a symbol's a
+fingerprint of what it stands for, so all tasks give equal content equal names without a dictionary. With each symbol goes the range of tokens that determines it: the
 same tokens anywhere else give the same symbol, which makes it an interior symbol of every window that holds that range.
 """
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+
 import numpy as np
 
-ROUNDS = 5
+ROUNDS = 8
+MOST_NAMES = 60_000
+KEY = b"names of tokens"
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(32)
 FAR = 1 << 40
@@ -22,43 +27,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S)
 
 
-def token_names(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(names, starts, ends) of the tokens of raw: maximal runs of bytes other than ASCII white space."""
-    b = np.frombuffer(raw, np.uint8)
-    if not len(b):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    word = _WORD[b]
-    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
-    bounds = np.concatenate([[0] if word[0] else [], edge, [len(b)] if word[-1] else []]).astype(np.int64)
-    starts, ends = bounds[::2], bounds[1::2]
-    power = _powers(len(b))
-    sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_BYTE[b] * power, out=sums[1:])
-    names = (sums[ends] - sums[starts]) * _inverse(len(b))[starts]
-    return mix(names + (ends - starts).astype(np.uint64) * _M2), starts, ends
-
-
-_WORD = np.ones(256, bool)
-_WORD[[9, 10, 11, 12, 13, 32]] = False
-_BASE = 0x9E3779B97F4A7C15
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-_grown: dict[int, np.ndarray] = {}
+class Names(dict):
+    """Names of tokens: keyed 64-bit digests of their bytes, so no rule makes two tokens' names meet."""
 
+    def __missing__(self, token: bytes) -> int:
+        name = self[token] = int.from_bytes(hashlib.blake2b(token, digest_size=8, key=KEY).digest(), "little")
+        return name
 
-def _table(base: int, n: int) -> np.ndarray:
-    held = _grown.get(base)
-    if held is None or len(held) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        held = _grown[base] = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, base, np.uint64)])
-    return held
 
+def tokens_of(raws: list[bytes], known: Names) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
+    """(names, the number of tokens of each text, the tokens): maximal runs of bytes other than ASCII white space.
 
-def _powers(n: int) -> np.ndarray:
-    return _table(_BASE, n)[:n]
-
-
-def _inverse(n: int) -> np.ndarray:
-    return _table(pow(_BASE, -1, 1 << 64), n)
+    known is emptied when it holds too many.
+    """
+    if len(known) > MOST_NAMES:
+        known.clear()
+    tokens = [raw.split() for raw in raws]
+    counts = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    return np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(tokens)), np.uint64, counts.sum()), counts, tokens
 
 
 def rounds(names: np.ndarray, docs: np.ndarray, n_rounds: int = ROUNDS):
@@ -141,13 +127,18 @@ def _argmin(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def window_digests(names: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit fingerprints of the windows that begin at first."""
+    """Two 64-bit fingerprints of the windows that begin at first. Spans of 1, 2, 4... tokens are named in turn, each from
+    its halves, and a window from the spans that its length is the sum of."""
     out = []
-    for base in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F):
-        values = mix(names ^ np.uint64(base))
-        power = _table(base, len(values) + 1)
-        sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * power[: len(values)], out=sums[1:])
-        back = _table(pow(base, -1, 1 << 64), len(values) + 1)
-        out.append(mix((sums[first + window] - sums[first]) * back[first]))
+    for turn in (_M1, _M2):
+        spans, size, whole, done = mix(names ^ turn), 1, None, 0
+        while True:
+            if window & size:
+                part = spans[first + done]
+                whole, done = part if whole is None else mix(whole * turn + part), done + size
+            if 2 * size > window:
+                break
+            spans = mix(spans[:-size] * turn + mix(spans[size:])) if len(spans) > size else spans[:0]
+            size *= 2
+        out.append(whole)
     return out[0], out[1]

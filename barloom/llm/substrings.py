@@ -2,18 +2,23 @@
 
 Documents are parsed into locally consistent symbols (see recompression.py): equal windows of `window` words have the
 same interior symbols, so each window picks one of them, its anchor, by content alone, and only windows with the same
-anchor can be equal. One row per anchor occurrence goes to its anchor's task, with a digest of each window that picked it.
-There, among windows with equal anchor and digest (96 bits besides the anchor), the one with the smallest (doc_id, start)
-is the first and all others are repeats. Windows of anchors that are frequent in a sample go to tasks by anchor and
-digest, so a hot anchor has no task of its own; the sample decides where windows meet and never whether. Each scanning task first combines its own windows, so a passage that a third of
-all documents carry sends one row per block of documents and not one per document.
-
-Repeats travel to their documents as word intervals; the whole texts meet them there and lose the covered words.
+anchor can be equal. One row per anchor occurrence goes to its anchor's task, with a 64-bit digest of each window that
+picked it. There, among windows with equal anchor and digest, the one with the smallest (doc_id, start) is the first and
+all others are repeats. Windows of anchors that are frequent in a sample go to tasks by anchor and digest, so a hot anchor
+has no task of its own; the sample decides where windows meet and never whether. Each scanning task first combines its
+own windows, so a passage that a third of all documents carry sends one row per block of documents and not one per
+document.
+
+Every repeat is verified: inside a block word by word, else the first occurrence's words travel from its document to the
+repeat's, where they are compared. Only compared words are removed; two different windows with one anchor and digest
+(none is expected in 10^18 pairs) end the job with an error instead of a wrong result. The whole texts lose the covered
+words.
 
 Defined results: a null or empty text has no words; documents shorter than a window lose nothing; overlapping repeats in
-one document are judged on the input; ids are keys: rows repeated with the same id and text count as one document and get
-equal results; rows with a null id come before all others, in order of a hash of their text; an empty table gives an empty
-table; other columns are ignored.
+one document are judged on the input; texts of any length are taken whole (a block is at least one text); ids are keys:
+rows repeated with the same id and text count as one document and get equal results; rows with a null id come before all
+others, in order of a hash of their text, and ids must be above -2^62; an empty table gives an empty table; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -28,10 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import recompression as rc
+from barloom.llm.common import materialize
 
 WINDOW = 20
 CHUNK_BYTES = 3_000_000
-DIGEST_BYTES = 12
+DIGEST_BYTES = 8
 SAMPLE_DOCS, HOT_SHARE = 5_000, 2_000
 HEAD = np.dtype([("doc", "<i8"), ("start", "<i4")])
 
@@ -56,31 +62,32 @@ def _chunks(batches):
         yield sorted(block)
 
 
-def _repeats(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
-    """True for rows whose keys all equal those of a row that comes earlier in `order` (a rank)."""
+def _first_equal(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """For each row, the row with equal keys that comes first in `order` (a rank); itself where none comes earlier."""
     folded = keys[0]
     for k in keys[1:]:
         folded = rc.mix(folded ^ rc.mix(k))
     by = np.argsort(folded, kind="stable")
     again = np.r_[False, folded[by][1:] == folded[by][:-1]]
     near = by[again | np.r_[again[1:], False]] if len(by) else by
-    out = np.zeros(len(folded), bool)
+    out = np.arange(len(folded))
     if len(near):
         near = near[np.lexsort((order[near], *(k[near] for k in keys)))]
         same = np.ones(len(near) - 1, bool)
         for k in keys:
             same &= k[near][1:] == k[near][:-1]
-        first = np.maximum.accumulate(np.where(np.r_[True, ~same], np.arange(len(near)), 0))
-        out[near] = order[near] > order[near[first]]
+        first = near[np.maximum.accumulate(np.where(np.r_[True, ~same], np.arange(len(near)), 0))]
+        out[near] = np.where(order[near] > order[first], first, near)
     return out
 
 
-def _runs(marked: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last index of each run of marked neighbours with the same group."""
-    at = np.flatnonzero(marked)
+def _runs(first: np.ndarray, group: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of each run of neighbouring windows in one group that repeat neighbouring windows of one group."""
+    at = np.flatnonzero(first != np.arange(len(first)))
     if not len(at):
         return at, at
-    cut = (np.diff(at) > 1) | (group[at][1:] != group[at][:-1])
+    origin = first[at]
+    cut = (np.diff(at) > 1) | (np.diff(group[at]) != 0) | (np.diff(group[origin]) != 0) | (np.diff(start[origin]) != 1) | (np.diff(start[at]) != 1)
     return at[np.r_[True, cut]], at[np.r_[cut, True]]
 
 
@@ -88,9 +95,10 @@ def _hot_counts(window: int, n_rounds: int):
     """(anchor, n): how many different windows of each block have the anchor; the null anchor has all of them."""
 
     def run(batches):
+        known = rc.Names()
         for block in _chunks(batches):
-            names, begins, _ = rc.token_names(b"\n".join(r for _, r in block))
-            docs = np.searchsorted(np.cumsum([len(r) + 1 for _, r in block]), begins, "right")
+            names, n_tokens, _ = rc.tokens_of([r for _, r in block], known)
+            docs = np.repeat(np.arange(len(block)), n_tokens)
             first, _, anchor = rc.anchors(names, docs, window, n_rounds)
             fresh = np.unique(rc.window_digests(names, first, window)[0], return_index=True)[1] if len(first) else first
             found, n = np.unique(anchor[fresh], return_counts=True)
@@ -114,12 +122,11 @@ def _anchor_rows(window: int, n_rounds: int, hot: np.ndarray):
     already, an even key, the document and a word interval with no digests."""
 
     def run(batches):
+        known = rc.Names()
         for block in _chunks(batches):
-            raw = b"\n".join(r for _, r in block)
             keys = np.array([k for k, _ in block], np.int64)
-            names, begins, _ = rc.token_names(raw)
-            stops = np.cumsum([len(r) + 1 for _, r in block])
-            docs = np.searchsorted(stops, begins, "right")
+            names, n_tokens, words = rc.tokens_of([r for _, r in block], known)
+            docs = np.repeat(np.arange(len(block)), n_tokens)
             first, place, anchor = rc.anchors(names, docs, window, n_rounds)
             if not len(first):
                 continue
@@ -127,11 +134,15 @@ def _anchor_rows(window: int, n_rounds: int, hot: np.ndarray):
             split = np.isin(anchor, hot)
             anchor = np.where(split, rc.mix(anchor ^ rc.mix(one)), anchor)
             doc = docs[first]
-            origin = np.searchsorted(docs, np.arange(len(block)))
+            origin = np.cumsum(n_tokens) - n_tokens
             start = first - origin[doc]
             same_id = np.r_[0, np.cumsum(keys[1:] != keys[:-1])]
-            again = _repeats((same_id[doc].astype(np.int64) << 32) + start, one, two)
-            a, b = _runs(again, doc)
+            earlier = _first_equal((same_id[doc].astype(np.int64) << 32) + start, one, two)
+            again = earlier != np.arange(len(earlier))
+            a, b = _runs(earlier, doc, start)
+            for d, s, e, of, at in zip(doc[a].tolist(), start[a].tolist(), start[b].tolist(), doc[earlier[a]].tolist(), start[earlier[a]].tolist(), strict=True):
+                _verify(words[d][s : e + window], words[of][at : at + e - s + window])
+            del words
             local = [_blob(k, s, b"") + int(e).to_bytes(4, "little") for k, s, e in zip(keys[doc[a]].tolist(), start[a].tolist(), (start[b] + window).tolist(), strict=True)]
             spread = rc.mix(keys[doc[a]].astype(np.uint64))
             cut = np.flatnonzero((np.diff(place) != 0) | (anchor[1:] != anchor[:-1]) | (np.diff(doc) != 0) | (np.diff(first) > 1) | (again[1:] != again[:-1]) | split[1:]) + 1
@@ -139,7 +150,7 @@ def _anchor_rows(window: int, n_rounds: int, hot: np.ndarray):
             tails = np.r_[cut, len(first)]
             fresh = ~again[heads]
             heads, tails = heads[fresh], tails[fresh]
-            digests = np.concatenate([x.astype("<u8").view(np.uint8).reshape(-1, 8) for x in (two, one)], 1)[:, :DIGEST_BYTES].tobytes()
+            digests = two.astype("<u8").tobytes()
             blobs = [_blob(k, s, digests[DIGEST_BYTES * i : DIGEST_BYTES * j]) for k, s, i, j in zip(keys[doc[heads]].tolist(), start[heads].tolist(), heads.tolist(), tails.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.r_[anchor[heads], spread].view(np.int64)), pa.array(blobs + local, pa.binary()), pa.array(np.r_[np.ones(len(heads), bool), np.zeros(len(a), bool)]),
@@ -148,30 +159,38 @@ def _anchor_rows(window: int, n_rounds: int, hot: np.ndarray):
     return run
 
 
+def _verify(words: list[bytes], origin: list[bytes]) -> None:
+    if words != origin:
+        raise ValueError(f"two different windows share anchor and digest; choose another recompression.KEY: {words!r} {origin!r}"[:2000])
+
+
 def _blob(doc: int, start: int, digests: bytes) -> bytes:
     return doc.to_bytes(8, "little", signed=True) + start.to_bytes(4, "little") + digests
 
 
 def _interval_rows(window: int):
-    """From rows sorted by anchor: (doc, begin, end), the word intervals that repeats cover."""
+    """From rows sorted by anchor: (doc, begin, end, origin, at), the word intervals that repeats cover, and where they
+    stand first; without origin if that was verified already."""
 
     def judged(anchor, blobs):
         sizes = (np.fromiter(map(len, blobs), np.int64, len(blobs)) - HEAD.itemsize) // DIGEST_BYTES
         heads = np.frombuffer(b"".join([x[: HEAD.itemsize] for x in blobs]), HEAD)
-        flat = np.frombuffer(b"".join([x[HEAD.itemsize :] for x in blobs]), np.uint8).reshape(-1, DIGEST_BYTES)
-        wide = np.zeros((len(flat), 16), np.uint8)
-        wide[:, :DIGEST_BYTES] = flat
-        digests, row = wide.view("<u8"), np.repeat(np.arange(len(blobs)), sizes)
+        digests = np.frombuffer(b"".join([x[HEAD.itemsize :] for x in blobs]), "<u8")
+        row = np.repeat(np.arange(len(blobs)), sizes)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         start = heads["start"][row] + nth
         ids, rank = np.unique(heads["doc"], return_inverse=True)
-        again = _repeats((rank[row].astype(np.int64) << 32) + start, anchor[row], np.ascontiguousarray(digests[:, 0]), np.ascontiguousarray(digests[:, 1]))
-        a, b = _runs(again, row)
-        return heads["doc"][row[a]], start[a], start[b] + window
+        first = _first_equal((rank[row].astype(np.int64) << 32) + start, anchor[row], digests)
+        a, b = _runs(first, row, start)
+        return heads["doc"][row[a]], start[a], start[b] + window, heads["doc"][row[first[a]]], start[first[a]]
 
     def run(batches):
         held, size = [], 0
-        made = lambda cols: pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in cols], names=["doc", "begin", "end"])
+
+        def made(cols):
+            none = pa.nulls(len(cols[0]), pa.int64())
+            return pa.RecordBatch.from_arrays([*(pa.array(np.asarray(c, np.int64)) for c in cols), *[none] * (5 - len(cols))], names=["doc", "begin", "end", "origin", "at"])
+
         for batch in batches:
             anchor, fresh = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False)
             blobs = batch.column(1).to_pylist()
@@ -196,12 +215,13 @@ def _interval_rows(window: int):
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, n_rounds: int = rc.ROUNDS) -> DataFrame:
-    """Word intervals [begin, end) of the document with key `doc` that windows seen earlier cover; they may overlap."""
+    """Word intervals [begin, end) of the document with key `doc` that windows seen earlier cover, with the document and
+    word where those stand (null: compared already); intervals may overlap. The caller compares the words."""
     if window < 4:
         raise ValueError("window must be 4 words or more")
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     named = rows.mapInArrow(_anchor_rows(window, n_rounds, hot_anchors(rows, window, n_rounds)), "anchor bigint, blob binary, fresh boolean")
-    return named.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_interval_rows(window), "doc bigint, begin bigint, end bigint")
+    return named.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_interval_rows(window), "doc bigint, begin bigint, end bigint, origin bigint, at bigint")
 
 
 def _pressed(batches):
@@ -216,14 +236,29 @@ def _pressed(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(0), pa.array(out, pa.binary())], names=["doc", "_id", "pressed"])
 
 
-def _without(raw: bytes, begins, ends) -> tuple[list[bytes], int]:
+def _origin_rows(batches):
+    """(doc, begin, end, span): the words that should stand at doc's interval, from the document where they stand first."""
+    open_, last, words = zstandard.ZstdDecompressor(), None, []
+    for batch in batches:
+        spans = []
+        for pressed, doc, begin, end, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if pressed != last:
+                last, words = pressed, open_.decompress(pressed).split()
+            spans.append(b" ".join(words[at : at + end - begin]))
+        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array(spans, pa.binary())], names=["doc", "begin", "end", "span"])
+
+
+def _without(raw: bytes, covers: list[dict]) -> tuple[list[bytes], int]:
     """The words that no interval covers, and how many words there were."""
     words = raw.split()
-    if not len(begins):
+    if not covers:
         return words, len(words)
     change = np.zeros(len(words) + 1, np.int64)
-    np.add.at(change, np.minimum(begins, len(words)), 1)
-    np.add.at(change, np.minimum(ends, len(words)), -1)
+    for c in covers:
+        if c["span"] is not None:
+            _verify(words[c["begin"] : c["end"]], c["span"].split(b" "))
+        change[c["begin"]] += 1
+        change[c["end"]] -= 1
     kept = np.cumsum(change[:-1]) == 0
     return [w for w, k in zip(words, kept.tolist(), strict=True) if k], len(words)
 
@@ -233,8 +268,8 @@ def _kept_rows(as_text: bool):
         open_ = zstandard.ZstdDecompressor()
         for batch in batches:
             rows = []
-            for pressed, begins, ends in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                words, n = _without(open_.decompress(pressed), begins or [], ends or [])
+            for pressed, covers in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                words, n = _without(open_.decompress(pressed), covers or [])
                 kept = b" ".join(words)
                 rows.append((n, n - len(words), kept.decode("utf-8", "surrogatepass") if as_text else hashlib.sha256(kept).hexdigest()))
             cols = list(zip(*rows, strict=True)) or [[], [], []]
@@ -245,8 +280,12 @@ def _kept_rows(as_text: bool):
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, as_text: bool = True) -> DataFrame:
     """One row per document: id, n_words, n_removed, and `kept`, the rest's text (or its SHA-256)."""
-    covered = repeats(docs, id_col, text_col, window).groupBy("doc").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"))
+    found = materialize(repeats(docs, id_col, text_col, window), "repeats", few=True)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    rows = rows.mapInArrow(_pressed, "doc bigint, _id bigint, pressed binary").join(covered, "doc", "left").select("_id", "pressed", "begins", "ends")
-    out = rows.mapInArrow(_kept_rows(as_text), "_id bigint, n_words bigint, n_removed bigint, kept string")
+    texts = rows.mapInArrow(_pressed, "doc bigint, _id bigint, pressed binary")
+    asked = found.filter("origin is not null").withColumnRenamed("doc", "of")
+    spans = texts.join(asked, F.col("doc") == F.col("origin")).select("pressed", "of", "begin", "end", "at").mapInArrow(_origin_rows, "doc bigint, begin bigint, end bigint, span binary")
+    covered = found.filter("origin is null").select("doc", "begin", "end", F.lit(None).cast("binary").alias("span")).unionByName(spans)
+    covered = covered.groupBy("doc").agg(F.collect_list(F.struct("begin", "end", "span")).alias("covers"))
+    out = texts.join(covered, "doc", "left").select("_id", "pressed", "covers").mapInArrow(_kept_rows(as_text), "_id bigint, n_words bigint, n_removed bigint, kept string")
     return out.select(F.col("_id").alias(id_col), "n_words", "n_removed", "kept")

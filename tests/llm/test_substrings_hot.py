@@ -1,8 +1,8 @@
-"""Windows that share one anchor: told apart by 96 bits, and dealt to many tasks."""
+"""Windows that share one anchor: dealt to many tasks; and words whose simple fingerprints meet."""
 
 import random
 
-import numpy as np
+import pytest
 from barloom.llm import recompression as rc
 from barloom.llm import substrings
 from test_substrings import check
@@ -21,14 +21,27 @@ def test_hot_anchors_are_split_and_results_stay(spark):
     assert len(hot)
     made = docs.mapInArrow(substrings._anchor_rows(20, rc.ROUNDS, hot), "anchor bigint, blob binary, fresh boolean")
     whole = docs.mapInArrow(substrings._anchor_rows(20, rc.ROUNDS, hot[:0]), "anchor bigint, blob binary, fresh boolean")
-    most = lambda df: df.filter("fresh").selectExpr("anchor", "(length(blob) - 12) / 12 as n").groupBy("anchor").sum("n").agg({"sum(n)": "max"}).first()[0]
+    most = lambda df: df.filter("fresh").selectExpr("anchor", "(length(blob) - 12) / 8 as n").groupBy("anchor").sum("n").agg({"sum(n)": "max"}).first()[0]
     assert 5 * most(made) < most(whole)
     check(spark, rows, 20)
 
 
-def test_digests_equal_in_48_bits_are_not_repeats():
-    import pyarrow as pa
+def thue_morse(turns):
+    word = "a"
+    for _ in range(turns):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
 
-    blobs = [substrings._blob(i, 0, bytes(6) + bytes([i]) * 6) for i in (1, 2)] + [substrings._blob(3, 0, bytes(6) + bytes([1]) * 6)]
-    batch = pa.RecordBatch.from_arrays([pa.array(np.full(3, 7, np.int64)), pa.array(blobs, pa.binary()), pa.array([True] * 3)], names=["anchor", "blob", "fresh"])
-    assert [d for out in substrings._interval_rows(20)([batch]) for d in out.column(0).to_pylist()] == [3]
+
+def test_words_of_equal_polynomial_fingerprints(spark):
+    """A Thue-Morse word and its complement meet under every polynomial modulo a power of two."""
+    one = thue_morse(11)
+    two = one.translate(str.maketrans("ab", "ba"))
+    rows = [(i, " ".join([f"x{i}" if j % 20 == i else w for j in range(20)])) for i, w in enumerate([one, two])]
+    check(spark, [(0, " ".join([one] * 20)), (1, " ".join([two] * 20)), (2, " ".join([one, two] * 15)), *[(10 + i, t) for i, t in rows]], 20)
+
+
+def test_different_words_are_never_removed():
+    with pytest.raises(ValueError, match="different windows"):
+        substrings._without(b"a b c d", [{"begin": 1, "end": 3, "span": b"b x"}])
+    assert substrings._without(b"a b c d", [{"begin": 1, "end": 3, "span": b"b c"}, {"begin": 2, "end": 3, "span": None}]) == ([b"a", b"d"], 4)
