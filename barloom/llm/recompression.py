@@ -13,7 +13,7 @@ import itertools
 
 import numpy as np
 
-ROUNDS = 8
+ROUNDS = 4
 MOST_NAMES = 60_000
 KEY = b"names of tokens"
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)

@@ -241,11 +241,12 @@ def _origin_rows(batches):
     open_, last, words = zstandard.ZstdDecompressor(), None, []
     for batch in batches:
         spans = []
-        for pressed, doc, begin, end, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        batch = batch.filter(batch.column("at").is_valid())
+        for _, pressed, doc, begin, end, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if pressed != last:
                 last, words = pressed, open_.decompress(pressed).split()
             spans.append(b" ".join(words[at : at + end - begin]))
-        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array(spans, pa.binary())], names=["doc", "begin", "end", "span"])
+        yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), batch.column(4), pa.array(spans, pa.binary())], names=["doc", "begin", "end", "span"])
 
 
 def _without(raw: bytes, covers: list[dict]) -> tuple[list[bytes], int]:
@@ -280,11 +281,12 @@ def _kept_rows(as_text: bool):
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, as_text: bool = True) -> DataFrame:
     """One row per document: id, n_words, n_removed, and `kept`, the rest's text (or its SHA-256)."""
-    found = materialize(repeats(docs, id_col, text_col, window), "repeats", few=True)
+    found = materialize(repeats(docs, id_col, text_col, window), "repeats")
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     texts = rows.mapInArrow(_pressed, "doc bigint, _id bigint, pressed binary")
     asked = found.filter("origin is not null").withColumnRenamed("doc", "of")
-    spans = texts.join(asked, F.col("doc") == F.col("origin")).select("pressed", "of", "begin", "end", "at").mapInArrow(_origin_rows, "doc bigint, begin bigint, end bigint, span binary")
+    # A left join of all columns, as below, so that both joins take the texts from one exchange.
+    spans = texts.join(asked, F.col("doc") == F.col("origin"), "left").select("_id", "pressed", "of", "begin", "end", "at").mapInArrow(_origin_rows, "doc bigint, begin bigint, end bigint, span binary")
     covered = found.filter("origin is null").select("doc", "begin", "end", F.lit(None).cast("binary").alias("span")).unionByName(spans)
     covered = covered.groupBy("doc").agg(F.collect_list(F.struct("begin", "end", "span")).alias("covers"))
     out = texts.join(covered, "doc", "left").select("_id", "pressed", "covers").mapInArrow(_kept_rows(as_text), "_id bigint, n_words bigint, n_removed bigint, kept string")
