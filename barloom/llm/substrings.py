@@ -2,16 +2,16 @@
 
 Documents are parsed into locally consistent symbols (see recompression.py): equal windows of `window` words have the
 same interior symbols, so each window picks one of them, its anchor, by content alone, and only windows with the same
-anchor can be equal. One row per anchor occurrence goes to its anchor's task, with a 64-bit digest of each window that
+anchor can be equal. One row per anchor occurrence goes to its anchor's task, with a 56-bit digest of each window that
 picked it. There, among windows with equal anchor and digest, the one with the smallest (doc_id, start) is the first and
-all others are repeats. Windows of anchors that are frequent in a sample go to tasks by anchor and digest, so a hot anchor
+all others are repeats. Windows of anchors that are frequent in a sample go to tasks by most of their words as well, so a hot anchor
 has no task of its own; the sample decides where windows meet and never whether. Each scanning task first combines its
 own windows, so a passage that a third of all documents carry sends one row per block of documents and not one per
 document.
 
 Every repeat is verified: inside a block word by word, else the first occurrence's words travel from its document to the
 repeat's, where they are compared. Only compared words are removed; two different windows with one anchor and digest
-(none is expected in 10^18 pairs) end the job with an error instead of a wrong result. The whole texts lose the covered
+(one in 7 * 10^16 pairs that share an anchor) end the job with an error instead of a wrong result. The whole texts lose the covered
 words.
 
 Defined results: a null or empty text has no words; documents shorter than a window lose nothing; overlapping repeats in
@@ -37,8 +37,8 @@ from barloom.llm.common import materialize
 
 WINDOW = 20
 CHUNK_BYTES = 3_000_000
-DIGEST_BYTES = 8
-SAMPLE_DOCS, HOT_SHARE = 5_000, 2_000
+DIGEST_BYTES = 7
+SAMPLE_DOCS, HOT_SHARE = 5_000, 10_000
 HEAD = np.dtype([("doc", "<i8"), ("start", "<i4")])
 
 
@@ -117,6 +117,14 @@ def hot_anchors(rows: DataFrame, window: int, n_rounds: int) -> np.ndarray:
     return np.sort(np.array([r.anchor for r in counts.filter(F.col("anchor").isNotNull() & (F.col("n") >= least)).collect()], np.int64).view(np.uint64))
 
 
+def _dealt(names: np.ndarray, first: np.ndarray, place: np.ndarray, anchor: np.ndarray, window: int) -> np.ndarray:
+    """Keys for windows of hot anchors: a few neighbouring windows together, by the words that all of these have."""
+    step = max(1, window // 10)
+    nth = (place - first) // step
+    shared = rc.window_digests(names, place - nth * step, window - step + 1)[0] if len(first) else anchor
+    return rc.mix(anchor ^ rc.mix(shared + nth.astype(np.uint64)))
+
+
 def _anchor_rows(window: int, n_rounds: int, hot: np.ndarray):
     """Rows (anchor, blob): blob is the document, the first window and its digests; or, for repeats found in the block
     already, an even key, the document and a word interval with no digests."""
@@ -132,7 +140,7 @@ def _anchor_rows(window: int, n_rounds: int, hot: np.ndarray):
                 continue
             one, two = rc.window_digests(names, first, window)
             split = np.isin(anchor, hot)
-            anchor = np.where(split, rc.mix(anchor ^ rc.mix(one)), anchor)
+            anchor[split] = _dealt(names, first[split], place[split], anchor[split], window)
             doc = docs[first]
             origin = np.cumsum(n_tokens) - n_tokens
             start = first - origin[doc]
@@ -145,12 +153,12 @@ def _anchor_rows(window: int, n_rounds: int, hot: np.ndarray):
             del words
             local = [_blob(k, s, b"") + int(e).to_bytes(4, "little") for k, s, e in zip(keys[doc[a]].tolist(), start[a].tolist(), (start[b] + window).tolist(), strict=True)]
             spread = rc.mix(keys[doc[a]].astype(np.uint64))
-            cut = np.flatnonzero((np.diff(place) != 0) | (anchor[1:] != anchor[:-1]) | (np.diff(doc) != 0) | (np.diff(first) > 1) | (again[1:] != again[:-1]) | split[1:]) + 1
+            cut = np.flatnonzero((np.diff(place) != 0) | (anchor[1:] != anchor[:-1]) | (np.diff(doc) != 0) | (np.diff(first) > 1) | (again[1:] != again[:-1])) + 1
             heads = np.r_[0, cut]
             tails = np.r_[cut, len(first)]
             fresh = ~again[heads]
             heads, tails = heads[fresh], tails[fresh]
-            digests = two.astype("<u8").tobytes()
+            digests = np.ascontiguousarray(two.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :DIGEST_BYTES]).tobytes()
             blobs = [_blob(k, s, digests[DIGEST_BYTES * i : DIGEST_BYTES * j]) for k, s, i, j in zip(keys[doc[heads]].tolist(), start[heads].tolist(), heads.tolist(), tails.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.r_[anchor[heads], spread].view(np.int64)), pa.array(blobs + local, pa.binary()), pa.array(np.r_[np.ones(len(heads), bool), np.zeros(len(a), bool)]),
@@ -175,7 +183,10 @@ def _interval_rows(window: int):
     def judged(anchor, blobs):
         sizes = (np.fromiter(map(len, blobs), np.int64, len(blobs)) - HEAD.itemsize) // DIGEST_BYTES
         heads = np.frombuffer(b"".join([x[: HEAD.itemsize] for x in blobs]), HEAD)
-        digests = np.frombuffer(b"".join([x[HEAD.itemsize :] for x in blobs]), "<u8")
+        flat = np.frombuffer(b"".join([x[HEAD.itemsize :] for x in blobs]), np.uint8).reshape(-1, DIGEST_BYTES)
+        wide = np.zeros((len(flat), 8), np.uint8)
+        wide[:, :DIGEST_BYTES] = flat
+        digests = wide.view("<u8").ravel()
         row = np.repeat(np.arange(len(blobs)), sizes)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         start = heads["start"][row] + nth
@@ -237,16 +248,25 @@ def _pressed(batches):
 
 
 def _origin_rows(batches):
-    """(doc, begin, end, span): the words that should stand at doc's interval, from the document where they stand first."""
+    """(doc, begin, end, span): the words that should stand at doc's interval, from the document where they stand first.
+    Overlapping intervals at one distance are one."""
     open_, last, words = zstandard.ZstdDecompressor(), None, []
     for batch in batches:
-        spans = []
-        batch = batch.filter(batch.column("at").is_valid())
-        for _, pressed, doc, begin, end, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        batch = batch.filter(batch.column("asks").is_valid())
+        out = []
+        for pressed, doc, asks in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
             if pressed != last:
                 last, words = pressed, open_.decompress(pressed).split()
-            spans.append(b" ".join(words[at : at + end - begin]))
-        yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), batch.column(4), pa.array(spans, pa.binary())], names=["doc", "begin", "end", "span"])
+            far = begin = end = None
+            for away, b, e in [*sorted((x["at"] - x["begin"], x["begin"], x["end"]) for x in asks), (None, 0, 0)]:
+                if away == far and b <= end:
+                    end = max(end, e)
+                    continue
+                if far is not None:
+                    out.append((doc, begin, end, b" ".join(words[begin + far : end + far])))
+                far, begin, end = away, b, e
+        cols = list(zip(*out, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc", "begin", "end", "span"])
 
 
 def _without(raw: bytes, covers: list[dict]) -> tuple[list[bytes], int]:
@@ -284,9 +304,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     found = materialize(repeats(docs, id_col, text_col, window), "repeats")
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     texts = rows.mapInArrow(_pressed, "doc bigint, _id bigint, pressed binary")
-    asked = found.filter("origin is not null").withColumnRenamed("doc", "of")
+    asked = found.filter("origin is not null").groupBy("origin", F.col("doc").alias("of")).agg(F.collect_list(F.struct("begin", "end", "at")).alias("asks"))
     # A left join of all columns, as below, so that both joins take the texts from one exchange.
-    spans = texts.join(asked, F.col("doc") == F.col("origin"), "left").select("_id", "pressed", "of", "begin", "end", "at").mapInArrow(_origin_rows, "doc bigint, begin bigint, end bigint, span binary")
+    spans = texts.join(asked, F.col("doc") == F.col("origin"), "left").select("_id", "pressed", "of", "asks").mapInArrow(_origin_rows, "doc bigint, begin bigint, end bigint, span binary")
     covered = found.filter("origin is null").select("doc", "begin", "end", F.lit(None).cast("binary").alias("span")).unionByName(spans)
     covered = covered.groupBy("doc").agg(F.collect_list(F.struct("begin", "end", "span")).alias("covers"))
     out = texts.join(covered, "doc", "left").select("_id", "pressed", "covers").mapInArrow(_kept_rows(as_text), "_id bigint, n_words bigint, n_removed bigint, kept string")

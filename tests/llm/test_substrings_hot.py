@@ -21,7 +21,7 @@ def test_hot_anchors_are_split_and_results_stay(spark):
     assert len(hot)
     made = docs.mapInArrow(substrings._anchor_rows(20, rc.ROUNDS, hot), "anchor bigint, blob binary, fresh boolean")
     whole = docs.mapInArrow(substrings._anchor_rows(20, rc.ROUNDS, hot[:0]), "anchor bigint, blob binary, fresh boolean")
-    most = lambda df: df.filter("fresh").selectExpr("anchor", "(length(blob) - 12) / 8 as n").groupBy("anchor").sum("n").agg({"sum(n)": "max"}).first()[0]
+    most = lambda df: df.filter("fresh").selectExpr("anchor", "(length(blob) - 12) / 7 as n").groupBy("anchor").sum("n").agg({"sum(n)": "max"}).first()[0]
     assert 5 * most(made) < most(whole)
     check(spark, rows, 20)
 
