@@ -4,7 +4,7 @@ Documents are parsed into locally consistent symbols (see recompression.py): equ
 same interior symbols, so each window picks one of them, its anchor, by content alone, and only windows with the same
 anchor can be equal. One row per anchor occurrence goes to its anchor's task, with a 56-bit digest of each window that
 picked it. There, among windows with equal anchor and digest, the one with the smallest (doc_id, start) is the first and
-all others are repeats. Windows of anchors that are frequent in a sample go to tasks by most of their words as well, so a hot anchor
+all others are repeats. Windows of anchors that are frequent in a sample go to tasks by all their words, so a hot anchor
 has no task of its own; the sample decides where windows meet and never whether. Each scanning task first combines its
 own windows, so a passage that a third of all documents carry sends one row per block of documents and not one per
 document.
@@ -38,7 +38,7 @@ from barloom.llm.common import materialize
 WINDOW = 20
 CHUNK_BYTES = 3_000_000
 DIGEST_BYTES = 7
-SAMPLE_DOCS, HOT_SHARE = 5_000, 10_000
+SAMPLE_DOCS, HOT_SHARE = 5_000, 2_000
 HEAD = np.dtype([("doc", "<i8"), ("start", "<i4")])
 
 
@@ -117,14 +117,6 @@ def hot_anchors(rows: DataFrame, window: int, n_rounds: int) -> np.ndarray:
     return np.sort(np.array([r.anchor for r in counts.filter(F.col("anchor").isNotNull() & (F.col("n") >= least)).collect()], np.int64).view(np.uint64))
 
 
-def _dealt(names: np.ndarray, first: np.ndarray, place: np.ndarray, anchor: np.ndarray, window: int) -> np.ndarray:
-    """Keys for windows of hot anchors: a few neighbouring windows together, by the words that all of these have."""
-    step = max(1, window // 10)
-    nth = (place - first) // step
-    shared = rc.window_digests(names, place - nth * step, window - step + 1)[0] if len(first) else anchor
-    return rc.mix(anchor ^ rc.mix(shared + nth.astype(np.uint64)))
-
-
 def _anchor_rows(window: int, n_rounds: int, hot: np.ndarray):
     """Rows (anchor, blob): blob is the document, the first window and its digests; or, for repeats found in the block
     already, an even key, the document and a word interval with no digests."""
@@ -140,7 +132,7 @@ def _anchor_rows(window: int, n_rounds: int, hot: np.ndarray):
                 continue
             one, two = rc.window_digests(names, first, window)
             split = np.isin(anchor, hot)
-            anchor[split] = _dealt(names, first[split], place[split], anchor[split], window)
+            anchor = np.where(split, rc.mix(anchor ^ rc.mix(one)), anchor)
             doc = docs[first]
             origin = np.cumsum(n_tokens) - n_tokens
             start = first - origin[doc]
