@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,9 +10,9 @@ from barloom.sources.sinks import insert_ignore
 
 
 def make_alerts(matches: DataFrame, metadata: Column | None = None) -> DataFrame:
-    """Alerts of matches, with deterministic ids."""
+    """Alerts of matches, with deterministic ids; metadata, unless given, is the values that matched."""
     key = F.concat_ws("|", "rule_id", "symbol", F.unix_micros("ts").cast("string"))
-    none = F.lit(None).cast("map<string,double>")
+    none = F.col("metadata") if "metadata" in matches.columns else F.lit(None).cast("map<string,double>")
     return matches.select(
         F.sha2(key, 256).alias("id"), "rule_id", "rule_name", "symbol", "ts", F.col("price").cast("decimal(20,8)").alias("price"),
         F.concat(F.lit("Rule '"), F.col("rule_name"), F.lit("' matched for "), F.col("symbol")).alias("message"), (none if metadata is None else metadata).alias("metadata"), F.sha2(key, 224).alias("trace_id"),
@@ -32,15 +33,25 @@ def valid_alerts(alerts: DataFrame) -> DataFrame:
 
 
 def cooldown(matches: DataFrame, seconds: int = 10) -> DataFrame:
-    """Greedy per (rule, symbol): a match fires when `seconds` have gone by since the last one that fired."""
-    now = F.unix_micros("ts")
+    """Greedy per (rule, symbol): a match fires when `seconds` have gone by since the last one that fired; matches at the
+    instant of one that fired fire too. A fold over rows in order that keeps one number, so no group is held in memory."""
     gap = seconds * 1_000_000
-    fired = F.aggregate(
-        F.array_sort(F.collect_set(now)), F.array().cast("array<bigint>"),
-        lambda kept, t: F.when((F.size(kept) == 0) | (t >= F.element_at(kept, -1) + gap), F.concat(kept, F.array(t))).otherwise(kept),
-    )
-    kept = matches.groupBy("rule_id", "symbol").agg(fired.alias("fired")).select("rule_id", "symbol", F.explode("fired").alias("_at"))
-    return matches.withColumn("_at", now).join(kept, ["rule_id", "symbol", "_at"], "left_semi").drop("_at")
+
+    def fold(batches):
+        import numpy as np
+
+        now, last = None, None
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("rule_id", "symbol")), strict=True))
+            at, keep = batch.column("_at").to_numpy(), np.zeros(batch.num_rows, bool)
+            for i, (key, t) in enumerate(zip(keys, at.tolist(), strict=True)):
+                if key != now or t >= last + gap:
+                    now, last = key, t
+                keep[i] = t == last
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:-1]], names=batch.schema.names[:-1])
+
+    keyed = matches.withColumn("_at", F.unix_micros("ts")).repartition("rule_id", "symbol").sortWithinPartitions("rule_id", "symbol", "_at")
+    return keyed.mapInArrow(fold, matches.schema)
 
 
 def dedup(alerts: DataFrame) -> DataFrame:
@@ -50,19 +61,23 @@ def dedup(alerts: DataFrame) -> DataFrame:
 
 
 def subscribed(alerts: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """alerts with the user_id of each subscriber(user_id, symbols) that lists their symbol; and once with user_id `*`,
-    which stands for all subscribers with an empty list, if there are any."""
+    """alerts with the user_id of each subscriber(user_id, symbols) that lists their symbol or has an empty list."""
     listed = subscriptions.select("user_id", F.explode("symbols").alias("symbol")).distinct()
-    everyone = subscriptions.filter(F.size("symbols") == 0).limit(1).select(F.lit("*").alias("user_id"))
+    # Whoever lists nothing is sent everything, so this part has a row for each alert and such user.
+    everyone = subscriptions.filter(F.size("symbols") == 0).select("user_id", F.lit(1).alias("_all")).distinct()
     out = alerts.join(listed, "symbol").select(*alerts.columns, "user_id")
-    return out if everyone.isEmpty() else out.unionByName(alerts.withColumn("user_id", F.lit("*")))
+    return out.unionByName(alerts.withColumn("_all", F.lit(1)).join(everyone, "_all").drop("_all"))
 
 
 def user_filter(alerts: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Alerts that some user follows: by rule where rule_id is given, and by symbol where symbols are listed."""
-    one = subscriptions.select("rule_id", F.explode_outer("symbols").alias("s"))
-    by = (alerts["rule_id"] == one["rule_id"]) & (one["s"].isNull() | (one["s"] == alerts["symbol"]))
-    return alerts.join(one, by, "left_semi")
+    one = subscriptions.select(F.col("rule_id").alias("_r"), F.explode_outer("symbols").alias("_s")).distinct()
+    rule, symbol = F.col("_r").isNotNull(), F.col("_s").isNotNull()
+    out = alerts.withColumn("_any", F.lit(1))
+    for mark, rows, keys in (("_by1", one.filter(rule & ~symbol), {"rule_id": "_r"}), ("_by2", one.filter(rule & symbol), {"rule_id": "_r", "symbol": "_s"}), ("_by3", one.filter(~rule & symbol), {"symbol": "_s"})):
+        out = out.join(rows.select(*[F.col(k).alias(c) for c, k in keys.items()], F.lit(True).alias(mark)), list(keys), "left")
+    out = out.join(one.filter(~rule & ~symbol).select(F.lit(1).alias("_any"), F.lit(True).alias("_by4")), "_any", "left")
+    return out.filter("_by1 or _by2 or _by3 or _by4").select(*alerts.columns)
 
 
 def deliver(alerts: DataFrame, history: DataFrame, subscriptions: DataFrame | None = None) -> DataFrame:
@@ -82,7 +97,7 @@ def history(alerts: DataFrame, symbol=None, rule_id=None, start=None, end=None,
         alerts = alerts.filter(F.col("ts") >= F.lit(start).cast("timestamp"))
     if end is not None:
         alerts = alerts.filter(F.col("ts") <= F.lit(end).cast("timestamp"))
-    return alerts.orderBy(F.col("ts").desc(), "id").offset(offset).limit(min(limit, 1000))
+    return alerts.orderBy(F.col("ts").desc(), "id").offset(offset).limit(limit)
 
 
 def by_id(alerts: DataFrame, alert_id: str) -> DataFrame:

@@ -71,7 +71,7 @@ def bars_in_range(bars: DataFrame, symbol: str, start, end) -> DataFrame:
 
 def latest_bars(bars: DataFrame, n: int) -> DataFrame:
     w = Window.partitionBy("symbol").orderBy(F.col("ts").desc())
-    return bars.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n").orderBy("symbol", "ts")
+    return bars.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
 
 
 def search_symbols(df: DataFrame, part: str) -> DataFrame:

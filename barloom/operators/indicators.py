@@ -1,16 +1,21 @@
 """Technical indicators, one value per bar.
 
 Fixed frames are window expressions over one (symbol, ts) order, so Spark plans one exchange and one sort for all of
-them. The recursive family is a sorted fold per symbol in one grouped pass; a two-level form over chunks serves symbols
-with very long histories.
+them. The recursive family is a fold over each symbol's rows in order, which streams; a two-level form over chunks folds
+one very long history in parallel.
 """
 
 from __future__ import annotations
 
+import itertools
+import re
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SECONDS = {"1m": 60, "5m": 300, "15m": 900, "1h": 3600}
 EMA_PERIODS, RSI_PERIODS, SMA_PERIODS = (9, 12, 20, 21, 26, 50, 200), (9, 14, 21), (10, 20, 50, 200)
@@ -77,59 +82,93 @@ def stochastic(df: DataFrame, n: int = 14, smooth: int = 3) -> DataFrame:
     return df.withColumn("stoch_d_14_3_3", guard(n + smooth - 1, F.avg("stoch_14_3_3").over(rows(smooth))))
 
 
-def _smooth(x: np.ndarray, n: int, alpha: float) -> np.ndarray:
-    """Seeded with the mean of the first n, then y += alpha * (x - y)."""
-    out = np.full(len(x), np.nan)
-    if len(x) >= n:
-        y = out[n - 1] = x[:n].mean()
-        for i in range(n, len(x)):
-            y += alpha * (x[i] - y)
-            out[i] = y
-    return out
-
-
-def _recursive_columns(close: np.ndarray, names: list[str]) -> dict[str, np.ndarray]:
-    out, ema = {}, lambda n: _smooth(close, n, 2 / (n + 1))
-    change = np.diff(close)
-    for name in names:
-        kind, _, n = name.partition("_")
-        if kind == "ema":
-            out[name] = ema(int(n))
-        elif kind == "mma":
-            out[name] = _smooth(close, int(n), 1 / int(n))
-        elif kind == "rsi":
-            up, down = _smooth(np.maximum(change, 0), int(n), 1 / int(n)), _smooth(np.maximum(-change, 0), int(n), 1 / int(n))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                rsi = np.where(down == 0, 100.0, 100 - 100 / (1 + up / down))
-            out[name] = np.r_[[np.nan] * min(1, len(close)), np.where(np.isnan(up), np.nan, rsi)]
-        elif name == "macd_12_26_9":
-            out[name] = ema(12) - ema(26)
-        elif name in ("macd_signal", "macd_hist"):
-            line = ema(12) - ema(26)
-            signal = np.r_[np.full(min(25, len(line)), np.nan), _smooth(line[25:], 9, 0.2)]
-            out[name] = signal if name == "macd_signal" else line - signal
-        else:
-            raise ValueError(f"unknown recursive indicator {name}")
-    return out
-
-
+class _Smooth:
+    """Seeded with the mean of the first n, then y += alpha * (x - y); fed piece by piece."""
+
+    def __init__(self, n: int, alpha: float):
+        self.n, self.alpha, self.first, self.last = n, alpha, np.zeros(0), None
+
+    def feed(self, x: np.ndarray) -> np.ndarray:
+        out = np.full(len(x), np.nan)
+        at = 0
+        if self.last is None:
+            at = self.n - len(self.first)
+            self.first = np.r_[self.first, x[:at]]
+            if len(self.first) < self.n:
+                return out
+            self.last = out[at - 1] = self.first.mean()
+        if at < len(x):
+            out[at:] = pd.Series(np.r_[self.last, x[at:]]).ewm(alpha=self.alpha, adjust=False).mean().to_numpy()[1:]
+            self.last = out[-1]
+        return out
+
+
+class _Fold:
+    """One symbol's recursive indicators, fed with its closes in order, piece by piece."""
+
+    def __init__(self, names: list[str]):
+        self.names, self.parts, self.close = names, {}, None
+
+    def _feed(self, part: str, n: int, alpha: float, x: np.ndarray) -> np.ndarray:
+        return self.parts.setdefault(part, _Smooth(n, alpha)).feed(x)
+
+    def feed(self, close: np.ndarray) -> dict[str, np.ndarray]:
+        change = np.diff(close) if self.close is None else np.diff(close, prepend=self.close)
+        new = self.close is None
+        self.close, out, ema = close[-1], {}, {}
+        for name in self.names:
+            kind, _, n = name.partition("_")
+            for m in {"ema": [n], "macd": [12, 26]}.get(kind, []):
+                if (m := int(m)) not in ema:
+                    ema[m] = self._feed(f"ema{m}", m, 2 / (m + 1), close)
+        for name in self.names:
+            kind, _, n = name.partition("_")
+            if kind == "ema":
+                out[name] = ema[int(n)]
+            elif kind == "mma":
+                out[name] = self._feed(name, int(n), 1 / int(n), close)
+            elif kind == "rsi":
+                up, down = (self._feed(name + side, int(n), 1 / int(n), np.maximum(x, 0)) for side, x in (("up", change), ("down", -change)))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    rsi = np.where(down == 0, 100.0, 100 - 100 / (1 + up / down))
+                out[name] = np.r_[[np.nan] * new, np.where(np.isnan(up), np.nan, rsi)]
+            elif name == "macd_12_26_9":
+                out[name] = ema[12] - ema[26]
+            else:
+                line = ema[12] - ema[26]
+                signal = np.full(len(line), np.nan)
+                signal[~np.isnan(line)] = self._feed(name, 9, 0.2, line[~np.isnan(line)])
+                out[name] = signal if name == "macd_signal" else line - signal
+        return out
+
+
+_RECURSIVE = re.compile(r"(?:ema|mma|rsi)_[0-9]+|macd_12_26_9|macd_signal|macd_hist")
 RECURSIVE = [*[f"ema_{n}" for n in EMA_PERIODS], *[f"rsi_{n}" for n in RSI_PERIODS], "macd_12_26_9"]
 
 
 def with_recursive(bars: DataFrame, names: list[str]) -> DataFrame:
-    """bars with the named EMA, MMA, RSI and MACD columns: one sorted fold per symbol, all columns in one pass."""
-    schema = bars.select("symbol", "ts", *[F.lit(0.0).alias(n) for n in names]).schema
-    for field in schema:
-        field.nullable = True
-
-    def fold(pdf):
-        pdf = pdf.sort_values("ts")
-        made = _recursive_columns(pdf["close"].to_numpy(np.float64), names)
-        return pd.DataFrame({"symbol": pdf["symbol"], "ts": pdf["ts"], **made})
-
-    folded = bars.select("symbol", "ts", "close").groupBy("symbol").applyInPandas(fold, schema)
-    cleaned = folded.select("symbol", "ts", *[F.when(~F.isnan(n), F.col(n)).alias(n) for n in names])
-    return bars.join(cleaned, ["symbol", "ts"])
+    """bars with the named EMA, MMA, RSI and MACD columns: one fold over each symbol's bars in order, all columns in one
+    pass. Rows stream through it; a symbol's state is a few numbers, so a long history takes no memory."""
+    if unknown := [n for n in names if not _RECURSIVE.fullmatch(n)]:
+        raise ValueError(f"unknown recursive indicators {unknown}")
+    own = [n for n in dict.fromkeys(names) if n not in bars.columns]
+    schema = T.StructType([*bars.schema.fields, *[T.StructField(n, T.DoubleType()) for n in own]])
+
+    def run(batches):
+        now, fold = None, None
+        for batch in batches:
+            symbols, close = batch.column("symbol").to_pylist(), batch.column("close").cast(pa.float64()).to_numpy(zero_copy_only=False)
+            pieces, at = [], 0
+            for symbol, group in itertools.groupby(symbols):
+                n = sum(1 for _ in group)
+                if fold is None or symbol != now:
+                    now, fold = symbol, _Fold(own)
+                pieces.append(fold.feed(close[at : at + n]))
+                at += n
+            made = [np.concatenate([p[name] for p in pieces]) if pieces else np.zeros(0) for name in own]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, pa.float64(), mask=np.isnan(x)) for x in made]], names=[*batch.schema.names, *own])
+
+    return bars.repartition("symbol").sortWithinPartitions("symbol", "ts").mapInArrow(run, schema) if own else bars
 
 
 def ema_two_level(bars: DataFrame, n: int, chunk: int = 10_000) -> DataFrame:

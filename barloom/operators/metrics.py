@@ -171,12 +171,29 @@ def _with_candles(bars: DataFrame) -> DataFrame:
 _DAILY = {"change_from_close", "change_from_open", "gap_from_close", "avg_volume"}
 
 
+def _in_order_of_need(names: list[str]) -> list[str]:
+    """The registered metrics among names and their dependencies, each after those it depends on."""
+    done: list[str] = []
+
+    def visit(name: str, above: tuple[str, ...]) -> None:
+        if name in above:
+            raise ValueError(f"metrics depend on each other: {' > '.join((*above, name))}")
+        if name in _custom and name not in done:
+            for d in _custom[name][1]:
+                visit(d, (*above, name))
+            done.append(name)
+
+    for name in names:
+        visit(name, ())
+    return done
+
+
 def with_metrics(bars: DataFrame, names: list[str], events: DataFrame | None = None) -> DataFrame:
     """bars with the named metrics only. events(symbol, event_ts, kind) feeds the news and earnings metrics."""
-    own_frame = [n for n in dict.fromkeys([*names, *[d for n in names if n in _custom for d in _custom[n][1]]]) if TF.parts(n)]
+    own = _in_order_of_need(names)
+    names = list(dict.fromkeys([d for n in own for d in _custom[n][1] if d not in _custom] + [n for n in names if n not in _custom]))
+    own_frame = [n for n in names if TF.parts(n)]
     made = catalogue() | {n: lambda n=n: C(n) for n in own_frame}
-    own = [n for n in names if n in _custom]
-    names = list(dict.fromkeys([*[d for n in own for d in _custom[n][1]], *[n for n in names if n not in _custom]]))
     if unknown := [n for n in names if n not in made]:
         raise ValueError(f"unknown metrics {unknown}")
     keep = bars.columns

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 CONDITION = "struct<metric: string, operator: string, value: string, volume_threshold: bigint, calculated_during: string, timeframe: string, value_type: string>"
@@ -74,7 +74,7 @@ def valid_rules(rules: DataFrame) -> DataFrame:
 
 
 def collect_rules(rules: DataFrame, most: int = 5000) -> list[dict]:
-    """The enabled valid rules as dicts; refuses a table beyond `most`, for which `scan_table` is meant."""
+    """The enabled valid rules as dicts; refuses a table beyond `most`: `scan_table` finds the same matches for it."""
     found = [r.asDict(recursive=True) for r in valid_rules(rules.filter("enabled")).limit(most + 1).collect()]
     if len(found) > most:
         raise ValueError(f"more than {most} rules: use scan_table")
@@ -124,20 +124,51 @@ def rule_column(rule: dict) -> Column:
     return reduce(lambda a, b: a & b, parts)
 
 
-def scan(metrics: DataFrame, rules: list[dict]) -> DataFrame:
-    """Matches (symbol, ts, price, rule_id, rule_name) of every row against every rule; non-matches are never exploded."""
-    tried = F.array(*[F.struct(F.lit(r["id"]).alias("rule_id"), F.lit(r["name"]).alias("rule_name"), rule_column(r).alias("matched")) for r in rules])
-    hits = metrics.select("symbol", "ts", F.col("close").alias("price"), F.explode(F.filter(tried, lambda x: x["matched"])).alias("m"))
-    return hits.select("symbol", "ts", "price", "m.rule_id", "m.rule_name")
+def scan(metrics: DataFrame, rules: list[dict], observed: Observation | None = None) -> DataFrame:
+    """Matches (symbol, ts, price, rule_id, rule_name, metadata) of every row against every enabled rule; non-matches are
+    never exploded. metadata holds the values of the rule's metrics. `observed` gets the counters rows, rules_evaluated
+    and rules_matched when the result is computed."""
+    rules = [r for r in rules if r.get("enabled", True)]
+    names = list(dict.fromkeys(c["metric"] for r in rules for c in r["conditions"]))
+    one = lambda r: F.struct(F.lit(r["id"]).alias("rule_id"), F.lit(r["name"]).alias("rule_name"), F.array(*[F.lit(c["metric"]) for c in r["conditions"]]).alias("names"), rule_column(r).alias("matched"))
+    none = F.array().cast("array<struct<rule_id: string, rule_name: string, names: array<string>, matched: boolean>>")
+    tried = F.filter(F.array(*map(one, rules)), lambda x: x["matched"]) if rules else none
+    rows = metrics.select("symbol", "ts", F.col("close").alias("price"), *[F.col(n).cast("double").alias(f"_m{i}") for i, n in enumerate(names)], tried.alias("_hits"))
+    if observed is not None:
+        rows = rows.observe(observed, F.count(F.lit(1)).alias("rows"), (F.count(F.lit(1)) * len(rules)).alias("rules_evaluated"), F.sum(F.size("_hits")).alias("rules_matched"))
+    hits = rows.select("*", F.explode("_hits").alias("m"))
+    values = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.col(f"_m{i}"))]) if names else F.create_map().cast("map<string,double>")
+    return hits.select("symbol", "ts", "price", "m.rule_id", "m.rule_name", F.map_filter(values, lambda k, _: F.array_contains(F.col("m.names"), k)).alias("metadata"))
+
+
+def counters(metrics: DataFrame, rules: list[dict]) -> DataFrame:
+    """One row: symbols and rows scanned, rules evaluated, rules matched."""
+    rules = [r for r in rules if r.get("enabled", True)]
+    hits = sum((F.when(rule_column(r), 1).otherwise(0) for r in rules), F.lit(0))
+    n = F.count(F.lit(1))
+    return metrics.agg(F.countDistinct("symbol").alias("symbols"), n.alias("rows"), (n * len(rules)).alias("rules_evaluated"), F.coalesce(F.sum(hits), F.lit(0)).cast("long").alias("rules_matched"))
+
+
+def long_form(metrics: DataFrame, names: list[str]) -> DataFrame:
+    """(symbol, ts, price, session, reach, metric, value): what `scan_table` joins with rules. reach is the highest volume
+    that a threshold may consult; it is null without those volumes (see `required_metrics`)."""
+    held = set(metrics.columns)
+    volumes = [F.col(v).cast("long") for v in SESSION_VOLUMES if v in held] + [(F.col(v) * scale).cast("long") for v, scale in SCALES.items() if v in held]
+    reach = F.greatest(*volumes) if len(volumes) > 1 else volumes[0] if volumes else F.lit(None).cast("long")
+    pairs = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])
+    return metrics.select("symbol", "ts", F.col("close").alias("price"), "session", reach.alias("reach"), F.explode(pairs).alias("x")).select("symbol", "ts", "price", "session", "reach", "x.*").filter("value is not null")
 
 
 def scan_table(long_metrics: DataFrame, rules: DataFrame) -> DataFrame:
-    """Matches (rule_id, symbol, ts) for rule tables too large to compile: an equi-join on the metric's name.
+    """`scan`'s matches for rule tables too large to compile, by an equi-join on the metric's name. long_metrics: `long_form`.
 
-    long_metrics: (symbol, ts, metric, value). Sessions and thresholds are not consulted here.
+    Only enabled, valid rules count; sessions and volume thresholds are consulted condition by condition.
     """
-    asked = rules.filter("enabled").select(F.col("id").alias("rule_id"), F.size("conditions").alias("n"), F.posexplode("conditions").alias("i", "c"))
-    asked = asked.select("rule_id", "n", "i", "c.metric", "c.operator", F.col("c.value").try_cast("double").alias("other"))
+    asked = valid_rules(rules.filter("enabled")).select(F.col("id").alias("rule_id"), F.col("name").alias("rule_name"), F.size("conditions").alias("n"), F.explode("conditions").alias("c"))
+    asked = asked.select("rule_id", "rule_name", "n", "c.metric", "c.operator", F.col("c.value").try_cast("double").alias("other"), F.coalesce("c.volume_threshold", F.lit(0)).alias("threshold"), F.col("c.calculated_during").alias("during"))
     tried = reduce(lambda a, op: a.when(F.col("operator") == op, compare(F.col("value"), op, F.col("other"))), OPERATORS, F.when(F.lit(False), False))
-    hits = long_metrics.join(asked, "metric").filter(F.coalesce(tried, F.lit(False)))
-    return hits.groupBy("rule_id", "symbol", "ts", "n").agg(F.count(F.lit(1)).alias("k")).filter("k = n").select("rule_id", "symbol", "ts")
+    in_session = ~F.coalesce(F.col("during").isin("premarket", "market", "postmarket"), F.lit(False)) | F.coalesce(F.col("session") == F.col("during"), F.lit(False))
+    reached = (F.col("threshold") <= 0) | F.coalesce(F.col("reach") >= F.col("threshold"), F.lit(False))
+    hits = long_metrics.join(asked, "metric").filter(F.coalesce(tried, F.lit(False)) & in_session & reached)
+    found = hits.groupBy("rule_id", "rule_name", "symbol", "ts", "price", "n").agg(F.count(F.lit(1)).alias("k"), F.map_from_entries(F.array_distinct(F.collect_list(F.struct("metric", "value")))).alias("metadata"))
+    return found.filter("k = n").select("symbol", "ts", "price", "rule_id", "rule_name", "metadata")

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from barloom.operators.indicators import vwap_range
 
 METRICS, WINDOWS, ORDERS = ("change_pct", "volume", "rsi", "relative_volume", "vwap_dist"), ("1m", "5m", "15m", "1h", "1d"), ("asc", "desc")
-SPEC = "list_id string, name string, metric string, time_window string, sort_order string, user_id string, enabled boolean, min_volume double, min_change_pct double, price_min double, price_max double"
+SPEC = "list_id string, name string, metric string, time_window string, sort_order string, user_id string, enabled boolean, min_volume double, min_change_pct double, price_min double, price_max double, exchange string, market_cap_min double, market_cap_max double"
+
+
+LIMITS = ("min_volume", "min_change_pct", "price_min", "price_max", "exchange", "market_cap_min", "market_cap_max")
 
 
 def _column_of(metric: str, window: str) -> str | None:
@@ -30,11 +33,27 @@ def system_specs() -> list[tuple]:
     for w in WINDOWS:
         rows += [(f"gainers_{w}", "change_pct", w, "desc"), (f"losers_{w}", "change_pct", w, "asc"), (f"volume_{w}", "volume", w, "desc")]
     rows += [("rsi_high", "rsi", "1m", "desc"), ("rsi_low", "rsi", "1m", "asc"), ("relative_volume", "relative_volume", "15m", "desc"), ("vwap_dist_high", "vwap_dist", "5m", "desc"), ("vwap_dist_low", "vwap_dist", "5m", "asc")]
-    return [(i, i, m, w, o, None, True, None, None, None, None) for i, m, w, o in rows]
+    return [(i, i, m, w, o, None, True) for i, m, w, o in rows]
 
 
 def spec_table(spark: SparkSession, specs: list[tuple] | None = None) -> DataFrame:
-    return spark.createDataFrame(system_specs() if specs is None else specs, SPEC)
+    """Specs as rows; trailing fields may be left out."""
+    n = SPEC.count(",") + 1
+    return spark.createDataFrame([(*s, *[None] * (n - len(s))) for s in (system_specs() if specs is None else specs)], SPEC)
+
+
+def columns_of(specs: list[tuple]) -> list[str]:
+    """The metric columns that specs rank by."""
+    return sorted({c for _, _, m, w, *_ in specs if (c := _column_of(m, w))})
+
+
+def long_values(latest: DataFrame, columns: list[str], extra: tuple[str, ...] = ()) -> DataFrame:
+    """(symbol, metric, value, close, volume_daily, change_pct, extra...) of one row per symbol; a missing 1-minute volume
+    is the live one."""
+    value = lambda c: F.coalesce(c, "volume_live") if c == "volume_1m" and "volume_live" in latest.columns else F.col(c)
+    pairs = F.array(*[F.struct(F.lit(c).alias("metric"), value(c).cast("double").alias("value")) for c in columns])
+    kept = ["symbol", "close", "volume_daily", F.col("price_change_1m_pct").alias("change_pct"), *extra]
+    return latest.select(*kept, F.explode(pairs).alias("x")).select("symbol", "close", "volume_daily", "change_pct", *extra, "x.*").filter("value is not null")
 
 
 def vwap_dist_signed(window: str) -> Column:
@@ -63,16 +82,20 @@ def routed(specs: DataFrame) -> DataFrame:
 
 
 def ranked(long_values: DataFrame, specs: DataFrame, n: int = 50, offset: int = 0) -> DataFrame:
-    """(list_id, rank, symbol, value): one page of every list. long_values: symbol, metric, value, close, volume_daily, change_pct.
+    """(list_id, rank, symbol, value): one page of every list. long_values: symbol, metric, value, close, volume_daily,
+    change_pct, and where lists ask for them exchange and market_cap.
 
-    Filters are applied before ranking; ties go by symbol.
+    Filters are applied before ranking (a symbol without the value asked for does not pass); ties go by symbol.
     """
     if n < 1:
         raise ValueError("a page has one row at least")
-    asked = routed(specs).select("list_id", F.col("column").alias("metric"), "sort_order", "min_volume", "min_change_pct", "price_min", "price_max")
+    asked = routed(specs).select("list_id", F.col("column").alias("metric"), "sort_order", *LIMITS)
     passes = lambda limit, ok: F.col(limit).isNull() | F.coalesce(ok, F.lit(False))
-    rows = long_values.join(asked, "metric").filter(
+    long_values = long_values.withColumns({c: F.lit(None).cast(t) for c, t in (("exchange", "string"), ("market_cap", "double")) if c not in long_values.columns})
+    rows = long_values.join(asked.withColumnRenamed("exchange", "only_exchange"), "metric").filter(
         passes("min_volume", F.col("volume_daily") >= F.col("min_volume")) & passes("min_change_pct", F.col("change_pct") >= F.col("min_change_pct"))
+        & passes("only_exchange", F.col("exchange") == F.col("only_exchange"))
+        & passes("market_cap_min", F.col("market_cap") >= F.col("market_cap_min")) & passes("market_cap_max", F.col("market_cap") <= F.col("market_cap_max"))
         & passes("price_min", F.col("close") >= F.col("price_min")) & passes("price_max", F.col("close") <= F.col("price_max"))
     )
     signed = F.when(F.col("sort_order") == "asc", F.col("value")).otherwise(-F.col("value"))

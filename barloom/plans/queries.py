@@ -207,7 +207,8 @@ query("atr_bb_stoch", f"WITH {HOUR}, {ATR}, z AS (SELECT *, {SMA(20)} AS mid, {G
 )
 metric_query("trade_count", {f"trade_count_{n}m": f"({G(n, f'sum(trade_count) OVER {W(n)}')})::BIGINT" for n in (1, 2, 5, 15, 60)}, hour_bars, HOUR, whole=tuple(f"trade_count_{n}m" for n in (1, 2, 5, 15, 60)))
 RUN = f"c0 AS (SELECT *, close > open AS green FROM x), c1 AS (SELECT *, CASE WHEN green <> lag(green) OVER {ORD} THEN 1 ELSE 0 END AS turn FROM c0), c2 AS (SELECT *, sum(turn) OVER {ORD} AS island FROM c1), c AS (SELECT *, least(row_number() OVER (PARTITION BY symbol, island ORDER BY ts), 100)::INTEGER AS run FROM c2)"
-metric_query("consecutive_candles", {"consecutive_candles_1m": "CASE WHEN green THEN run ELSE -run END"}, hour_bars, f"{HOUR}, {RUN}", "c", whole=("consecutive_candles_1m",))
+_CANDLES = tuple(f"consecutive_candles_{t}" for t in ("1m", "2m", "5m", "15m", "daily"))
+metric_query("consecutive_candles", dict.fromkeys(_CANDLES, "CASE WHEN green THEN run ELSE -run END"), hour_bars, f"{HOUR}, {RUN}", "c", whole=_CANDLES)
 
 # Recursive indicators -------------------------------------------------------------------------------------------------
 
@@ -223,6 +224,11 @@ query("macd", f"WITH RECURSIVE {USER}, {NUMBERED}, {_ema_sql('e12', 12, '2.0 / 1
 GAINS = f"q0 AS (SELECT *, close - lag(close) OVER {ORD} AS ch FROM x), q AS (SELECT symbol, ts, greatest(ch, 0) AS up, greatest(-ch, 0) AS dn, row_number() OVER {ORD} AS rn FROM q0 WHERE ch IS NOT NULL)"
 query("rsi", f"WITH RECURSIVE {USER}, {GAINS}, {_ema_sql('u', 14, '1.0 / 14', 'up')}, {_ema_sql('v', 14, '1.0 / 14', 'dn')} SELECT symbol, strftime(u.ts, '{TS}') AS ts, {r6('CASE WHEN v.v = 0 THEN 100 ELSE 100 - 100 / (1 + u.v / v.v) END')} AS rsi_14 FROM u JOIN v USING (symbol, rn)")(lambda s, d: final(I.with_indicators(user_bars(s, d), ["rsi_14"]).filter("rsi_14 is not null"), "symbol", "ts", "rsi_14"))
 
+query("mma", f"WITH RECURSIVE {HOUR}, {NUMBERED}, {_ema_sql('m9', 9, '1.0 / 9')}, {_ema_sql('m14', 14, '1.0 / 14')} SELECT q.symbol, strftime(q.ts, '{TS}') AS ts, {r6('m9.v')} AS mma_9, {r6('m14.v')} AS mma_14 FROM q LEFT JOIN m9 USING (symbol, rn) LEFT JOIN m14 USING (symbol, rn)")(lambda s, d: final(I.with_indicators(hour_bars(s, d), ["mma_9", "mma_14"]), "symbol", "ts", "mma_9", "mma_14"))
+query("macd_signal", f"WITH RECURSIVE {HOUR}, {NUMBERED}, {_ema_sql('e12', 12, '2.0 / 13')}, {_ema_sql('e26', 26, '2.0 / 27')}, lq AS (SELECT symbol, e26.ts, e26.rn - 25 AS rn, e12.v - e26.v AS line FROM e26 JOIN e12 USING (symbol, rn)), {_ema_sql('sg', 9, '0.2', 'line', 'lq')} SELECT lq.symbol, strftime(lq.ts, '{TS}') AS ts, {r6('sg.v')} AS macd_signal, {r6('line - sg.v')} AS macd_hist FROM lq JOIN sg USING (symbol, rn)")(
+    lambda s, d: final(I.with_indicators(hour_bars(s, d), ["macd_signal", "macd_hist"]).filter("macd_signal is not null"), "symbol", "ts", "macd_signal", "macd_hist")
+)
+
 # Own timeframes -------------------------------------------------------------------------------------------------------
 FRAMES = {"5m": "s - s % 300", "10m": "s - s % 600", "15m": "s - s % 900", "2h": "s - s % 7200", "4h": "s - s % 14400", "daily": "epoch(et_date)::BIGINT"}
 _COARSE = "SELECT symbol, {b} AS b, max(high) AS high, min(low) AS low, last(close ORDER BY ts) AS close FROM x GROUP BY ALL"
@@ -256,6 +262,12 @@ _EVENTS = "n AS (SELECT user_id::VARCHAR AS symbol, floor(epoch(ts))::BIGINT AS
 query("news_asof", f"WITH {USER}, {_EVENTS}, j AS (SELECT x.symbol, x.ts, x.s - n.es AS age FROM x ASOF LEFT JOIN n ON x.symbol = n.symbol AND x.s >= n.es) SELECT symbol, {STAMP}, {r6('CASE WHEN age <= 86400 THEN age / 60.0 END')} AS minutes_since_news, {r6('CASE WHEN age <= 259200 THEN age / 86400.0 END')} AS days_since_news FROM j")(
     lambda s, d: final(M.with_metrics(user_bars(s, d), ["minutes_since_news", "days_since_news"], by_user(s, d).select("symbol", F.col("ts").alias("event_ts"), F.lit("news").alias("kind")).join(s.read.parquet(f"{d}/events.parquet").filter("event_type = 'error'").select(F.col("user_id").cast("string").alias("symbol"), F.col("ts").cast("timestamp").alias("event_ts")), ["symbol", "event_ts"], "left_semi")), "symbol", "ts", "minutes_since_news", "days_since_news")
 )
+query("earnings_asof", f"WITH {USER}, {_EVENTS}, j AS (SELECT x.symbol, x.ts, n.es - x.s AS ahead FROM x ASOF LEFT JOIN n ON x.symbol = n.symbol AND x.s <= n.es) SELECT symbol, {STAMP}, {r6('ahead / 86400.0')} AS days_until_earnings FROM j")(
+    lambda s, d: final(M.with_metrics(user_bars(s, d), ["days_until_earnings"], s.read.parquet(f"{d}/events.parquet").filter("event_type = 'error'").select(F.col("user_id").cast("string").alias("symbol"), F.col("ts").cast("timestamp").alias("event_ts"), F.lit("earnings").alias("kind"))), "symbol", "ts", "days_until_earnings")
+)
+query("snapshot", f"WITH {_ticks('event_type')}, b0 AS (SELECT symbol, date_trunc('minute', ts) AS bar, {_AGG} FROM ticks WHERE ts <= '{AT}' GROUP BY ALL), z AS (SELECT * EXCLUDE (bar), bar AS ts FROM b0), m AS (SELECT *, {pct('close', f'lag(close, 5) OVER {ORD}')} AS pc5, {G(5, f'sum(volume) OVER {W(5)}')} AS v5 FROM z) SELECT symbol, {STAMP}, {r6('close')} AS price, volume AS volume_live, {r6('CASE WHEN volume > 0 THEN vwap END')} AS vwap_live, {r6('pc5')} AS price_change_5m_pct, v5::BIGINT AS volume_5m FROM m QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1")(
+    lambda s, d: final(M.snapshot(T.ticks_from_events(s, d, "event_type"), AT, ["price", "volume_live", "vwap_live", "price_change_5m_pct", "volume_5m"]), "symbol", "ts", "price", "volume_live", "vwap_live", "price_change_5m_pct", "volume_5m")
+)
 query("fundamentals", f"WITH {DAYS} SELECT symbol, {STAMP}, {r6('close')} AS close, p_size::BIGINT AS attribute FROM x LEFT JOIN (SELECT p_partkey::VARCHAR AS symbol, p_size FROM part) USING (symbol)")(
     lambda s, d: final(M.with_fundamentals(day_bars(s, d), s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").cast("string").alias("symbol"), F.col("p_size").cast("long").alias("attribute"))), "symbol", "ts", "close", "attribute")
 )
@@ -297,9 +309,28 @@ def _rule_table(spark: SparkSession, rules: list[dict]) -> DataFrame:
 
 
 query("rules_scan", f"WITH {SCAN} SELECT symbol, {STAMP}, {r6('price')} AS price, rule_id FROM hits")(lambda s, d: final(matches(s, d), "symbol", "ts", "price", "rule_id"))
-PLAIN = RULES[:4]
-query("rules_scan_table_driven", f"WITH {SCAN} SELECT rule_id, symbol, {STAMP} FROM hits WHERE rule_id IN ('jump', 'range', 'drop', 'low')")(
-    lambda s, d: final(R.scan_table(M.unpivot(M.with_metrics(user_bars(s, d), R.required_metrics(PLAIN)), R.required_metrics(PLAIN)), _rule_table(s, PLAIN)), "rule_id", "symbol", "ts")
+query("rules_scan_table_driven", f"WITH {SCAN} SELECT symbol, {STAMP}, {r6('price')} AS price, rule_id, 'rule ' || rule_id AS rule_name FROM hits")(
+    lambda s, d: final(R.scan_table(R.long_form(M.with_metrics(user_bars(s, d), R.required_metrics(RULES)), sorted({c["metric"] for r in RULES for c in r["conditions"]})), _rule_table(s, [*RULES, _rule("off", ("close", ">", "0"), enabled=False), _rule("bad", ("x-y", ">", "0"))])), "symbol", "ts", "price", "rule_id", "rule_name")
+)
+query("scan_counters", f"WITH {SCAN} SELECT (SELECT count(DISTINCT symbol)::BIGINT FROM k) AS symbols, (SELECT count(*)::BIGINT FROM k) AS rows, (SELECT count(*)::BIGINT * {len(RULES)} FROM k) AS rules_evaluated, (SELECT count(*)::BIGINT FROM hits) AS rules_matched")(lambda s, d: R.counters(M.with_metrics(user_bars(s, d), R.required_metrics(RULES)), RULES))
+query("alert_payload", f"WITH {SCAN} SELECT sha256('jump|' || symbol || '|' || epoch_us(ts)) AS id, symbol, {STAMP}, {r6('close')} AS price, {r6('pc5')} AS change, {r6('v5')} AS volume FROM k WHERE {RULE_SQL['jump']}")(
+    lambda s, d: final(A.make_alerts(matches(s, d, RULES[:1])).select("id", "symbol", "ts", F.col("price").cast("double").alias("price"), F.col("metadata")["price_change_5m_pct"].alias("change"), F.col("metadata")["volume_5m"].alias("volume")), "id", "symbol", "ts", "price", "change", "volume")
+)
+
+
+def event_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """A rule for each event, some with faults."""
+    e, i = spark.read.parquet(f"{sf}/events.parquet"), F.col("event_id")
+    metric = F.when(i % 5 == 0, "x-y").when(i % 5 == 1, "price_change_5m_pct").when(i % 5 == 2, "volume_daily").otherwise("close")
+    condition = F.struct(metric.alias("metric"), F.when(i % 7 == 0, ">>").otherwise(">").alias("operator"), F.when(i % 11 == 0, "abc").otherwise(F.col("value").cast("string")).alias("value"))
+    rule = F.struct(F.when(i % 13 == 0, "").otherwise(i.cast("string")).alias("id"), F.col("event_type").alias("name"), F.when(i % 17 == 0, F.array().cast("array<struct<metric: string, operator: string, value: string>>")).otherwise(F.array(condition)).alias("conditions"))
+    return R.parse_rules(e.select(F.to_json(rule).alias("json")), now="2024-01-01T00:00:00Z")
+
+
+_RULE_ID = "CASE WHEN event_id % 13 = 0 THEN '' ELSE event_id::VARCHAR END"
+query("rules_report", f"SELECT {_RULE_ID} AS rule_id, error IS NULL AS valid, error FROM (SELECT *, CASE WHEN event_id % 13 = 0 THEN 'no id' WHEN event_id % 17 = 0 THEN 'no conditions' WHEN event_id % 5 = 0 THEN 'bad metric name' WHEN event_id % 7 = 0 THEN 'bad operator' WHEN event_id % 11 = 0 THEN 'value not numeric' END AS error FROM events)")(lambda s, d: R.report(event_rules(s, d)))
+query("rules_enriched", f"SELECT {_RULE_ID} AS rule_id, CASE event_id % 5 WHEN 1 THEN '5m' WHEN 2 THEN 'daily' ELSE '' END AS timeframe, CASE event_id % 5 WHEN 1 THEN '%' ELSE '$' END AS value_type, CASE event_id % 5 WHEN 0 THEN 'x-y' WHEN 1 THEN 'price_change' WHEN 2 THEN 'volume' ELSE 'close' END AS base, 'all' AS during FROM events WHERE event_id % 17 <> 0")(
+    lambda s, d: event_rules(s, d).select(F.col("id").alias("rule_id"), F.explode("conditions").alias("c")).select("rule_id", "c.timeframe", "c.value_type", R.base_name(F.col("c.metric")).alias("base"), F.col("c.calculated_during").alias("during"))
 )
 query("volume_prefilter", f"WITH {SCAN} SELECT symbol, {STAMP} FROM k WHERE {THRESHOLD(20000)}")(lambda s, d: final(M.with_metrics(user_bars(s, d), [*R.SESSION_VOLUMES, *R.SCALES]).filter(R.threshold_column(20000)), "symbol", "ts"))
 query("session_prefilter", f"WITH {USER} SELECT symbol, {STAMP} FROM x WHERE session = 'postmarket'")(lambda s, d: final(M.with_metrics(user_bars(s, d), ["close"]).filter(R.session_column("postmarket")), "symbol", "ts"))
@@ -316,26 +347,35 @@ query("alert_construct", f"WITH {COOL} {ALERT}")(lambda s, d: final(fired(s, d),
 query("alert_dedup", f"WITH {COOL} {ALERT}")(lambda s, d: final(A.dedup(fired(s, d).unionByName(fired(s, d))), "rule_id", "symbol", "ts", "message"))
 query("alert_insert_ignore", f"WITH {COOL} {ALERT} WHERE rule_id <> 'low'")(lambda s, d: final(A.deliver(fired(s, d), fired(s, d).filter("rule_id = 'low'")), "rule_id", "symbol", "ts", "message"))
 query("alert_history_page", f"WITH {COOL} {ALERT} WHERE rule_id = 'range' AND s >= 1704844800 ORDER BY s DESC, sha256(rule_id || '|' || symbol || '|' || s * 1000000) LIMIT 20 OFFSET 5")(lambda s, d: final(A.history(fired(s, d), rule_id="range", start="2024-01-10", limit=20, offset=5), "rule_id", "symbol", "ts", "message"))
-query("subscriptions_match", f"WITH {COOL}, a AS ({ALERT}), subs AS (SELECT DISTINCT user_id::VARCHAR AS user_id, (user_id + 1)::VARCHAR AS symbol FROM events) SELECT a.*, user_id FROM a JOIN subs USING (symbol) UNION ALL SELECT a.*, '*' FROM a")(
+query("subscriptions_match", f"WITH {COOL}, a AS ({ALERT}), subs AS (SELECT DISTINCT user_id::VARCHAR AS user_id, (user_id + 1)::VARCHAR AS symbol FROM events) SELECT a.*, user_id FROM a JOIN subs USING (symbol) UNION ALL SELECT a.*, 'all' FROM a")(
     lambda s, d: final(A.subscribed(fired(s, d), by_user(s, d).select(F.col("symbol").alias("user_id"), F.array((F.col("symbol").cast("long") + 1).cast("string")).alias("symbols")).distinct().unionByName(s.createDataFrame([("all", [])], "user_id string, symbols array<string>"))), "rule_id", "symbol", "ts", "message", "user_id")
 )
 
+_FOLLOWED = "subs AS (SELECT DISTINCT CASE WHEN user_id % 3 = 0 THEN 'range' END AS rule_id, CASE WHEN user_id % 2 = 0 THEN user_id::VARCHAR END AS symbol FROM events WHERE user_id % 6 <> 5 AND user_id % 6 <> 1)"
+
+
+def followed(spark: SparkSession, sf: str) -> DataFrame:
+    """Who follows what: a rule, a symbol or both."""
+    u = by_user(spark, sf).select("symbol", (F.col("symbol").cast("long") % 6).alias("k")).filter("k not in (1, 5)")
+    return u.select(F.when(F.col("k") % 3 == 0, "range").alias("rule_id"), F.when(F.col("k") % 2 == 0, F.array("symbol")).otherwise(F.array().cast("array<string>")).alias("symbols"))
+
+
+query("alert_user_filter", f"WITH {COOL}, a AS ({ALERT}), {_FOLLOWED} SELECT * FROM a WHERE EXISTS (SELECT 1 FROM subs u WHERE (u.rule_id IS NULL OR u.rule_id = a.rule_id) AND (u.symbol IS NULL OR u.symbol = a.symbol))")(lambda s, d: final(A.user_filter(fired(s, d), followed(s, d)), "rule_id", "symbol", "ts", "message"))
+
 # Toplists -------------------------------------------------------------------------------------------------------------
-LIST_COLUMNS = sorted({c for _, _, m, w, *_ in K.system_specs() if (c := K._column_of(m, w))})
 
 
-def latest_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    plain = [c for c in LIST_COLUMNS if not c.startswith(("vwap_dist_signed", "rsi"))]
-    df = M.with_metrics(user_bars(spark, sf), list(dict.fromkeys([*plain, "volume_daily", "price_change_1m_pct"])))
-    df = df.withColumns({c: K.vwap_dist_signed(c.rsplit("_", 1)[1]) for c in LIST_COLUMNS if c.startswith("vwap_dist_signed")})
-    df = df.join(I.with_recursive(user_bars(spark, sf), ["rsi_14"]).select("symbol", "ts", "rsi_14"), ["symbol", "ts"])
-    return B.latest_bars(df, 1)
+def latest_metrics(spark: SparkSession, sf: str, columns: list[str]) -> DataFrame:
+    bars = user_bars(spark, sf)
+    df = I.with_recursive(bars, [c for c in columns if c.startswith("rsi")])
+    plain = [c for c in columns if not c.startswith(("vwap_dist_signed", "rsi"))]
+    df = M.with_metrics(df, list(dict.fromkeys([*plain, "volume_daily", "price_change_1m_pct", "volume_live"])))
+    return B.latest_bars(df.withColumns({c: K.vwap_dist_signed(c.rsplit("_", 1)[1]) for c in columns if c.startswith("vwap_dist_signed")}), 1)
 
 
-def list_values(spark: SparkSession, sf: str) -> DataFrame:
-    df = latest_metrics(spark, sf)
-    pairs = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in LIST_COLUMNS])
-    return df.select("symbol", "close", "volume_daily", F.col("price_change_1m_pct").alias("change_pct"), F.explode(pairs).alias("x")).select("symbol", "close", "volume_daily", "change_pct", "x.*").filter("value is not null")
+def list_values(spark: SparkSession, sf: str, specs: list[tuple]) -> DataFrame:
+    columns = K.columns_of(specs)
+    return K.long_values(latest_metrics(spark, sf, columns), columns)
 
 
 LAST = f"{WITH_REFS}, l0 AS (SELECT *, {pct('close', f'lag(close, 5) OVER {ORD}')} AS pc5, (sum(volume) OVER {DAY})::DOUBLE AS vd, {pct('close', VW(300))} AS vs5 FROM y), l AS (SELECT * FROM l0 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1)"
@@ -346,16 +386,37 @@ def _list(i: str, value: str, order: str) -> str:
 
 
 def _lists(*ids: str):  # noqa: ANN202
-    return lambda s, d: final(K.ranked(list_values(s, d), K.spec_table(s).filter(F.col("list_id").isin(*ids)), 10), "list_id", "rank", "symbol", "value")
+    specs = [x for x in K.system_specs() if x[0] in ids]
+    return lambda s, d: final(K.ranked(list_values(s, d, specs), K.spec_table(s, specs), 10), "list_id", "rank", "symbol", "value")
 
 
 query("toplist_gainers", f"WITH {LAST} {_list('gainers_5m', 'pc5', 'DESC')}")(_lists("gainers_5m"))
 query("toplist_losers", f"WITH {LAST} {_list('losers_5m', 'pc5', 'ASC')}")(_lists("losers_5m"))
 query("toplist_several", f"WITH {LAST} " + " UNION ALL ".join(f"SELECT * FROM ({_list(*x)})" for x in (("volume_1d", "vd", "DESC"), ("vwap_dist_high", "vs5", "DESC"), ("vwap_dist_low", "vs5", "ASC"), ("gainers_5m", "pc5", "DESC"))))(_lists("volume_1d", "vwap_dist_high", "vwap_dist_low", "gainers_5m"))
-query("toplist_all_specs")(lambda s, d: final(K.ranked(list_values(s, d), K.spec_table(s), 50), "list_id", "rank", "symbol", "value"))
-query("toplist_cardinality")(lambda s, d: K.cardinality(list_values(s, d), K.spec_table(s)))
+_CHANGES = {"1m": "pc1", "5m": "pc5", "15m": "pc15", "1h": "pc60", "1d": "pcd"}
+_VOLS = {"1m": "coalesce(v1, volume)", "5m": "v5", "15m": "v15", "1h": "v60", "1d": "vd"}
+_LISTED = {**{f"gainers_{w}": (c, "DESC") for w, c in _CHANGES.items()}, **{f"losers_{w}": (c, "ASC") for w, c in _CHANGES.items()}, **{f"volume_{w}": (c, "DESC") for w, c in _VOLS.items()}, "rsi_high": ("rsi", "DESC"), "rsi_low": ("rsi", "ASC"), "relative_volume": ("rv", "DESC"), "vwap_dist_high": ("vs5", "DESC"), "vwap_dist_low": ("vs5", "ASC")}
+_RSI = f"{GAINS.replace('q0 AS', 'g0 AS').replace('FROM q0', 'FROM g0').replace('), q AS', '), gq AS')}, {_ema_sql('ru', 14, '1.0 / 14', 'up', 'gq')}, {_ema_sql('rd', 14, '1.0 / 14', 'dn', 'gq')}"
+ALL_LAST = f"RECURSIVE {WITH_REFS}, {_RSI}, l0 AS (SELECT y.*, {', '.join(f'{pct('close', f'lag(close, {n}) OVER {ORD}')} AS pc{n}' for n in (1, 5, 15, 60))}, {pct('close', 'yesterday_close')} AS pcd, {', '.join(f'({VOLUMES[f'volume_{n}m']})::DOUBLE AS v{n}' for n in (1, 5, 15, 60))}, (sum(volume) OVER {DAY})::DOUBLE AS vd, {G(10, f'volume / nullif(avg(volume) OVER {W(10)}, 0) * 100')} AS rv, {pct('close', VW(300))} AS vs5 FROM y), l AS (SELECT l1.*, CASE WHEN rd.v = 0 THEN 100 ELSE 100 - 100 / (1 + ru.v / rd.v) END AS rsi FROM (SELECT * FROM l0 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1) l1 LEFT JOIN ru ON ru.symbol = l1.symbol AND ru.ts = l1.ts LEFT JOIN rd ON rd.symbol = l1.symbol AND rd.ts = l1.ts)"
+_all_lists = lambda s, d: list_values(s, d, K.system_specs())
+query("toplist_all_specs", f"WITH {ALL_LAST} " + " UNION ALL ".join(f"SELECT * FROM ({_list(i, *x).replace('<= 10', '<= 50')})" for i, x in _LISTED.items()))(lambda s, d: final(K.ranked(_all_lists(s, d), K.spec_table(s), 50), "list_id", "rank", "symbol", "value"))
+query("toplist_cardinality", f"WITH {ALL_LAST} " + " UNION ALL ".join(f"SELECT * FROM (SELECT '{i}' AS list_id, count({v})::BIGINT AS n FROM l) WHERE n > 0" for i, (v, _) in _LISTED.items()))(lambda s, d: K.cardinality(_all_lists(s, d), K.spec_table(s)))
+_FILTERED = [("f", "f", "change_pct", "5m", "desc", None, True, 50.0, None, 5.0, 150.0)]
 query("toplist_filtered", f"WITH {LAST}, f AS (SELECT * FROM l WHERE vd >= 50 AND close BETWEEN 5 AND 150) SELECT (row_number() OVER (ORDER BY pc5 DESC, symbol))::INTEGER AS rank, symbol, {r6('pc5')} AS value FROM f WHERE pc5 IS NOT NULL QUALIFY row_number() OVER (ORDER BY pc5 DESC, symbol) <= 10")(
-    lambda s, d: final(K.ranked(list_values(s, d), K.spec_table(s, [("f", "f", "change_pct", "5m", "desc", None, True, 50.0, None, 5.0, 150.0)]), 10), "rank", "symbol", "value")
+    lambda s, d: final(K.ranked(list_values(s, d, _FILTERED), K.spec_table(s, _FILTERED), 10), "rank", "symbol", "value")
+)
+_TRADED = [("n", "n", "volume", "1d", "desc", None, True, None, None, None, None, "Brand#1", 5.0, 40.0)]
+
+
+def traded_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Latest values of the parts as symbols, with their maker as exchange and size as market value."""
+    part = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").cast("string").alias("symbol"), F.substring("p_brand", 1, 7).alias("exchange"), F.col("p_size").cast("double").alias("market_cap"))
+    last = B.latest_bars(M.with_metrics(day_bars(spark, sf), ["volume_daily", "price_change_1m_pct"]), 1)
+    return K.long_values(M.with_fundamentals(last, part), K.columns_of(_TRADED), ("exchange", "market_cap"))
+
+
+query("toplist_attributes", f"WITH {DAYS}, l AS (SELECT x.symbol, sum(volume) OVER {DAY}::DOUBLE AS vd, x.ts, p_brand, p_size FROM x JOIN part ON p_partkey::VARCHAR = x.symbol), m AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1) SELECT (row_number() OVER (ORDER BY vd DESC, symbol))::INTEGER AS rank, symbol, {r6('vd')} AS value FROM m WHERE substr(p_brand, 1, 7) = 'Brand#1' AND p_size BETWEEN 5 AND 40 QUALIFY row_number() OVER (ORDER BY vd DESC, symbol) <= 25".replace(f"sum(volume) OVER {DAY}::DOUBLE", f"(sum(volume) OVER {DAY})::DOUBLE"))(
+    lambda s, d: final(K.ranked(traded_values(s, d), K.spec_table(s, _TRADED), 25), "rank", "symbol", "value")
 )
 
 # Raw messages ---------------------------------------------------------------------------------------------------------
@@ -388,12 +449,24 @@ PATTERNS = {
     "inside_bar": f"high < {lag('high')} AND low > {lag('low')}", "near_day_high": f"({HI(DAY)} - close) / {HI(DAY)} <= 0.01", "break_over_high": f"close > max(high) OVER {PRE20}", "break_under_low": f"close < min(low) OVER {PRE20}",
     "near_last_high": f"abs(max(high) OVER {PRE20} - close) / max(high) OVER {PRE20} <= 0.01", "reject_high": f"high >= max(high) OVER {PRE20} * (1 - 0.005) AND close <= max(high) OVER {PRE20} * (1 - 0.01)",
     "new_candle_high": f"high > {lag('high')}", "new_candle_low": f"low < {lag('low')}", "volume_spike_2": r6("volume / nullif(avg(volume) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), 0)"),
+    "volume_spike_10": r6("volume / nullif(avg(volume) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 0)"),
+    "near_day_low": f"(close - {LO(DAY)}) / nullif({LO(DAY)}, 0) <= 0.01", "near_last_low": f"abs(close - min(low) OVER {PRE20}) / nullif(min(low) OVER {PRE20}, 0) <= 0.01",
+    "reject_low": f"low <= min(low) OVER {PRE20} * (1 + 0.005) AND close >= min(low) OVER {PRE20} * (1 + 0.01)",
+    "near_market_high": f"(max(CASE WHEN session = 'market' THEN high END) OVER {DAY} - close) / max(CASE WHEN session = 'market' THEN high END) OVER {DAY} <= 0.01",
+    "near_market_low": f"(close - min(CASE WHEN session = 'market' THEN low END) OVER {DAY}) / nullif(min(CASE WHEN session = 'market' THEN low END) OVER {DAY}, 0) <= 0.01",
 }
 query("pattern_candles", sql(HOUR, PATTERNS))(lambda s, d: final(M.with_metrics(hour_bars(s, d), ["close"]).withColumns({k: v for k, v in P.candle_patterns().items() if k in PATTERNS}), "symbol", "ts", *PATTERNS))
 query("pattern_crossings", sql(f"{HOUR}, v AS (SELECT *, {VW(3600)} AS lv FROM x)", {"cross_above": f"{lag('close')} <= {lag('lv')} AND close > lv", "cross_below": f"{lag('close')} >= {lag('lv')} AND close < lv"}, "v"))(
     lambda s, d: final(I.with_indicators(hour_bars(s, d), ["vwap_1h"]).withColumns(P.level_patterns("vwap_1h")).withColumnsRenamed({"cross_above_vwap_1h": "cross_above", "cross_below_vwap_1h": "cross_below"}), "symbol", "ts", "cross_above", "cross_below")
 )
-query("pattern_levels")(lambda s, d: final(I.with_indicators(hour_bars(s, d), ["ema_20"]).withColumns(P.level_patterns("ema_20")), "symbol", "ts", *P.level_patterns("ema_20")))
+_BEF = lambda n: f"(PARTITION BY symbol ORDER BY ts ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+LEVELS = {
+    "cross_above": "pc <= pl AND close > l", "cross_below": "pc >= pl AND close < l", "through": "abs(close - open) >= 3 * body10 AND least(open, close) < l AND greatest(open, close) > l",
+    "support": "low3 <= pl * 1.002 AND close >= l * 1.005", "resistance": "high3 >= pl * 0.998 AND close <= l * 0.995", "back_to": "far3 > 0.005 AND abs(close - l) / l < 0.002",
+}
+query("pattern_levels", f"WITH RECURSIVE {HOUR}, {NUMBERED}, {_ema_sql('e', 20, '2.0 / 21')}, z AS (SELECT q.*, e.v AS l FROM q LEFT JOIN e USING (symbol, rn)), w AS (SELECT *, lag(close) OVER {ORD} AS pc, lag(l) OVER {ORD} AS pl, avg(abs(close - open)) OVER {_BEF(10)} AS body10, min(low) OVER {_BEF(3)} AS low3, max(high) OVER {_BEF(3)} AS high3, max(abs(close - l) / l) OVER {_BEF(3)} AS far3 FROM z) SELECT symbol, {STAMP}, {', '.join(f'{e} AS {c}_ema_20' for c, e in LEVELS.items())} FROM w")(
+    lambda s, d: final(I.with_indicators(hour_bars(s, d), ["ema_20"]).withColumns(P.level_patterns("ema_20")), "symbol", "ts", *P.level_patterns("ema_20"))
+)
 query("pattern_running_60s", f"WITH {_ticks('event_type')}, t AS (SELECT *, floor(epoch(ts))::BIGINT AS s FROM ticks) SELECT seq, {r6('price - first_value(price) OVER (PARTITION BY symbol ORDER BY s RANGE BETWEEN 60 PRECEDING AND CURRENT ROW)')} AS running_60s FROM t")(lambda s, d: final(P.running_60s(T.split_valid(T.ticks_from_events(s, d, "event_type"))[0]), "seq", "running_60s"))
 query("pattern_opening_range", f"WITH {HOUR}, o AS (SELECT symbol, et_date, first(high ORDER BY ts) AS rh, first(low ORDER BY ts) AS rl, min(ts) AS rt FROM x WHERE session = 'market' GROUP BY ALL) SELECT x.symbol, strftime(x.ts, '{TS}') AS ts, coalesce(x.ts > rt AND close > rh, false) AS opening_breakout, coalesce(x.ts > rt AND close < rl, false) AS opening_breakdown FROM x LEFT JOIN o USING (symbol, et_date)")(
     lambda s, d: final(P.opening_range(M.with_metrics(hour_bars(s, d), ["close"])), "symbol", "ts", "opening_breakout", "opening_breakdown")

@@ -12,7 +12,7 @@ SYMBOLS = ("symbol", "sym", "S", "ticker", "instrument")
 PRICES = ("price", "p", "last", "close", "ap", "bp")
 SIZES = ("size", "s", "volume", "qty", "quantity")
 TIMES = ("timestamp", "t", "time", "ts", "datetime")
-FIELDS = sorted({*SYMBOLS, *PRICES, *SIZES, *TIMES, "T", "ev", "type", "bid", "ask"})
+OUT = ("symbol", "ts", "price", "size", "type", "bid", "ask")
 
 
 def _f(name: str) -> Column:
@@ -38,11 +38,13 @@ def normalize(messages: DataFrame, raw_col: str = "raw", provider_col: str | Non
 
     The shape is told by provider_col (alpaca, polygon, mock, generic) or, without it, by the fields present. Where
     ingest_col is given it stands in for an unreadable timestamp; otherwise such a message is rejected. Each message is
-    parsed once, to a map of its fields as text (names differ in case, so a struct would be ambiguous).
+    parsed once, to a map of its fields as text (names differ in case, so a struct would be ambiguous), and read once, to
+    a tick: each is a generator's row, which the optimizer neither repeats for every use nor pulls into later filters.
     """
-    df = messages.withColumn("_fields", F.from_json(raw_col, "map<string,string>"))
+    own = messages.columns
+    df = messages.select("*", F.explode(F.array(F.from_json(raw_col, "map<string,string>"))).alias("_fields"))
     sniffed = F.when(_f("T").isin("t", "q") & _f("S").isNotNull(), "alpaca").when(_f("ev").isin("T", "Q"), "polygon").when(_f("symbol").isNotNull() & _f("price").isNotNull() & _f("timestamp").isNotNull(), "mock").otherwise("generic")
-    df = df.withColumn("_shape", F.coalesce(F.lower(F.col(provider_col)), sniffed) if provider_col else sniffed)
+    df = df.select("*", F.explode(F.array(F.coalesce(F.lower(F.col(provider_col)), sniffed) if provider_col else sniffed)).alias("_shape"))
     shape = F.col("_shape")
     pick = lambda a, p, m, g: F.when(shape == "alpaca", a).when(shape == "polygon", p).when(shape == "mock", m).otherwise(g)
     quote = (_f("T") == "q") | (_f("ev") == "Q")
@@ -52,11 +54,13 @@ def normalize(messages: DataFrame, raw_col: str = "raw", provider_col: str | Non
     ts = pick(_instant("t"), _instant("t"), _instant("timestamp"), F.coalesce(*map(_instant, TIMES)))
     if ingest_col:
         ts = F.coalesce(ts, F.col(ingest_col))
-    out = df.select(
-        "*", pick(F.upper(_f("S")), _f("sym"), _f("symbol"), F.coalesce(*map(_f, SYMBOLS))).alias("symbol"), ts.alias("ts"), price.alias("price"), F.coalesce(size.cast("long"), F.lit(0)).alias("size"),
+    tick = F.struct(
+        pick(F.upper(_f("S")), _f("sym"), _f("symbol"), F.coalesce(*map(_f, SYMBOLS))).alias("symbol"), ts.alias("ts"), price.alias("price"), F.coalesce(size.cast("long"), F.lit(0)).alias("size"),
         F.when(quote, "quote").otherwise(F.coalesce(_f("type"), F.lit("trade"))).alias("type"), F.coalesce(_number("bp"), _number("bid")).alias("bid"), F.coalesce(_number("ap"), _number("ask")).alias("ask"),
     )
-    return out.withColumn("reason", F.when(F.col("_fields").isNull(), "not JSON").otherwise(tick_fault())).drop("_fields", "_shape")
+    out = df.select(*own, F.col("_fields").isNull().alias("_broken"), F.explode(F.array(tick)).alias("_tick"))
+    out = out.select(*own, "_broken", *[F.col(f"_tick.{c}").alias(c) for c in OUT])
+    return out.withColumn("reason", F.when(F.col("_broken"), "not JSON").otherwise(tick_fault())).drop("_broken")
 
 
 def split_normalized(messages: DataFrame, **named) -> tuple[DataFrame, DataFrame]:
