@@ -9,7 +9,8 @@ Labelled pages: LABELLED below (layouts written for this purpose, main blocks ma
 the table itself that mark their article (article, main or role=main); of those a copy without these marks is learned
 too, so that pages without them are decoded from the rest. The sample is for fitting only; every page is decoded, whole.
 
-Defined results: a null or empty html gives an empty text; unclosed and stray tags are tolerated; text outside any tag is
+Parsing is linear in a page's length, whatever is left open. Defined results: a null or empty html gives an empty text;
+pages of any length are taken whole; unclosed and stray tags are tolerated, and text from a tag that never ends is text; text outside any tag is
 a block of its own; equal pages give equal texts; an empty table gives an empty table; other columns are ignored.
 """
 
@@ -17,6 +18,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,18 +32,116 @@ STEPS = 80
 # How HTML's elements are laid out.
 BLOCK_TAGS = frozenset("address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style noscript template svg math iframe object canvas title head textarea audio video".split())
+RAW_TAGS = frozenset("script style template svg iframe title head textarea audio video".split())
 ENDS_P = BLOCK_TAGS - {"br", "label", "button", "option", "select"}
 SAME_CLOSES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_NAMED = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
-_WORDS = re.compile(r"[a-z]+")
+MARKS = {"article", "main"}
+# Class and id words of the parts that are not main text, by part.
+PARTS = {
+    "ad": "ad ads advert adverts advertisement sponsor sponsored promo promoted banner",
+    "menu": "menu nav navbar navigation breadcrumb breadcrumbs toc pagination pager tabs",
+    "side": "sidebar side aside related recommended widget trending popular share social",
+    "notice": "cookie cookies consent notice gdpr popup modal newsletter subscribe signup alert paywall",
+    "comment": "comment comments reply replies disqus discussion respond",
+    "foot": "footer foot copyright legal colophon credits",
+    "head": "header masthead topbar logo site",
+    "form": "form search login contact",
+    "text": "content article post entry story body main text",
+}
+_PART = {w: part for part, words in PARTS.items() for w in words.split()}
+
 
+KNOWN_TAGS = BLOCK_TAGS | VOID_TAGS | frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd mark math noscript object q s samp small span strong sub sup time tt u var".split())
 
-def blocks(page: str | None) -> list[tuple[str, tuple, float]]:
-    """(text, open ancestors as (tag, class and id words), share of linked text) of each leaf block, in page order."""
-    page, out, stack = page or "", [], []
+
+_NAMED = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
+_WORDS = re.compile(r"[a-z]+")
+_NAME = re.compile(r"/?[A-Za-z][^\s/>]*")
+_STOP = re.compile(r"""[>"']""")
+
+
+@dataclass(slots=True)
+class Place:
+    """An open element with what its ancestors add up to, so that a block knows them all by one reference."""
+
+    tag: str = ""
+    tags: frozenset = frozenset()
+    words: frozenset = frozenset()  # class, id and role words of known meaning
+    near: str = "none"  # nearest block tag
+    near_plain: str = "none"  # the same without the tags that mark an article
+    marked: bool = False
+    off: bool = False
+
+    def inside(self, tag: str, named: set[str]) -> Place:
+        here = tag if tag in BLOCK_TAGS and tag not in ("body", "html") else None
+        known = {w for w in named if w in _PART}
+        kind = tag if tag in KNOWN_TAGS else "other"
+        return Place(
+            tag, self.tags if kind in self.tags else self.tags | {kind}, self.words if known <= self.words else self.words | known, here or self.near, here if here and here not in MARKS else self.near_plain,
+            self.marked or tag in MARKS or "main" in named and tag == "div", self.off or tag in ("nav", "footer", "aside", "form") or any(_PART[w] != "text" for w in known),
+        )
+
+
+class _Open:
+    """The open elements. Where each tag stands is kept, so finding one takes no search."""
+
+    def __init__(self):
+        self.places, self.at = [Place()], defaultdict(list)
+
+    def push(self, tag: str, named: set[str]) -> None:
+        self.at[tag].append(len(self.places))
+        self.places.append(self.places[-1].inside(tag, named))
+
+    def last(self, tag: str) -> int:
+        return self.at[tag][-1] if self.at.get(tag) else 0
+
+    def cut(self, at: int) -> None:
+        """Closes the element at this place and all in it."""
+        for place in self.places[at:]:
+            self.at[place.tag].pop()
+        del self.places[at:]
+
+
+class _Scanner:
+    """Finds ends in a page from left to right; what isn't found once is not looked for again, so the work is linear."""
+
+    def __init__(self, page: str):
+        self.page, self.low, self.gone = page, None, set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.gone:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.gone.add(what)
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """Place of the > that ends a tag; a quoted value may hold one. -1: none."""
+        while m := _STOP.search(self.page, at):
+            if m[0] == ">":
+                return m.start()
+            close = self.find(m[0], m.end())
+            at = close + 1 if close >= 0 else m.end()
+        return -1
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """Where the text after the element's closing tag begins; -1: it has none."""
+        if self.low is None:
+            self.low = "".join(c.lower() if "A" <= c <= "Z" else c for c in self.page) if not self.page.isascii() else self.page.lower()
+        if tag in self.gone:
+            return -1
+        found = re.compile(rf"</{re.escape(tag)}\s*>").search(self.low, at)
+        if not found:
+            self.gone.add(tag)
+        return found.end() if found else -1
+
+
+def blocks(page: str | None) -> list[tuple[str, Place, float]]:
+    """(text, place, share of linked text) of each leaf block, in page order. Linear in the page's length."""
+    page, out, opened = page or "", [], _Open()
+    scanner = _Scanner(page)
     text: list[str] = []
     linked = at = 0
 
@@ -48,7 +149,7 @@ def blocks(page: str | None) -> list[tuple[str, tuple, float]]:
         nonlocal linked
         whole = " ".join(html.unescape("".join(text)).split())
         if whole:
-            out.append((whole, tuple(stack), min(1.0, linked / max(1, sum(map(len, text))))))
+            out.append((whole, opened.places[-1], min(1.0, linked / max(1, sum(map(len, text))))))
         text.clear()
         linked = 0
 
@@ -56,73 +157,62 @@ def blocks(page: str | None) -> list[tuple[str, tuple, float]]:
         nonlocal linked
         if piece:
             text.append(piece)
-            if any(t == "a" for t, _ in stack):
+            if opened.at.get("a"):
                 linked += len(piece)
 
-    while m := _TAG.search(page, at):
-        add(page[at : m.start()])
-        at, tag = m.end(), (m[2] or "").lower()
-        if not tag:
+    while (begin := page.find("<", at)) >= 0:
+        add(page[at:begin])
+        if page.startswith("<!--", begin):
+            end = scanner.find("-->", begin + 4)
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        name = _NAME.match(page, begin + 1)
+        end = scanner.tag_end(name.end()) if name else scanner.find(">", begin) if page[begin + 1 : begin + 2] in ("!", "?") else -1
+        if end < 0:
+            add("<")
+            at = begin + 1
+            if name:  # no tag ends behind here
+                break
+            continue
+        at = end + 1
+        if not name:
             continue
-        if m[1]:
+        tag, rest = name[0].lower(), page[name.end() : end]
+        if tag[0] == "/":
+            tag = tag[1:]
             if tag in BLOCK_TAGS:
                 close()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if here := opened.last(tag):
+                opened.cut(here)
             continue
-        if tag in RAW_TAGS and not m[3].rstrip().endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page) if tag != "head" else at
+        if tag in RAW_TAGS and not rest.rstrip().endswith("/"):
+            after = scanner.raw_end(tag, at)
+            at = after if after >= 0 else len(page) if tag != "head" else at
             continue
         if tag in BLOCK_TAGS:
             close()
-            if tag in ENDS_P and any(t == "p" for t, _ in stack):
-                del stack[max(i for i, (t, _) in enumerate(stack) if t == "p") :]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in SAME_CLOSES.get(tag, ()):
-                    break
-                if tag in SAME_CLOSES and stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if tag in ENDS_P and (here := opened.last("p")):
+                opened.cut(here)
+            if tag in SAME_CLOSES and (here := opened.last(tag)) > max(map(opened.last, SAME_CLOSES[tag])):
+                opened.cut(here)
         if tag not in VOID_TAGS:
-            named = frozenset(w for v in _NAMED.findall(m[3]) for w in _WORDS.findall(v.lower())) if m[3] else frozenset()
-            stack.append((tag, named))
+            opened.push(tag, {w for v in _NAMED.findall(rest) for w in _WORDS.findall(v.lower())} if rest else set())
     add(page[at:])
     close()
     return out
 
 
-MARKS = {"article", "main"}
-# Class and id words of the parts that are not main text, by part.
-PARTS = {
-    "ad": "ad ads advert adverts advertisement sponsor sponsored promo promoted banner",
-    "menu": "menu nav navbar navigation breadcrumb breadcrumbs toc pagination pager tabs",
-    "side": "sidebar side aside related recommended widget trending popular share social",
-    "notice": "cookie cookies consent notice gdpr popup modal newsletter subscribe signup alert paywall",
-    "comment": "comment comments reply replies disqus discussion respond",
-    "foot": "footer foot copyright legal colophon credits",
-    "head": "header masthead topbar logo site",
-    "form": "form search login contact",
-    "text": "content article post entry story body main text",
-}
-_PART = {w: part for part, words in PARTS.items() for w in words.split()}
-
-
 def features(page_blocks: list, masked: bool = False) -> list[list[str]]:
     """Feature names of each block. masked: without the tags and roles that mark an article."""
     out, n = [], len(page_blocks)
-    for i, (text, above, linked) in enumerate(page_blocks):
+    for i, (text, place, linked) in enumerate(page_blocks):
         words = text.count(" ") + 1
-        tags = {t for t, _ in above if not (masked and t in MARKS)}
-        parts = {p for t, named in above for w in named if (p := _PART.get(w)) and not (masked and w in MARKS)}
-        near = next((t for t, _ in reversed(above) if t in BLOCK_TAGS and t not in ("body", "html")), "none")
-        if masked and near in MARKS:
-            near = "none"
+        tags = place.tags - MARKS if masked else place.tags
+        parts = {_PART[w] for w in place.words if not (masked and w in MARKS)}
+        near = place.near_plain if masked else place.near
         f = ["bias", f"in={near}", f"words={min(7, words.bit_length())}", f"linked={int(linked * 4)}", f"at={4 * i // max(1, n)}"]
-        f += [f"under={t}" for t in tags]
-        f += [f"part={p}" for p in parts]
+        f += [f"under={t}" for t in sorted(tags)]
+        f += [f"part={p}" for p in sorted(parts)]
         end = text[-1]
         f.append("ends=stop" if end in ".!?…\"”»" else "ends=letter" if end.isalnum() else "ends=other")
         marks = sum(map(text.count, ".,;:"))
@@ -170,11 +260,9 @@ def labelled_pages() -> list[tuple[list, np.ndarray]]:
 def self_labelled(page: str | None) -> tuple[list, np.ndarray] | None:
     """Blocks and labels of a page that marks its article, else None."""
     found = blocks(page)
-    inside = [any(t in MARKS or "main" in named and t == "div" for t, named in above) for _, above, _ in found]
-    if not any(inside):
+    if not any(place.marked for _, place, _ in found):
         return None
-    off = [any(t in ("nav", "footer", "aside", "form") or any(_PART.get(w, "text") != "text" for w in named) for t, named in above) for _, above, _ in found]
-    return found, np.array([int(i and not o) for i, o in zip(inside, off, strict=True)])
+    return found, np.array([int(place.marked and not place.off) for _, place, _ in found])
 
 
 def train(pages: list[tuple[list[list[str]], np.ndarray]], steps: int = STEPS, ridge: float = 1e-4) -> dict:
