@@ -4,10 +4,12 @@ From each rule's regex a Boolean trigram query is derived: a disjunction of conj
 hold (over A-Z-lowered text, so it is weaker than the rule, never stronger). The index holds a posting for each
 document and each trigram that some rule asks for; a rule's candidates are the documents whose postings fill one of its
 conjunctions. Rules without mandatory trigrams have every document as candidate. Candidates are verified by the regex;
-spans come from the gaps between matches, in code points.
+spans come from the gaps between matches, in code points. The candidates are a stored table of ids, and are broadcast
+while they are few (counted), so that no text moves; beyond that texts and candidates are joined by a shuffle.
 
 Defined results: a null text counts as empty; a document without spans has zero counts, the digest of the empty string
-and an empty span list; rows repeated with the same id and text get equal results; an empty table gives an empty table;
+and an empty span list; texts of any length are scanned
+whole; rows repeated with the same id and text get equal results; an empty table gives an empty table;
 other columns are ignored.
 """
 
@@ -21,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import ascii_lower
+from barloom.llm.common import ascii_lower, materialize, small
 
 
 @dataclass(frozen=True)
@@ -136,7 +138,7 @@ def rule_spans(text: Column, rule: Rule, order: int) -> Column:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
     """id and `spans`, the sorted array of all matches."""
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_text_key", F.xxhash64("_text"))
-    told = candidates(rows, rules).withColumnsRenamed({"_id": "_cid", "_text_key": "_ckey"})
+    told = small(materialize(candidates(rows, rules).withColumnsRenamed({"_id": "_cid", "_text_key": "_ckey"}), "candidates", few=True))
     rows = rows.join(told, F.col("_id").eqNullSafe(F.col("_cid")) & (F.col("_text_key") == F.col("_ckey")), "left")
     none = F.array().cast("array<struct<start: int, nth: int, stop: int, kind: string>>")
     parts = []

@@ -76,3 +76,31 @@ def test_trigram_queries():
     assert secrets.trigram_query("abc|bcd") == [frozenset({"abc"}), frozenset({"bcd"})]
     assert secrets.trigram_query("AKIA[A-Z0-9]+") == [frozenset({"aki", "kia"})]
     assert secrets.trigram_query("x(abcd)?y") == [frozenset({"xab", "abc", "bcd", "cdy"})] or secrets.trigram_query("x(abcd)?y") == []
+
+
+NOTICE = {
+    "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-nc": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-sa": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-nc-sa": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3",
+    "": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1",
+}
+
+
+def test_each_notice_has_its_own_label_only(spark):
+    rows = [(i, f"word {i} {text} more words") for i, text in enumerate(NOTICE.values())]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == list(NOTICE)
+
+
+def test_all_notices_hold_their_decisive_words():
+    told = {label: must for _, label, short, _, must, _, _ in licenses.templates() if not short}
+    assert set(told) == set(licenses.NOTICES) and all(told.values())
+
+
+def test_secrets_beyond_the_broadcast_bound(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"password = hunter2hunter{i:04d} AKIA{i:020d}") for i in range(50)], "doc_id long, text string")
+    few = sorted(secrets.scan(docs).collect())
+    monkeypatch.setattr(secrets, "small", lambda table, rows=0: table)
+    assert sorted(secrets.scan(docs).collect()) == few and all(r.n_assign and r.n_access for r in few)
