@@ -14,7 +14,7 @@ from those of the most similar set just computed, by the lists of the elements i
 join two parts not yet connected are emitted: at most one per set and block pair.
 
 Defined results: a null or empty text has an empty set and is linked with nothing; fewer than k words make one shingle of
-the whole sequence; rows repeated with the same id and text are one document and get equal results; rows with a null id
+the whole sequence; texts of any length are taken whole; ids must be below 2^62; rows repeated with the same id and text are one document and get equal results; rows with a null id
 are linked but never name a component (component_id is null where no id is reachable); an empty table gives an empty
 table; other columns are ignored by `join` and passed through by `one_of_each`.
 """

@@ -39,3 +39,13 @@ def test_link_sets_connects_what_all_pairs_do(percent):
 
         pairs = [(i, j) for i in range(60) for j in range(i) if 100 * (n := len(np.intersect1d(sets[i], sets[j]))) >= percent * (len(sets[i]) + len(sets[j]) - n)]
         assert named(jaccard.link_sets(list(range(60)), sets, percent)) == named(pairs)
+
+
+def test_words_of_equal_polynomial_fingerprints_are_not_linked(spark):
+    """A Thue-Morse word and its complement meet under every polynomial modulo a power of two."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, " ".join(["x", "y", word, "z"])), (2, " ".join(["x", "y", other, "z"]))]
+    assert {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1: 1, 2: 2}
