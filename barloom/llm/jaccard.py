@@ -116,20 +116,21 @@ def _chunks(batches):
 
 def _set_rows(k: int, percent: int):
     """(key, a, b, id, shingles). With a key: a posting of document a (b is null), or a tie of a and b found inside the
-    block. Without one: document a, its id and size, and as b its twin, the smallest document of the block with the same
-    set, whose postings are in the same table: both come from one cut of the scan into blocks."""
+    block. Without one: document a, its id and size, and as b and mark the digest of its set (of an empty one, its key).
+    Of equal sets in a block only the smallest document posts."""
 
     def run(batches):
         parts, known = Parts(percent), rc.Names()
         for block in _chunks(batches):
             sets = shingle_sets([r for _, r, _ in block], k, known)
-            marks = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b"%d" % i for i, s in enumerate(sets)]
+            marks = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else d.to_bytes(16, "little") for (d, _, _), s in zip(block, sets, strict=True)]
             first: dict[bytes, tuple[int, np.ndarray]] = {}
             for mark, (key, _, _), s in zip(marks, block, sets, strict=True):
                 first[mark] = (min(key, first[mark][0]) if mark in first else key, s)
+            halves = np.frombuffer(b"".join(marks), np.int64)
             yield _set_batch(
-                pa.nulls(len(block), pa.int64()), [d for d, _, _ in block], pa.array([first[m][0] for m in marks], pa.int64()),
-                pa.array([i for _, _, i in block], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                pa.nulls(len(block), pa.int64()), [d for d, _, _ in block], pa.array(np.ascontiguousarray(halves[::2])),
+                pa.array([i for _, _, i in block], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.ascontiguousarray(halves[1::2])),
             )
             posted = [(d, s) for d, s in first.values() if len(s)]
             if not posted:
@@ -144,13 +145,13 @@ def _set_rows(k: int, percent: int):
             b = pa.array(np.r_[np.zeros(len(heads), np.int64), ties[:, 1]], mask=np.r_[np.ones(len(heads), bool), np.zeros(len(ties), bool)])
             spread = rc.mix(ties[:, 0].astype(np.uint64) ^ rc.mix(ties[:, 1].astype(np.uint64)))
             none = pa.nulls(len(b), pa.int64())
-            yield _set_batch(np.r_[keys[heads], spread].view(np.int64), np.r_[docs[heads], ties[:, 0]], b, none, none)
+            yield _set_batch(np.r_[keys[heads], spread].view(np.int64), np.r_[docs[heads], ties[:, 0]], b, none, none, none)
 
     return run
 
 
-def _set_batch(key, a, b, ids, n):
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(a, pa.int64()), b, ids, n], names=["key", "a", "b", "_id", "n_shingles"])
+def _set_batch(key, a, b, ids, n, mark):
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(a, pa.int64()), b, ids, n, mark], names=["key", "a", "b", "_id", "n_shingles", "mark"])
 
 
 def _tie_rows(batches):
@@ -281,15 +282,18 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK, shingles: int = LARGEST_SHINGLES) -> DataFrame:
     """(doc, _id, n_shingles, component): component is the smallest document key reachable by links."""
     rows = _rows(docs, id_col, text_col)
-    # One pass, stored: a second scan may cut other blocks, and twins there would not be those that were posted here.
-    found = materialize(rows.mapInArrow(_set_rows(k, percent), "key bigint, a bigint, b bigint, _id bigint, n_shingles bigint"), "sets")
+    # One pass, stored: a second scan may cut other blocks, and what is posted depends on them.
+    found = materialize(rows.mapInArrow(_set_rows(k, percent), "key bigint, a bigint, b bigint, _id bigint, n_shingles bigint, mark bigint"), "sets")
     postings = found.filter("key is not null").select("key", "a", "b")
     ties = postings.repartition("key").sortWithinPartitions("key").mapInArrow(_tie_rows, "a bigint, b bigint")
     clusters = components(ties)
-    sized = found.filter("key is null").select(F.col("a").alias("doc"), "_id", "n_shingles", F.col("b").alias("twin"))
+    # Equal sets are one from here on: the smallest document with the set stands for all, its twins.
+    marked = found.filter("key is null").select(F.col("a").alias("doc"), "_id", "n_shingles", "b", "mark")
+    one = marked.groupBy("b", "mark").agg(F.min("doc").alias("twin"))
+    sized = materialize(marked.join(one, ["b", "mark"]).select("doc", "_id", "n_shingles", "twin"), "sized")
     ratio = 100 / (percent - 1)  # a little over the largest ratio of linked sizes, so that linked sets are at most one band apart
     known = small(clusters.select(F.col("node").alias("doc"), F.col("component").alias("cluster")))
-    members = sized.filter("n_shingles > 0").select("doc", "n_shingles").distinct().join(known, "doc")
+    members = sized.filter("n_shingles > 0 and doc = twin").select("doc", "n_shingles").distinct().join(known, "doc")
     members = members.withColumn("own_band", F.floor(F.log("n_shingles") / math.log(ratio)).cast("int"))
     members = materialize(members.withColumn("band", F.explode(F.array(F.col("own_band"), F.col("own_band") - 1))), "members", few=True)
     counts = members.groupBy("cluster", "band").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("band") == F.col("own_band"), 1)).alias("n_own"), F.sum("n_shingles").alias("mass")).filter("n > 1 and n_own > 0")
