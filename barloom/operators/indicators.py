@@ -8,6 +8,7 @@ one very long history in parallel.
 from __future__ import annotations
 
 import itertools
+import json
 import re
 
 import numpy as np
@@ -96,10 +97,10 @@ class _Smooth:
             self.first = np.r_[self.first, x[:at]]
             if len(self.first) < self.n:
                 return out
-            self.last = out[at - 1] = self.first.mean()
+            self.last = out[at - 1] = float(self.first.mean())
         if at < len(x):
             out[at:] = pd.Series(np.r_[self.last, x[at:]]).ewm(alpha=self.alpha, adjust=False).mean().to_numpy()[1:]
-            self.last = out[-1]
+            self.last = float(out[-1])
         return out
 
 
@@ -109,13 +110,26 @@ class _Fold:
     def __init__(self, names: list[str]):
         self.names, self.parts, self.close = names, {}, None
 
+    def state(self) -> str:
+        """All that the next piece needs, as text."""
+        return json.dumps({"close": self.close, "parts": {k: [p.n, p.alpha, p.first.tolist(), p.last] for k, p in self.parts.items()}})
+
+    @classmethod
+    def restored(cls, names: list[str], state: str) -> _Fold:
+        fold, held = cls(names), json.loads(state)
+        fold.close = held["close"]
+        for part, (n, alpha, first, last) in held["parts"].items():
+            fold.parts[part] = smooth = _Smooth(n, alpha)
+            smooth.first, smooth.last = np.array(first, np.float64), last
+        return fold
+
     def _feed(self, part: str, n: int, alpha: float, x: np.ndarray) -> np.ndarray:
         return self.parts.setdefault(part, _Smooth(n, alpha)).feed(x)
 
     def feed(self, close: np.ndarray) -> dict[str, np.ndarray]:
         change = np.diff(close) if self.close is None else np.diff(close, prepend=self.close)
         new = self.close is None
-        self.close, out, ema = close[-1], {}, {}
+        self.close, out, ema = float(close[-1]), {}, {}
         for name in self.names:
             kind, _, n = name.partition("_")
             for m in {"ema": [n], "macd": [12, 26]}.get(kind, []):
@@ -146,12 +160,45 @@ _RECURSIVE = re.compile(r"(?:ema|mma|rsi)_[0-9]+|macd_12_26_9|macd_signal|macd_h
 RECURSIVE = [*[f"ema_{n}" for n in EMA_PERIODS], *[f"rsi_{n}" for n in RSI_PERIODS], "macd_12_26_9"]
 
 
+def _known_recursive(names: list[str]) -> list[str]:
+    if unknown := [n for n in names if not _RECURSIVE.fullmatch(n)]:
+        raise ValueError(f"unknown recursive indicators {unknown}")
+    return list(dict.fromkeys(names))
+
+
+def fold_states(bars: DataFrame, names: list[str]) -> DataFrame:
+    """(symbol, us, fold): time and state after each symbol's last bar, with which a stream can go on. Rows stream through
+    the fold; an empty history gives no states."""
+    own = _known_recursive(names)
+
+    def run(batches):
+        now, fold, last = None, None, None
+
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.string()), pa.array([last], pa.int64()), pa.array([fold.state()], pa.string())], names=["symbol", "us", "fold"])
+
+        for batch in batches:
+            symbols, us, close = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False)
+            at = 0
+            for symbol, group in itertools.groupby(symbols):
+                n = sum(1 for _ in group)
+                if fold is None or symbol != now:
+                    if fold is not None:
+                        yield done()
+                    now, fold = symbol, _Fold(own)
+                fold.feed(close[at : at + n])
+                at += n
+                last = us[at - 1]
+        if fold is not None:
+            yield done()
+
+    return bars.select("symbol", F.unix_micros("ts").alias("us"), F.col("close").cast("double")).repartition("symbol").sortWithinPartitions("symbol", "us").mapInArrow(run, "symbol string, us bigint, fold string")
+
+
 def with_recursive(bars: DataFrame, names: list[str]) -> DataFrame:
     """bars with the named EMA, MMA, RSI and MACD columns: one fold over each symbol's bars in order, all columns in one
     pass. Rows stream through it; a symbol's state is a few numbers, so a long history takes no memory."""
-    if unknown := [n for n in names if not _RECURSIVE.fullmatch(n)]:
-        raise ValueError(f"unknown recursive indicators {unknown}")
-    own = [n for n in dict.fromkeys(names) if n not in bars.columns]
+    own = [n for n in _known_recursive(names) if n not in bars.columns]
     schema = T.StructType([*bars.schema.fields, *[T.StructField(n, T.DoubleType()) for n in own]])
 
     def run(batches):

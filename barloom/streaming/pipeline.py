@@ -1,4 +1,5 @@
-"""Structured Streaming: ticks to bars (watermark), bars to metrics (keyed state), alerts with cooldown, sinks."""
+"""Structured Streaming: ticks to bars (watermark), bars to metrics and recursive indicators (keyed state, begun from
+history), alerts with cooldown, sinks."""
 
 from __future__ import annotations
 
@@ -7,8 +8,10 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from barloom.operators import indicators as I
 from barloom.operators.bars import _ohlcv
 from barloom.sources.ticks import tick_fault
 
@@ -52,14 +55,55 @@ def stream_metrics(bars: DataFrame) -> DataFrame:
     return bars.groupBy("symbol").transformWithStateInPandas(RollingMetrics(), METRICS_SCHEMA, "Append", "None")
 
 
+class RecursiveIndicators(StatefulProcessor):
+    """Per symbol: the fold's few numbers and the time of its last bar, kept between batches."""
+
+    def __init__(self, names: list[str]):
+        self.names = names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "us bigint, fold string")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: ANN001, N802, N803
+        self.held.update((int(initialState["us"].iloc[0]), initialState["fold"].iloc[0]))
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: ANN001, ANN201, N802, N803
+        us, fold = self.held.get() if self.held.exists() else (None, None)
+        new = pd.concat(list(rows))
+        if len(new):  # a symbol of the history alone comes with an empty frame
+            new = new.sort_values("bar_us", kind="stable")
+            new = new if us is None else new[new["bar_us"] > us]
+        if len(new):
+            fold = I._Fold(self.names) if fold is None else I._Fold.restored(self.names, fold)
+            made = fold.feed(new["close"].to_numpy(dtype=float))
+            self.held.update((int(new["bar_us"].iloc[-1]), fold.state()))
+            yield new.drop(columns="bar_us").assign(**made)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_indicators(bars: DataFrame, names: list[str], history: DataFrame | None = None) -> DataFrame:
+    """A bar stream with the named EMA, MMA, RSI and MACD columns.
+
+    history: bars from which each symbol's state is rebuilt before the first batch (a new query's start, or one whose
+    checkpoint is lost); a restarted query goes on from its own checkpoint. Bars not later than the last one folded, such
+    as those a replay repeats, are skipped.
+    """
+    names = I._known_recursive(names)
+    schema = T.StructType([*bars.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
+    first = None if history is None else I.fold_states(history, names).groupBy("symbol")
+    return bars.withColumn("bar_us", F.unix_micros("ts")).groupBy("symbol").transformWithStateInPandas(RecursiveIndicators(names), schema, "Append", "None", first)
+
+
 class Cooldown(StatefulProcessor):
     """Per rule and symbol: lets a match through when the cooldown since the last one let through has gone by."""
 
-    def __init__(self, seconds: int):
-        self.seconds = seconds
+    def __init__(self, seconds: int, ttl_seconds: int | None = None):
+        self.seconds, self.ttl_seconds = seconds, ttl_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "at timestamp")
+        self.last = handle.getValueState("last", "at timestamp", self.ttl_seconds and 1000 * self.ttl_seconds)
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: ANN001, ANN201, N802, N803
         last = self.last.get()[0] if self.last.exists() else None
@@ -77,8 +121,14 @@ class Cooldown(StatefulProcessor):
         pass
 
 
-def stream_cooldown(matches: DataFrame, seconds: int) -> DataFrame:
-    return matches.groupBy("rule_id", "symbol").transformWithStateInPandas(Cooldown(seconds), matches.schema, "Append", "None")
+def stream_cooldown(matches: DataFrame, seconds: int, ttl_seconds: int | None = None) -> DataFrame:
+    """Matches let through. With ttl_seconds, a rule and symbol not heard of for so long (by the clock) are forgotten, so
+    state stays bounded; give more than the cooldown plus the stream's delay. Such a stream always has timers to serve, so
+    it never drains: start its sink with drain=False."""
+    if ttl_seconds is not None and ttl_seconds < seconds:
+        raise ValueError("state must live as long as the cooldown")
+    mode = "None" if ttl_seconds is None else "ProcessingTime"
+    return matches.groupBy("rule_id", "symbol").transformWithStateInPandas(Cooldown(seconds, ttl_seconds), matches.schema, "Append", mode)
 
 
 def stream_dedup(alerts: DataFrame, ttl: str = "1 hour") -> DataFrame:
@@ -95,3 +145,9 @@ def each_batch(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoin
     """A foreachBatch sink (upserts, insert-ignore, toplist pages, rule reload); `write` must be idempotent."""
     writer = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if drain else writer).start()
+
+
+def late_rows(query) -> int:  # noqa: ANN001
+    """Rows that a query's recent batches dropped as later than the watermark, as its stateful operators count them (ticks
+    of one symbol and window that arrive in one task count once)."""
+    return sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])

@@ -2,6 +2,7 @@
 
 import math
 import os
+import time
 
 import duckdb
 import pytest
@@ -215,3 +216,67 @@ def test_queries_without_the_text_folders(tmp_path):
             shutil.copy(root / name, tmp_path)
     told = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert told.stdout.split() == [str(len(Q.QUERIES)), str(len(Q.ORACLES))], told.stderr
+
+
+def in_three_files(df, folder):
+    """df written as three files, the earlier rows in the older ones."""
+    cuts = [None, "2024-01-10", "2024-01-20", None]
+    for low, high in zip(cuts, cuts[1:]):
+        part = df.filter(F.lit(True) if low is None else F.col("ts") >= low).filter(F.lit(True) if high is None else F.col("ts") < high)
+        part.coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_stream_indicators_go_on_from_history(spark, tmp_path):
+    from barloom.operators import indicators as I
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    names = ["ema_9", "mma_14", "rsi_14", "macd_signal"]
+    bars = Q.hour_bars(spark, SF).select("symbol", "ts", "close")
+    want = {(r.symbol, r.ts): r for r in I.with_recursive(bars, names).collect()}
+    bars.write.parquet(str(tmp_path / "all"))
+    in_three_files(spark.read.parquet(str(tmp_path / "all")), str(tmp_path / "bars"))
+    source = spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "bars"))
+    for name, history in (("cold", None), ("seeded", bars.filter("ts < '2024-01-15'")), ("none", bars.limit(0))):
+        stream.append(stream.stream_indicators(source, names, history), str(tmp_path / name), str(tmp_path / f"{name}-ck")).awaitTermination()
+        got = spark.read.parquet(str(tmp_path / name)).collect()
+        ends = {}
+        if name == "seeded":
+            for s, ts in want:
+                if str(ts) < "2024-01-15":
+                    ends[s] = max(ends.get(s, ts), ts)
+        assert {(r.symbol, r.ts) for r in got} == {k for k in want if k[0] not in ends or k[1] > ends[k[0]]} and len(got) > 100
+        for r in got:
+            for n in names:
+                a, b = r[n], want[r.symbol, r.ts][n]
+                assert (a is None or math.isnan(a)) == (b is None) and (b is None or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9))
+
+
+def test_stream_cooldown_equals_batch(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    found = Q.hour_bars(spark, SF).select(F.lit("r").alias("rule_id"), "symbol", "ts", "close")
+    found.write.parquet(str(tmp_path / "all"))
+    in_three_files(spark.read.parquet(str(tmp_path / "all")), str(tmp_path / "in"))
+    source = spark.readStream.schema(found.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for name, ttl in (("kept", None), ("ttl", 100_000)):
+        query = stream.append(stream.stream_cooldown(source, 7200, ttl), str(tmp_path / name), str(tmp_path / f"{name}-ck"), drain=ttl is None)
+        if ttl is None:
+            query.awaitTermination()
+        else:
+            ends = time.time() + 90
+            while time.time() < ends and not (tmp_path / f"{name}-ck" / "commits" / "3").exists():
+                time.sleep(0.2)
+            query.stop()
+        assert {(r.symbol, r.ts) for r in spark.read.parquet(str(tmp_path / name)).collect()} == {(r.symbol, r.ts) for r in A.cooldown(found, 7200).collect()}
+    with pytest.raises(ValueError, match="as long as"):
+        stream.stream_cooldown(source, 7200, 60)
+
+
+def test_late_ticks_are_counted(spark, tmp_path):
+    ticks = T.ticks_from_events(spark, SF, "event_type")
+    late = 0
+    for part in (ticks.filter("ts >= '2024-01-20'"), ticks.filter("ts < '2024-01-02'")):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query = stream.append(stream.stream_bars(T.stream_ticks(spark, str(tmp_path / "in")), 3600, "1 hour"), str(tmp_path / "out"), str(tmp_path / "ck"))
+        query.awaitTermination()
+        late += stream.late_rows(query)
+    assert late == B.ticks_to_bars(ticks.filter("ts < '2024-01-02'"), 3600).count() > 0
