@@ -57,13 +57,25 @@ def test_every_piece_and_every_prefix(library):
     assert [last[i] for i in range(1, len(unit) + 1)] == [library.encode(unit[1:i])[-1] if i > 1 else bpe.ids["▁"] for i in range(1, len(unit) + 1)]
 
 
+def test_the_pair_test_is_that_of_merging():
+    """Whether two tokens stay apart, told from their edges, is what merging their joined text tells."""
+    bpe, rng = PieceBpe(MODEL), random.Random(1)
+    ids = list(bpe.ids.values())
+    for _ in range(20_000):
+        joined = bpe.pieces[rng.choice(ids)] + bpe.pieces[rng.choice(ids)]
+        at = rng.randint(1, len(joined) - 1)
+        if joined[:at] in bpe.ids and joined[at:] in bpe.ids:
+            own = [joined[:at], joined[at:]]
+            assert bpe.fits(*map(bpe.ids.__getitem__, own)) == (bpe.merged(joined) == own)
+
+
 def test_kept_units_change_nothing(library, monkeypatch):
     monkeypatch.setattr(pieces, "KEPT_UNITS", 3)
-    monkeypatch.setattr(pieces, "KEPT_PAIRS", 5)
+    monkeypatch.setattr(pieces, "SLOTS", 4)
     bpe = PieceBpe(MODEL)
     for text in texts(random.Random(9), bpe, 400):
         assert numbers(bpe.encode(text)) == library.encode(text)
-    assert len(bpe.young) <= 3 and len(bpe.old) <= 3 and len(bpe.fitting) <= 5
+    assert len(bpe.old) + len(bpe.young) < 200
 
 
 def test_rows(spark, library):
