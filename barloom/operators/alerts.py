@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.operators.cooldown import cooldown, cooldown_parallel  # noqa: F401
 from barloom.sources.sinks import insert_ignore
 
 
@@ -32,52 +32,42 @@ def valid_alerts(alerts: DataFrame) -> DataFrame:
     return alerts.filter(given("id") & given("rule_id") & given("symbol") & F.col("ts").isNotNull())
 
 
-def cooldown(matches: DataFrame, seconds: int = 10) -> DataFrame:
-    """Greedy per (rule, symbol): a match fires when `seconds` have gone by since the last one that fired; matches at the
-    instant of one that fired fire too. A fold over rows in order that keeps one number, so no group is held in memory."""
-    gap = seconds * 1_000_000
-
-    def fold(batches):
-        import numpy as np
-
-        now, last = None, None
-        for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("rule_id", "symbol")), strict=True))
-            at, keep = batch.column("_at").to_numpy(), np.zeros(batch.num_rows, bool)
-            for i, (key, t) in enumerate(zip(keys, at.tolist(), strict=True)):
-                if key != now or t >= last + gap:
-                    now, last = key, t
-                keep[i] = t == last
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:-1]], names=batch.schema.names[:-1])
-
-    keyed = matches.withColumn("_at", F.unix_micros("ts")).repartition("rule_id", "symbol").sortWithinPartitions("rule_id", "symbol", "_at")
-    return keyed.mapInArrow(fold, matches.schema)
-
-
 def dedup(alerts: DataFrame) -> DataFrame:
     """The first per rule, symbol and second."""
     w = Window.partitionBy("rule_id", "symbol", F.unix_seconds("ts")).orderBy("ts", "id")
     return alerts.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def subscribed(alerts: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """alerts with the user_id of each subscriber(user_id, symbols) that lists their symbol or has an empty list."""
+def _everyone(subscriptions: DataFrame, most: int) -> list:
+    """The users who list nothing, at most `most`: they are carried with each alert, so their number is counted first."""
+    users = [r.user_id for r in subscriptions.filter(F.size("symbols") == 0).select("user_id").distinct().limit(most + 1).collect()]
+    if len(users) > most:
+        raise ValueError(f"more than {most} users are sent everything: deliver to them by a topic of all alerts instead")
+    return users
+
+
+def subscribed(alerts: DataFrame, subscriptions: DataFrame, most: int = 10_000) -> DataFrame:
+    """alerts with the user_id of each subscriber(user_id, symbols) that lists their symbol or has an empty list.
+
+    Users with an empty list are sent everything, so the result has a row for each alert and such user; they are exploded
+    where the alert is, without a shuffle. A null list subscribes to nothing."""
     listed = subscriptions.select("user_id", F.explode("symbols").alias("symbol")).distinct()
-    # Whoever lists nothing is sent everything, so this part has a row for each alert and such user.
-    everyone = subscriptions.filter(F.size("symbols") == 0).select("user_id", F.lit(1).alias("_all")).distinct()
     out = alerts.join(listed, "symbol").select(*alerts.columns, "user_id")
-    return out.unionByName(alerts.withColumn("_all", F.lit(1)).join(everyone, "_all").drop("_all"))
+    everyone = _everyone(subscriptions, most)
+    users = F.array(*map(F.lit, everyone)).cast(f"array<{subscriptions.schema['user_id'].dataType.simpleString()}>")
+    return out.unionByName(alerts.withColumn("user_id", F.explode(users))) if everyone else out
 
 
 def user_filter(alerts: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Alerts that some user follows: by rule where rule_id is given, and by symbol where symbols are listed."""
     one = subscriptions.select(F.col("rule_id").alias("_r"), F.explode_outer("symbols").alias("_s")).distinct()
     rule, symbol = F.col("_r").isNotNull(), F.col("_s").isNotNull()
-    out = alerts.withColumn("_any", F.lit(1))
+    if one.filter(~rule & ~symbol).limit(1).count():
+        return alerts  # somebody follows everything
+    out = alerts
     for mark, rows, keys in (("_by1", one.filter(rule & ~symbol), {"rule_id": "_r"}), ("_by2", one.filter(rule & symbol), {"rule_id": "_r", "symbol": "_s"}), ("_by3", one.filter(~rule & symbol), {"symbol": "_s"})):
         out = out.join(rows.select(*[F.col(k).alias(c) for c, k in keys.items()], F.lit(True).alias(mark)), list(keys), "left")
-    out = out.join(one.filter(~rule & ~symbol).select(F.lit(1).alias("_any"), F.lit(True).alias("_by4")), "_any", "left")
-    return out.filter("_by1 or _by2 or _by3 or _by4").select(*alerts.columns)
+    return out.filter("_by1 or _by2 or _by3").select(*alerts.columns)
 
 
 def deliver(alerts: DataFrame, history: DataFrame, subscriptions: DataFrame | None = None) -> DataFrame:

@@ -1,8 +1,8 @@
 """Technical indicators, one value per bar.
 
 Fixed frames are window expressions over one (symbol, ts) order, so Spark plans one exchange and one sort for all of
-them. The recursive family is a fold over each symbol's rows in order, which streams; a two-level form over chunks folds
-one very long history in parallel.
+them. The recursive family is a fold over each symbol's rows in order, which streams; `prefix` spreads one symbol's fold
+over many tasks.
 """
 
 from __future__ import annotations
@@ -218,30 +218,6 @@ def with_recursive(bars: DataFrame, names: list[str]) -> DataFrame:
     return bars.repartition("symbol").sortWithinPartitions("symbol", "ts").mapInArrow(run, schema) if own else bars
 
 
-def ema_two_level(bars: DataFrame, n: int, chunk: int = 10_000) -> DataFrame:
-    """(symbol, ts, ema_n) by affine maps: each chunk folds from 0, the few chunk ends are combined in order, and each
-    value adds its chunk's start times the decay. Chunks of one symbol are folded in parallel."""
-    a = 2 / (n + 1)
-    numbered = bars.select("symbol", "ts", "close", F.row_number().over(in_order()).alias("i"))
-    numbered = numbered.withColumn("seed", F.avg(F.when(F.col("i") <= n, F.col("close"))).over(Window.partitionBy("symbol"))).filter(F.col("i") >= n)
-    numbered = numbered.withColumn("chunk", F.floor((F.col("i") - n) / chunk))
-
-    def fold(pdf):
-        pdf = pdf.sort_values("i")
-        x, y, out = pdf["close"].to_numpy(), 0.0, []
-        for j, first in enumerate((pdf["i"] == n).tolist()):
-            y = float(pdf["seed"].iloc[0]) if first else y + a * (x[j] - y)
-            out.append(y)
-        steps = np.arange(1, len(x) + 1)
-        fresh = bool((pdf["i"] == n).any())
-        return pdf[["symbol", "ts", "chunk"]].assign(own=out, decay=np.zeros(len(x)) if fresh else (1 - a) ** steps, last=np.arange(len(x)) == len(x) - 1)
-
-    folded = numbered.groupBy("symbol", "chunk").applyInPandas(fold, "symbol string, ts timestamp, chunk long, own double, decay double, last boolean")
-    ends = folded.filter("last").groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("chunk", "own", "decay"))).alias("ends"))
-    start = F.aggregate(F.filter("ends", lambda e: e["chunk"] < F.col("chunk")), F.lit(0.0), lambda y, e: e["own"] + e["decay"] * y)
-    return folded.join(ends, "symbol").select("symbol", "ts", (F.col("own") + F.col("decay") * start).alias(f"ema_{n}"))
-
-
 def builders() -> dict[str, Column]:
     """The frame-based indicators by name."""
     out = {}
@@ -270,16 +246,33 @@ def with_indicators(bars: DataFrame, names: list[str]) -> DataFrame:
 
 
 _registered: dict[str, Column] = {}
+_told: dict[str, tuple[str, str, str]] = {}
 
 
-def register_indicator(name: str, column: Column) -> None:
-    """Adds an indicator under a name of its own."""
+def register_indicator(name: str, column: Column, description: str = "", category: str = "custom", parameters: dict | None = None) -> None:
+    """Adds an indicator under a name of its own, with what `catalogue` tells of it."""
     if name in _registered or name in builders():
         raise ValueError(f"indicator {name} exists")
     _registered[name] = column
+    _told[name] = description, category, json.dumps(parameters or {}, sort_keys=True)
+
+
+def _described(name: str) -> tuple[str, str, str]:
+    """(description, category, parameters as JSON) of a built-in indicator, told from its name."""
+    kind, _, rest = name.partition("_")
+    periods = [float(x) if "." in x else int(x) for x in re.findall(r"(?<![a-z0-9.])[0-9]+(?:\.[0-9]+)?(?![a-z0-9.])", rest)]
+    window = re.search(r"_([0-9]+[mh])", name)
+    what, category = {
+        "rsi": ("relative strength index", "momentum"), "ema": ("exponential moving average", "trend"), "sma": ("simple moving average", "trend"), "mma": ("modified moving average", "trend"), "macd": ("moving average convergence and divergence", "momentum"),
+        "atr": ("average true range", "volatility"), "bb": ("Bollinger band", "volatility"), "stoch": ("stochastic oscillator", "momentum"), "vwap": ("volume weighted average price", "price"), "volume": ("average volume", "volume"),
+        "relative": ("volume over its average", "volume"), "price": ("change of price over a time range", "price"),
+    }[kind]
+    return what, category, json.dumps({"window": window[1]} if window else {"periods": periods}, sort_keys=True)
 
 
 def catalogue(spark) -> DataFrame:  # noqa: ANN001
-    """Names and kinds of all indicators."""
-    kinds = [(n, "window") for n in [*builders(), *_registered, "atr_14", "stoch_14_3_3"]] + [(n, "recursive") for n in RECURSIVE]
-    return spark.createDataFrame(kinds, "name string, kind string")
+    """name, kind, description, category, parameters of all indicators."""
+    recursive = [*RECURSIVE, *[f"mma_{n}" for n in SMA_PERIODS], "macd_signal", "macd_hist"]
+    kinds = [(n, "window") for n in [*builders(), "atr_14", "stoch_14_3_3", "stoch_d_14_3_3"]] + [(n, "recursive") for n in recursive]
+    rows = [(n, k, *_described(n)) for n, k in kinds] + [(n, "registered", *_told[n]) for n in _registered]
+    return spark.createDataFrame(rows, "name string, kind string, description string, category string, parameters string")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.indicators import in_order
-from barloom.operators.metrics import _today
+from barloom.operators.frames import today_rows as _today
 
 C = F.col
 

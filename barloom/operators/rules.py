@@ -59,25 +59,30 @@ def _condition_fault(c: Column) -> Column:
     )
 
 
-def report(rules: DataFrame) -> DataFrame:
-    """(rule_id, valid, error): the first fault of each rule."""
+def rule_fault() -> Column:
+    """The first fault of a rule, or null."""
     faults = F.filter(F.transform("conditions", _condition_fault), lambda x: x.isNotNull())
-    fault = (
+    return (
         F.when(F.coalesce("id", F.lit("")) == "", "no id").when(F.coalesce("name", F.lit("")) == "", "no name").when(F.coalesce(F.size("conditions"), F.lit(0)) < 1, "no conditions")
         .when(F.coalesce("cooldown", F.lit(0)) < 0, "negative cooldown").otherwise(F.get(faults, F.lit(0)))
     )
-    return rules.select(F.col("id").alias("rule_id"), fault.isNull().alias("valid"), fault.alias("error"))
+
+
+def report(rules: DataFrame) -> DataFrame:
+    """(rule_id, valid, error) of each rule."""
+    return rules.select(F.col("id").alias("rule_id"), rule_fault().alias("error")).select("rule_id", F.col("error").isNull().alias("valid"), "error")
 
 
 def valid_rules(rules: DataFrame) -> DataFrame:
-    return rules.join(report(rules).filter("valid").select("rule_id"), rules["id"] == F.col("rule_id"), "left_semi")
+    """The rules without a fault, each row judged for itself, whatever others share its id."""
+    return rules.filter(rule_fault().isNull())
 
 
 def collect_rules(rules: DataFrame, most: int = 5000) -> list[dict]:
-    """The enabled valid rules as dicts; refuses a table beyond `most`: `scan_table` finds the same matches for it."""
+    """The enabled valid rules as dicts; refuses a table beyond `most`: `rule_index.scan_table` finds the same matches for it."""
     found = [r.asDict(recursive=True) for r in valid_rules(rules.filter("enabled")).limit(most + 1).collect()]
     if len(found) > most:
-        raise ValueError(f"more than {most} rules: use scan_table")
+        raise ValueError(f"more than {most} rules: use rule_index.scan_table")
     return found
 
 
@@ -106,39 +111,56 @@ def condition_column(c: dict) -> Column:
     return F.lit(False) if other is None else compare(F.col(c["metric"]).cast("double"), c["operator"], other)
 
 
-def threshold_column(threshold: int | None) -> Column:
-    """True if a session's volume reaches the threshold, or a window's does when scaled to a day."""
+def reach(columns: list[str]) -> Column:
+    """The highest volume that a threshold may consult, of the volumes among the columns; null if there is none."""
+    held = set(columns)
+    volumes = [F.col(v).cast("long") for v in SESSION_VOLUMES if v in held] + [(F.col(v) * scale).cast("long") for v, scale in SCALES.items() if v in held]
+    return F.greatest(*volumes) if len(volumes) > 1 else volumes[0] if volumes else F.lit(None).cast("long")
+
+
+def threshold_column(threshold: int | None, reached: Column | None = None) -> Column:
+    """True if a session's volume reaches the threshold, or a window's does when scaled to a day; reached: `reach`."""
     if not threshold or threshold <= 0:
         return F.lit(True)
-    reached = [F.col(v) >= threshold for v in SESSION_VOLUMES] + [(F.col(v) * scale).cast("long") >= threshold for v, scale in SCALES.items()]
-    return reduce(lambda a, b: a | b, [F.coalesce(x, F.lit(False)) for x in reached])
+    return F.coalesce((reach([*SESSION_VOLUMES, *SCALES]) if reached is None else reached) >= threshold, F.lit(False))
 
 
 def session_column(during: str | None) -> Column:
     return F.lit(True) if during not in ("premarket", "market", "postmarket") else F.coalesce(F.col("session") == during, F.lit(False))
 
 
-def rule_column(rule: dict) -> Column:
+def rule_column(rule: dict, reached: Column | None = None) -> Column:
     """Prefilters first, then the conjunction of the conditions."""
-    parts = [session_column(c.get("calculated_during")) for c in rule["conditions"]] + [threshold_column(c.get("volume_threshold")) for c in rule["conditions"]] + [condition_column(c) for c in rule["conditions"]]
+    sessions = {c.get("calculated_during") for c in rule["conditions"]}
+    most = max((c.get("volume_threshold") or 0 for c in rule["conditions"]), default=0)
+    parts = [*map(session_column, sorted(sessions, key=str)), threshold_column(most, reached), *map(condition_column, rule["conditions"])]
     return reduce(lambda a, b: a & b, parts)
 
 
 def scan(metrics: DataFrame, rules: list[dict], observed: Observation | None = None) -> DataFrame:
     """Matches (symbol, ts, price, rule_id, rule_name, metadata) of every row against every enabled rule; non-matches are
     never exploded. metadata holds the values of the rule's metrics. `observed` gets the counters rows, rules_evaluated
-    and rules_matched when the result is computed."""
+    and rules_matched when the result is computed.
+
+    A row's hits are the numbers of its rules, one generator's row, so that the filter which the optimizer infers for the
+    second generator reads them instead of evaluating all rules again.
+    """
     rules = [r for r in rules if r.get("enabled", True)]
+    if not rules:
+        return metrics.select("symbol", "ts", F.col("close").alias("price"), F.lit("").alias("rule_id"), F.lit("").alias("rule_name"), F.create_map().cast("map<string,double>").alias("metadata")).filter(F.lit(False))
     names = list(dict.fromkeys(c["metric"] for r in rules for c in r["conditions"]))
-    one = lambda r: F.struct(F.lit(r["id"]).alias("rule_id"), F.lit(r["name"]).alias("rule_name"), F.array(*[F.lit(c["metric"]) for c in r["conditions"]]).alias("names"), rule_column(r).alias("matched"))
-    none = F.array().cast("array<struct<rule_id: string, rule_name: string, names: array<string>, matched: boolean>>")
-    tried = F.filter(F.array(*map(one, rules)), lambda x: x["matched"]) if rules else none
-    rows = metrics.select("symbol", "ts", F.col("close").alias("price"), *[F.col(n).cast("double").alias(f"_m{i}") for i, n in enumerate(names)], tried.alias("_hits"))
+    thresholds = any((c.get("volume_threshold") or 0) > 0 for r in rules for c in r["conditions"])
+    rows = metrics.withColumn("_reach", reach(metrics.columns)) if thresholds else metrics
+    tried = F.array_compact(F.array(*[F.when(rule_column(r, F.col("_reach")), F.lit(i)) for i, r in enumerate(rules)]))
+    values = [F.col(n).cast("double").alias(f"_m{i}") for i, n in enumerate(names)]
+    rows = rows.select("symbol", "ts", F.col("close").alias("price"), *values, F.explode(F.array(tried)).alias("_hits"))
     if observed is not None:
         rows = rows.observe(observed, F.count(F.lit(1)).alias("rows"), (F.count(F.lit(1)) * len(rules)).alias("rules_evaluated"), F.sum(F.size("_hits")).alias("rules_matched"))
-    hits = rows.select("*", F.explode("_hits").alias("m"))
-    values = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.col(f"_m{i}"))]) if names else F.create_map().cast("map<string,double>")
-    return hits.select("symbol", "ts", "price", "m.rule_id", "m.rule_name", F.map_filter(values, lambda k, _: F.array_contains(F.col("m.names"), k)).alias("metadata"))
+    hits = rows.select("*", F.explode("_hits").alias("_rule"))
+    of = lambda made: F.get(F.array(*map(made, rules)), F.col("_rule"))
+    shown = of(lambda r: F.array(*[F.lit(c["metric"]) for c in r["conditions"]]))
+    held = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.col(f"_m{i}"))])
+    return hits.select("symbol", "ts", "price", of(lambda r: F.lit(r["id"])).alias("rule_id"), of(lambda r: F.lit(r["name"])).alias("rule_name"), F.map_filter(held, lambda k, _: F.array_contains(shown, k)).alias("metadata"))
 
 
 def counters(metrics: DataFrame, rules: list[dict]) -> DataFrame:
@@ -147,28 +169,3 @@ def counters(metrics: DataFrame, rules: list[dict]) -> DataFrame:
     hits = sum((F.when(rule_column(r), 1).otherwise(0) for r in rules), F.lit(0))
     n = F.count(F.lit(1))
     return metrics.agg(F.countDistinct("symbol").alias("symbols"), n.alias("rows"), (n * len(rules)).alias("rules_evaluated"), F.coalesce(F.sum(hits), F.lit(0)).cast("long").alias("rules_matched"))
-
-
-def long_form(metrics: DataFrame, names: list[str]) -> DataFrame:
-    """(symbol, ts, price, session, reach, metric, value): what `scan_table` joins with rules. reach is the highest volume
-    that a threshold may consult; it is null without those volumes (see `required_metrics`)."""
-    held = set(metrics.columns)
-    volumes = [F.col(v).cast("long") for v in SESSION_VOLUMES if v in held] + [(F.col(v) * scale).cast("long") for v, scale in SCALES.items() if v in held]
-    reach = F.greatest(*volumes) if len(volumes) > 1 else volumes[0] if volumes else F.lit(None).cast("long")
-    pairs = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])
-    return metrics.select("symbol", "ts", F.col("close").alias("price"), "session", reach.alias("reach"), F.explode(pairs).alias("x")).select("symbol", "ts", "price", "session", "reach", "x.*").filter("value is not null")
-
-
-def scan_table(long_metrics: DataFrame, rules: DataFrame) -> DataFrame:
-    """`scan`'s matches for rule tables too large to compile, by an equi-join on the metric's name. long_metrics: `long_form`.
-
-    Only enabled, valid rules count; sessions and volume thresholds are consulted condition by condition.
-    """
-    asked = valid_rules(rules.filter("enabled")).select(F.col("id").alias("rule_id"), F.col("name").alias("rule_name"), F.size("conditions").alias("n"), F.explode("conditions").alias("c"))
-    asked = asked.select("rule_id", "rule_name", "n", "c.metric", "c.operator", F.col("c.value").try_cast("double").alias("other"), F.coalesce("c.volume_threshold", F.lit(0)).alias("threshold"), F.col("c.calculated_during").alias("during"))
-    tried = reduce(lambda a, op: a.when(F.col("operator") == op, compare(F.col("value"), op, F.col("other"))), OPERATORS, F.when(F.lit(False), False))
-    in_session = ~F.coalesce(F.col("during").isin("premarket", "market", "postmarket"), F.lit(False)) | F.coalesce(F.col("session") == F.col("during"), F.lit(False))
-    reached = (F.col("threshold") <= 0) | F.coalesce(F.col("reach") >= F.col("threshold"), F.lit(False))
-    hits = long_metrics.join(asked, "metric").filter(F.coalesce(tried, F.lit(False)) & in_session & reached)
-    found = hits.groupBy("rule_id", "rule_name", "symbol", "ts", "price", "n").agg(F.count(F.lit(1)).alias("k"), F.map_from_entries(F.array_distinct(F.collect_list(F.struct("metric", "value")))).alias("metadata"))
-    return found.filter("k = n").select("symbol", "ts", "price", "rule_id", "rule_name", "metadata")

@@ -16,8 +16,10 @@ from barloom.operators import bars as B
 from barloom.operators import indicators as I
 
 SECONDS = {"1m": 60, "2m": 120, "5m": 300, "10m": 600, "15m": 900, "30m": 1800, "60m": 3600, "2h": 7200, "4h": 14400}
-_NAME = re.compile(r"(change_pct|(?:ema|mma|rsi|sma|atr)_[0-9]+)_([0-9]+[mh]|daily)")
+_NAME = re.compile(r"(change_pct|relative_volume|(?:ema|mma|rsi|sma|atr)_[0-9]+)_([0-9]+[mh]|daily)")
 
+#: Intervals whose mean volume `relative_volume` compares with.
+RELATIVE_TO = 10
 #: The documented ones; any other indicator and timeframe can be asked for by name.
 NAMES = [*[f"change_pct_{t}" for t in ("10m", "2h", "4h")], *[f"rsi_14_{t}" for t in ("1m", "2m", "5m", "15m", "daily")], *[f"atr_14_{t}" for t in ("1m", "5m", "daily")]]
 
@@ -42,7 +44,10 @@ def with_timeframes(bars: DataFrame, names: list[str]) -> DataFrame:
     out = bars
     for timeframe, bases in asked.items():
         indicators = [b for b in bases if b != "change_pct"]
-        coarse = I.with_indicators(B.regroup(bars, _start(timeframe)), indicators)
+        coarse = I.with_indicators(B.regroup(bars, _start(timeframe)), [b for b in indicators if b != "relative_volume"])
+        if "relative_volume" in bases:
+            mean = F.nullif(F.avg("volume").over(I.rows(RELATIVE_TO)), F.lit(0.0))
+            coarse = coarse.withColumn("relative_volume", I.guard(RELATIVE_TO, F.col("volume") / mean * 100))
         held = lambda c, now=timeframe == "1m": F.col(c) if now else F.lag(c).over(I.in_order())
         made = [held(b).alias(f"{b}_{timeframe}") for b in indicators]
         if "change_pct" in bases:

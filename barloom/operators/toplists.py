@@ -8,20 +8,24 @@ from pyspark.sql import functions as F
 from barloom.operators.indicators import vwap_range
 
 METRICS, WINDOWS, ORDERS = ("change_pct", "volume", "rsi", "relative_volume", "vwap_dist"), ("1m", "5m", "15m", "1h", "1d"), ("asc", "desc")
-SPEC = "list_id string, name string, metric string, time_window string, sort_order string, user_id string, enabled boolean, min_volume double, min_change_pct double, price_min double, price_max double, exchange string, market_cap_min double, market_cap_max double"
+SPEC = "list_id string, name string, metric string, time_window string, sort_order string, user_id string, enabled boolean, min_volume double, min_change_pct double, price_min double, price_max double, exchange string, market_cap_min double, market_cap_max double, created_at timestamp"
 
 
 LIMITS = ("min_volume", "min_change_pct", "price_min", "price_max", "exchange", "market_cap_min", "market_cap_max")
 
 
+#: The change that `min_change_pct` reads, by a list's window.
+CHANGES = {"1m": "price_change_1m_pct", "5m": "price_change_5m_pct", "15m": "price_change_15m_pct", "1h": "price_change_60m_pct", "1d": "change_from_close_pct"}
+
+
 def _column_of(metric: str, window: str) -> str | None:
     """The metric column that a list's metric and window mean."""
     if metric == "change_pct":
-        return {"1h": "price_change_60m_pct", "1d": "change_from_close_pct"}.get(window, f"price_change_{window}_pct")
+        return CHANGES.get(window)
     if metric == "volume":
         return {"1h": "volume_60m", "1d": "volume_daily"}.get(window, f"volume_{window}")
     if metric == "relative_volume":
-        return {"1h": "relative_volume_15m", "1d": "relative_volume_daily"}.get(window, f"relative_volume_{window}")
+        return {"1h": "relative_volume_60m", "1d": "relative_volume_daily"}.get(window, f"relative_volume_{window}")
     if metric == "rsi":
         return "rsi_14"
     return f"vwap_dist_signed_{window}" if window in ("5m", "15m", "1h") else None
@@ -47,13 +51,20 @@ def columns_of(specs: list[tuple]) -> list[str]:
     return sorted({c for _, _, m, w, *_ in specs if (c := _column_of(m, w))})
 
 
+def filter_columns(specs: list[tuple]) -> list[str]:
+    """The metric columns that the filters of specs read besides."""
+    return sorted({"volume_daily", *(CHANGES[s[3]] for s in specs if len(s) > 8 and s[8] is not None)})
+
+
 def long_values(latest: DataFrame, columns: list[str], extra: tuple[str, ...] = ()) -> DataFrame:
-    """(symbol, metric, value, close, volume_daily, change_pct, extra...) of one row per symbol; a missing 1-minute volume
-    is the live one."""
+    """(symbol, metric, value, close, volume_daily, changes, extra...) of one row per symbol; changes: the change by window,
+    of those among the columns; a missing 1-minute volume is the live one."""
     value = lambda c: F.coalesce(c, "volume_live") if c == "volume_1m" and "volume_live" in latest.columns else F.col(c)
     pairs = F.array(*[F.struct(F.lit(c).alias("metric"), value(c).cast("double").alias("value")) for c in columns])
-    kept = ["symbol", "close", "volume_daily", F.col("price_change_1m_pct").alias("change_pct"), *extra]
-    return latest.select(*kept, F.explode(pairs).alias("x")).select("symbol", "close", "volume_daily", "change_pct", *extra, "x.*").filter("value is not null")
+    held = [x for w, c in CHANGES.items() if c in latest.columns for x in (F.lit(w), F.col(c).cast("double"))]
+    changes = F.create_map(*held) if held else F.lit(None).cast("map<string,double>")
+    rows = latest.select("symbol", "close", "volume_daily", changes.alias("changes"), *extra, F.explode(pairs).alias("x"))
+    return rows.select("symbol", "close", "volume_daily", "changes", *extra, "x.*").filter("value is not null")
 
 
 def vwap_dist_signed(window: str) -> Column:
@@ -83,17 +94,17 @@ def routed(specs: DataFrame) -> DataFrame:
 
 def ranked(long_values: DataFrame, specs: DataFrame, n: int = 50, offset: int = 0) -> DataFrame:
     """(list_id, rank, symbol, value): one page of every list. long_values: symbol, metric, value, close, volume_daily,
-    change_pct, and where lists ask for them exchange and market_cap.
+    changes, and where lists ask for them exchange and market_cap.
 
     Filters are applied before ranking (a symbol without the value asked for does not pass); ties go by symbol.
     """
     if n < 1:
         raise ValueError("a page has one row at least")
-    asked = routed(specs).select("list_id", F.col("column").alias("metric"), "sort_order", *LIMITS)
+    asked = routed(specs).select("list_id", F.col("column").alias("metric"), "time_window", "sort_order", *LIMITS)
     passes = lambda limit, ok: F.col(limit).isNull() | F.coalesce(ok, F.lit(False))
     long_values = long_values.withColumns({c: F.lit(None).cast(t) for c, t in (("exchange", "string"), ("market_cap", "double")) if c not in long_values.columns})
     rows = long_values.join(asked.withColumnRenamed("exchange", "only_exchange"), "metric").filter(
-        passes("min_volume", F.col("volume_daily") >= F.col("min_volume")) & passes("min_change_pct", F.col("change_pct") >= F.col("min_change_pct"))
+        passes("min_volume", F.col("volume_daily") >= F.col("min_volume")) & passes("min_change_pct", F.try_element_at("changes", F.col("time_window")) >= F.col("min_change_pct"))
         & passes("only_exchange", F.col("exchange") == F.col("only_exchange"))
         & passes("market_cap_min", F.col("market_cap") >= F.col("market_cap_min")) & passes("market_cap_max", F.col("market_cap") <= F.col("market_cap_max"))
         & passes("price_min", F.col("close") >= F.col("price_min")) & passes("price_max", F.col("close") <= F.col("price_max"))
@@ -114,8 +125,18 @@ def cardinality(long_values: DataFrame, specs: DataFrame) -> DataFrame:
     return long_values.join(asked, "metric").groupBy("list_id").agg(F.countDistinct("symbol").alias("n"))
 
 
+def newest_first(specs: DataFrame) -> DataFrame:
+    return specs.orderBy(F.col("created_at").desc_nulls_last(), "list_id")
+
+
 def for_user(specs: DataFrame, user_id: str) -> DataFrame:
-    return specs.filter((F.col("user_id") == user_id) & F.col("enabled"))
+    """A user's lists, disabled ones included, newest first."""
+    return newest_first(specs.filter(F.col("user_id") == user_id))
+
+
+def enabled(specs: DataFrame) -> DataFrame:
+    """All enabled lists, newest first."""
+    return newest_first(specs.filter("enabled"))
 
 
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:

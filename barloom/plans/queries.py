@@ -11,6 +11,8 @@ from barloom.operators import bars as B
 from barloom.operators import indicators as I
 from barloom.operators import metrics as M
 from barloom.operators import patterns as P
+from barloom.operators import prefix as PX
+from barloom.operators import rule_index as RI
 from barloom.operators import rules as R
 from barloom.operators import toplists as K
 from barloom.sources import normalize as N
@@ -219,7 +221,11 @@ def _ema_sql(name: str, n: int, alpha: str, value: str = "close", source: str =
 
 NUMBERED = f"q AS (SELECT *, row_number() OVER {ORD} AS rn FROM x)"
 query("ema", f"WITH RECURSIVE {USER}, {NUMBERED}, {_ema_sql('e9', 9, '2.0 / 10')}, {_ema_sql('e21', 21, '2.0 / 22')} SELECT q.symbol, strftime(q.ts, '{TS}') AS ts, {r6('e9.v')} AS ema_9, {r6('e21.v')} AS ema_21 FROM q LEFT JOIN e9 USING (symbol, rn) LEFT JOIN e21 USING (symbol, rn)")(lambda s, d: final(I.with_indicators(user_bars(s, d), ["ema_9", "ema_21"]), "symbol", "ts", "ema_9", "ema_21"))
-query("ema_two_level", f"WITH RECURSIVE {HOUR}, {NUMBERED}, {_ema_sql('e9', 9, '2.0 / 10')} SELECT symbol, {STAMP}, {r6('v')} AS ema_9 FROM e9")(lambda s, d: final(I.ema_two_level(hour_bars(s, d), 9, 100), "symbol", "ts", "ema_9"))
+query("ema_two_level", f"WITH RECURSIVE {HOUR}, {NUMBERED}, {_ema_sql('e9', 9, '2.0 / 10')} SELECT symbol, {STAMP}, {r6('v')} AS ema_9 FROM e9")(lambda s, d: final(PX.with_recursive_chunked(hour_bars(s, d), ["ema_9"], 4 * 86400).filter("ema_9 is not null"), "symbol", "ts", "ema_9"))
+_LINE = "line AS (SELECT symbol, ts, e12.v - e26.v AS close, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM e12 JOIN e26 USING (symbol, ts))"
+query("recursive_chunked", f"WITH RECURSIVE {HOUR}, {NUMBERED}, {_ema_sql('e12', 12, '2.0 / 13')}, {_ema_sql('e26', 26, '2.0 / 27')}, {_ema_sql('m20', 20, '1.0 / 20')}, {_LINE}, {_ema_sql('sg', 9, '0.2', 'close', 'line')}, g0 AS (SELECT *, close - lag(close) OVER {ORD} AS ch FROM x), g AS (SELECT symbol, ts, greatest(ch, 0) AS up, greatest(-ch, 0) AS dn, row_number() OVER {ORD} AS rn FROM g0 WHERE ch IS NOT NULL), {_ema_sql('u', 14, '1.0 / 14', 'up', 'g')}, {_ema_sql('v', 14, '1.0 / 14', 'dn', 'g')} SELECT symbol, strftime(q.ts, '{TS}') AS ts, {r6('m20.v')} AS mma_20, {r6('CASE WHEN v.v = 0 THEN 100 ELSE 100 - 100 / (1 + u.v / v.v) END')} AS rsi_14, {r6('line.close')} AS macd, {r6('sg.v')} AS macd_signal FROM q LEFT JOIN m20 USING (symbol, ts) LEFT JOIN line USING (symbol, ts) LEFT JOIN sg USING (symbol, ts) LEFT JOIN u USING (symbol, ts) LEFT JOIN v USING (symbol, ts)")(
+    lambda s, d: final(PX.with_recursive_chunked(hour_bars(s, d), ["mma_20", "rsi_14", "macd_12_26_9", "macd_signal"], 4 * 86400).withColumnRenamed("macd_12_26_9", "macd"), "symbol", "ts", "mma_20", "rsi_14", "macd", "macd_signal")
+)
 query("macd", f"WITH RECURSIVE {USER}, {NUMBERED}, {_ema_sql('e12', 12, '2.0 / 13')}, {_ema_sql('e26', 26, '2.0 / 27')} SELECT q.symbol, strftime(q.ts, '{TS}') AS ts, {r6('e12.v - e26.v')} AS macd FROM q LEFT JOIN e12 USING (symbol, rn) LEFT JOIN e26 USING (symbol, rn)")(lambda s, d: final(I.with_indicators(user_bars(s, d), ["macd_12_26_9"]).withColumnRenamed("macd_12_26_9", "macd"), "symbol", "ts", "macd"))
 GAINS = f"q0 AS (SELECT *, close - lag(close) OVER {ORD} AS ch FROM x), q AS (SELECT symbol, ts, greatest(ch, 0) AS up, greatest(-ch, 0) AS dn, row_number() OVER {ORD} AS rn FROM q0 WHERE ch IS NOT NULL)"
 query("rsi", f"WITH RECURSIVE {USER}, {GAINS}, {_ema_sql('u', 14, '1.0 / 14', 'up')}, {_ema_sql('v', 14, '1.0 / 14', 'dn')} SELECT symbol, strftime(u.ts, '{TS}') AS ts, {r6('CASE WHEN v.v = 0 THEN 100 ELSE 100 - 100 / (1 + u.v / v.v) END')} AS rsi_14 FROM u JOIN v USING (symbol, rn)")(lambda s, d: final(I.with_indicators(user_bars(s, d), ["rsi_14"]).filter("rsi_14 is not null"), "symbol", "ts", "rsi_14"))
@@ -257,6 +263,11 @@ def _frame_rsi(t: str) -> str:
 metric_query("rsi_frames", {f"rsi_14_{t}": f"v{t}" for t in ("15m", "daily")}, prelude=f"RECURSIVE {USER}, {_frame_rsi('15m')}, {_frame_rsi('daily')}, {_held({t: f'r{t}' for t in ('15m', 'daily')})}", source="z")
 metric_query("price_change_either", {f"price_change_{n}m_either_pct": f"coalesce({pct('close', f'lag(close, {n}) OVER {ORD}')}, CASE WHEN count(*) OVER {RANGE(n * 60)} >= 2 THEN CASE WHEN {FIRST(n * 60)} = 0 THEN 0 ELSE (close - {FIRST(n * 60)}) / {FIRST(n * 60)} * 100 END END)" for n in (1, 5, 15)})
 
+_FRAME_SMA = lambda t, n: f"(SELECT symbol, b, CASE WHEN count(*) OVER {W(n).replace('ts', 'b')} >= {n} THEN avg(close) OVER {W(n).replace('ts', 'b')} END AS v FROM ({_COARSE.format(b=FRAMES[t])}))"
+_OWN = {"ma_dist_sma10_daily_pct": pct("close", "vdaily"), "atrp_14_5m": "CASE WHEN close > 0 THEN v5m / close * 100 END", "relative_volume_15m": "v15m"}
+_FRAME_RV = f"(SELECT symbol, b, CASE WHEN count(*) OVER {W(10).replace('ts', 'b')} >= 10 THEN volume / nullif(avg(volume) OVER {W(10).replace('ts', 'b')}, 0) * 100 END AS v FROM (SELECT symbol, {FRAMES['15m']} AS b, sum(volume)::BIGINT AS volume FROM x GROUP BY ALL))"
+query("own_frames", sql(f"{USER}, {_held({'daily': _FRAME_SMA('daily', 10), '5m': _FRAME_ATR('5m'), '15m': _FRAME_RV})}", {c: r6(e) for c, e in _OWN.items()}, "z"))(lambda s, d: final(M.with_metrics(user_bars(s, d), list(_OWN), own_frames=True), "symbol", "ts", *_OWN))
+
 # As-of joins and attributes -------------------------------------------------------------------------------------------
 _EVENTS = "n AS (SELECT user_id::VARCHAR AS symbol, floor(epoch(ts))::BIGINT AS es FROM events WHERE event_type = 'error')"
 query("news_asof", f"WITH {USER}, {_EVENTS}, j AS (SELECT x.symbol, x.ts, x.s - n.es AS age FROM x ASOF LEFT JOIN n ON x.symbol = n.symbol AND x.s >= n.es) SELECT symbol, {STAMP}, {r6('CASE WHEN age <= 86400 THEN age / 60.0 END')} AS minutes_since_news, {r6('CASE WHEN age <= 259200 THEN age / 86400.0 END')} AS days_since_news FROM j")(
@@ -268,6 +279,19 @@ query("earnings_asof", f"WITH {USER}, {_EVENTS}, j AS (SELECT x.symbol, x.ts, n.
 query("snapshot", f"WITH {_ticks('event_type')}, b0 AS (SELECT symbol, date_trunc('minute', ts) AS bar, {_AGG} FROM ticks WHERE ts <= '{AT}' GROUP BY ALL), z AS (SELECT * EXCLUDE (bar), bar AS ts FROM b0), m AS (SELECT *, {pct('close', f'lag(close, 5) OVER {ORD}')} AS pc5, {G(5, f'sum(volume) OVER {W(5)}')} AS v5 FROM z) SELECT symbol, {STAMP}, {r6('close')} AS price, volume AS volume_live, {r6('CASE WHEN volume > 0 THEN vwap END')} AS vwap_live, {r6('pc5')} AS price_change_5m_pct, v5::BIGINT AS volume_5m FROM m QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1")(
     lambda s, d: final(M.snapshot(T.ticks_from_events(s, d, "event_type"), AT, ["price", "volume_live", "vwap_live", "price_change_5m_pct", "volume_5m"]), "symbol", "ts", "price", "volume_live", "vwap_live", "price_change_5m_pct", "volume_5m")
 )
+LATE = "2024-01-17 21:30:40"
+#: One symbol of some hundred bars a day, up to an instant after the close.
+ONE = _bars("'all'").replace("WHERE value > 0", f"WHERE value > 0 AND ts <= '{LATE}'")
+_FIVE = "(PARTITION BY symbol ORDER BY et_date ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)"
+_DAY_METRICS = {
+    "change_from_close": dif("close", "yesterday_close"), "change_from_close_postmarket": ON("postmarket", dif("close", "today_close")), "change_from_open_pct": pct("close", "today_open"), "gap_from_close": dif("today_open", "yesterday_close"),
+    "range_today": f"{HI(DAY)} - {LO(DAY)}", "position_in_range_today": POS(DAY), "avg_volume_5d": "av5", "dollar_volume_daily": f"sum(CASE WHEN vwap > 0 THEN vwap ELSE close END * volume) OVER {DAY}",
+    "relative_volume_same_time": f"volume / nullif(avg(volume) OVER (PARTITION BY symbol, {_MIN} ORDER BY et_date ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 0) * 100",
+}
+_DAY_VOLUMES = {"volume_daily": f"sum(volume) OVER {DAY}", "premarket_volume": f"sum(CASE WHEN session = 'premarket' THEN volume ELSE 0 END) OVER {DAY}", "postmarket_volume": f"sum(CASE WHEN session = 'postmarket' THEN volume ELSE 0 END) OVER {DAY}"}
+query("snapshot_day", sql(f"{ONE}, {REFS}, w AS (SELECT symbol, et_date, CASE WHEN count(*) OVER {_FIVE} >= 5 THEN avg(day_volume) OVER {_FIVE} END AS av5 FROM d), v AS (SELECT y.*, av5 FROM y JOIN w USING (symbol, et_date))", {**{c: r6(e) for c, e in _DAY_METRICS.items()}, **{c: f"({e})::BIGINT" for c, e in _DAY_VOLUMES.items()}}, "v", "QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1"))(
+    lambda s, d: final(M.snapshot(by_user(s, d).withColumn("symbol", F.lit("all")), LATE, [*_DAY_METRICS, *_DAY_VOLUMES]), "symbol", "ts", *_DAY_METRICS, *_DAY_VOLUMES)
+)
 query("fundamentals", f"WITH {DAYS} SELECT symbol, {STAMP}, {r6('close')} AS close, p_size::BIGINT AS attribute FROM x LEFT JOIN (SELECT p_partkey::VARCHAR AS symbol, p_size FROM part) USING (symbol)")(
     lambda s, d: final(M.with_fundamentals(day_bars(s, d), s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").cast("string").alias("symbol"), F.col("p_size").cast("long").alias("attribute"))), "symbol", "ts", "close", "attribute")
 )
@@ -310,7 +334,25 @@ def _rule_table(spark: SparkSession, rules: list[dict]) -> DataFrame:
 
 query("rules_scan", f"WITH {SCAN} SELECT symbol, {STAMP}, {r6('price')} AS price, rule_id FROM hits")(lambda s, d: final(matches(s, d), "symbol", "ts", "price", "rule_id"))
 query("rules_scan_table_driven", f"WITH {SCAN} SELECT symbol, {STAMP}, {r6('price')} AS price, rule_id, 'rule ' || rule_id AS rule_name FROM hits")(
-    lambda s, d: final(R.scan_table(R.long_form(M.with_metrics(user_bars(s, d), R.required_metrics(RULES)), sorted({c["metric"] for r in RULES for c in r["conditions"]})), _rule_table(s, [*RULES, _rule("off", ("close", ">", "0"), enabled=False), _rule("bad", ("x-y", ">", "0"))])), "symbol", "ts", "price", "rule_id", "rule_name")
+    lambda s, d: final(RI.scan_table(M.with_metrics(user_bars(s, d), R.required_metrics(RULES)), _rule_table(s, [*RULES, _rule("off", ("close", ">", "0"), enabled=False), _rule("bad", ("x-y", ">", "0"))])), "symbol", "ts", "price", "rule_id", "rule_name")
+)
+
+
+def order_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """A rule of two or three conditions for each order, with thresholds from its price, in all operators."""
+    o, i = spark.read.parquet(f"{sf}/orders.parquet"), F.col("o_orderkey")
+    level = F.col("o_totalprice") % 1000 / 1000
+    one = lambda metric, operator, value, threshold=0, during="all": F.struct(F.lit(metric).alias("metric"), operator.alias("operator"), value.cast("string").alias("value"), F.lit(threshold).cast("long").alias("volume_threshold"), F.lit(during).alias("calculated_during"), F.lit("").alias("timeframe"), F.lit("$").alias("value_type"))
+    way = lambda *names: F.get(F.array(*map(F.lit, names)), (i % len(names)).cast("int"))
+    first = one("close", way(">", ">="), 150 + F.floor(level * 100))
+    second = one("volume_5m", way("<", "<=", "=="), 20 + F.floor(level * 400))
+    third = F.when(i % 4 == 0, one("range_today", way(">", "!="), F.floor(level * 100), 20000)).when(i % 4 == 1, one("price_change_5m_pct", way("<", ">="), F.floor(level * 300), 0, "market"))
+    return o.select(i.cast("string").alias("id"), F.concat(F.lit("order "), i).alias("name"), F.array_compact(F.array(first, second, third)).alias("conditions"), F.lit(0).cast("long").alias("cooldown"), (i % 10 != 9).alias("enabled"))
+
+
+_ORDERS = """r AS (SELECT o_orderkey AS i, o_orderkey::VARCHAR AS rule_id, floor(o_totalprice % 1000 / 1000 * 100) AS l100, floor(o_totalprice % 1000 / 1000 * 300) AS l300, floor(o_totalprice % 1000 / 1000 * 400) AS l400 FROM orders WHERE o_orderkey % 10 <> 9)"""
+query("rules_index", f"WITH {SCAN}, {_ORDERS} SELECT symbol, {STAMP}, {r6('close')} AS price, rule_id FROM k JOIN r ON CASE WHEN i % 2 = 0 THEN close > 150 + l100 ELSE close >= 150 + l100 END AND CASE i % 3 WHEN 0 THEN v5 < 20 + l400 WHEN 1 THEN v5 <= 20 + l400 ELSE abs(v5 - 20 - l400) < 1e-4 END AND CASE i % 4 WHEN 0 THEN rt > l100 AND {THRESHOLD(20000)} WHEN 1 THEN session = 'market' AND pc5 >= l300 ELSE true END")(
+    lambda s, d: final(RI.scan_table(M.with_metrics(user_bars(s, d), RI.required(order_rules(s, d))), order_rules(s, d)), "symbol", "ts", "price", "rule_id")
 )
 query("scan_counters", f"WITH {SCAN} SELECT (SELECT count(DISTINCT symbol)::BIGINT FROM k) AS symbols, (SELECT count(*)::BIGINT FROM k) AS rows, (SELECT count(*)::BIGINT * {len(RULES)} FROM k) AS rules_evaluated, (SELECT count(*)::BIGINT FROM hits) AS rules_matched")(lambda s, d: R.counters(M.with_metrics(user_bars(s, d), R.required_metrics(RULES)), RULES))
 query("alert_payload", f"WITH {SCAN} SELECT sha256('jump|' || symbol || '|' || epoch_us(ts)) AS id, symbol, {STAMP}, {r6('close')} AS price, {r6('pc5')} AS change, {r6('v5')} AS volume FROM k WHERE {RULE_SQL['jump']}")(
@@ -336,6 +378,14 @@ query("volume_prefilter", f"WITH {SCAN} SELECT symbol, {STAMP} FROM k WHERE {THR
 query("session_prefilter", f"WITH {USER} SELECT symbol, {STAMP} FROM x WHERE session = 'postmarket'")(lambda s, d: final(M.with_metrics(user_bars(s, d), ["close"]).filter(R.session_column("postmarket")), "symbol", "ts"))
 COOL = f"{SCAN}, g AS (SELECT rule_id, symbol, list_sort(list(DISTINCT floor(epoch(ts))::BIGINT)) AS l FROM hits GROUP BY ALL), kept AS (SELECT rule_id, symbol, unnest(list_reduce(l, lambda acc, t: CASE WHEN t[1] >= acc[len(acc)] + 86400 THEN list_concat(acc, t) ELSE acc END)) AS s FROM (SELECT rule_id, symbol, list_transform(l, lambda t: [t]) AS l FROM g))"
 query("cooldown", f"WITH {COOL} SELECT rule_id, symbol, strftime(make_timestamp(s * 1000000), '{TS}') AS ts FROM kept")(lambda s, d: final(A.cooldown(matches(s, d), 86400), "rule_id", "symbol", "ts"))
+
+
+def hot_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Every bar by type above a price, five symbols in all; one has a third of the rows and more."""
+    return R.scan(M.with_metrics(B.ticks_to_bars(T.ticks_from_events(spark, sf, "event_type")), ["close"]), [_rule("hot", ("close", ">", "20"))])
+
+
+query("cooldown_hot", f"WITH {_bars('event_type')}, g AS (SELECT symbol, list_sort(list(DISTINCT s)) AS l FROM x WHERE close > 20 GROUP BY ALL), kept AS (SELECT symbol, unnest(list_reduce(l, lambda acc, t: CASE WHEN t[1] >= acc[len(acc)] + 7200 THEN list_concat(acc, t) ELSE acc END)) AS s FROM (SELECT symbol, list_transform(l, lambda t: [t]) AS l FROM g)) SELECT 'hot' AS rule_id, symbol, strftime(make_timestamp(s * 1000000), '{TS}') AS ts FROM kept")(lambda s, d: final(A.cooldown_parallel(hot_matches(s, d), 7200, 8), "rule_id", "symbol", "ts"))
 ALERT = f"SELECT rule_id, symbol, strftime(make_timestamp(s * 1000000), '{TS}') AS ts, 'Rule ''rule ' || rule_id || ''' matched for ' || symbol AS message FROM kept"
 
 

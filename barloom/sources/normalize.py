@@ -26,7 +26,7 @@ def _number(name: str) -> Column:
 def _instant(name: str) -> Column:
     """An RFC 3339 string or nanoseconds since the epoch."""
     nanos = _f(name).try_cast("long")
-    return F.when(nanos.isNotNull(), F.timestamp_micros((nanos / 1000).cast("long"))).otherwise(F.try_to_timestamp(_f(name)))
+    return F.when(nanos.isNotNull(), F.timestamp_micros(F.call_function("div", nanos, F.lit(1000)))).otherwise(F.try_to_timestamp(_f(name)))
 
 
 def _positive(names) -> Column:

@@ -1,58 +1,39 @@
-"""Structured Streaming: ticks to bars (watermark), bars to metrics and recursive indicators (keyed state, begun from
-history), alerts with cooldown, sinks."""
+"""Structured Streaming: ticks to bars (watermark), bars to recursive indicators (keyed state, begun from history), alerts
+with cooldown, sinks. `streaming.metrics` has the catalogue's metrics, `streaming.scan` rules and lists."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from barloom.operators import indicators as I
 from barloom.operators.bars import _ohlcv
-from barloom.sources.ticks import tick_fault
+from barloom.operators.cooldown import ties
+from barloom.sources.ticks import TICK, tick_fault
 
 
 def stream_bars(ticks: DataFrame, seconds: int = 60, late: str = "5 minutes") -> DataFrame:
-    """Bars of a tick stream: late ticks within the bound update their own bar, later ones are dropped."""
-    valid = ticks.filter(tick_fault().isNull()).withWatermark("ts", late)
-    return valid.groupBy("symbol", F.window("ts", f"{seconds} seconds").alias("w")).agg(*_ohlcv()).select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume", "vwap", "trade_count")
-
-
-class RollingMetrics(StatefulProcessor):
-    """Keeps the last bars of a symbol and emits metrics over them as bars close."""
-
-    KEEP = 200
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.bars = handle.getListState("bars", "ts timestamp, close double, volume bigint")
-
-    def handleInputRows(self, key, rows, timerValues):  # noqa: ANN001, ANN201, N802, N803
-        held = [tuple(r) for r in self.bars.get()] if self.bars.exists() else []
-        new = pd.concat(list(rows)).sort_values("ts")
-        out = []
-        for r in new.itertuples():
-            held = [*held[-self.KEEP + 1 :], (r.ts.to_pydatetime(), float(r.close), int(r.volume))]
-            past = held[-6][1] if len(held) > 5 else None
-            change = (r.close - past) / past * 100 if past else None
-            out.append((key[0], r.ts, r.close, change, sum(b[2] for b in held[-5:]) if len(held) >= 5 else None))
-        self.bars.put(held)
-        frame = pd.DataFrame(out, columns=["symbol", "ts", "close", "price_change_5m_pct", "volume_5m"])
-        frame["volume_5m"] = frame["volume_5m"].astype("Int64")
-        yield frame
-
-    def close(self) -> None:
-        pass
-
+    """Bars of a tick stream: late ticks within the bound update their own bar, later ones are dropped.
 
-METRICS_SCHEMA = "symbol string, ts timestamp, close double, price_change_5m_pct double, volume_5m bigint"
+    Sinks in append mode get a bar once, when the watermark closes it; in update mode, whenever it changes. A row of
+    `drain_marker` among the ticks moves the watermark on, so that all bars before its time are closed."""
+    timed = ticks.withWatermark("ts", late)
+    # A marker has no symbol: it is seen by the watermark and dropped here as invalid.
+    valid = timed.filter(tick_fault().isNull())
+    return valid.groupBy("symbol", F.window("ts", f"{seconds} seconds").alias("w")).agg(*_ohlcv()).select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume", "vwap", "trade_count")
 
 
-def stream_metrics(bars: DataFrame) -> DataFrame:
-    return bars.groupBy("symbol").transformWithStateInPandas(RollingMetrics(), METRICS_SCHEMA, "Append", "None")
+def drain_marker(spark: SparkSession, at, late_seconds: int = 300, seconds: int = 60) -> DataFrame:
+    """The one row to append to a tick source so that `stream_bars` closes every bar with ticks up to the instant `at`. Ticks
+    that come after it for those bars are late: send it when a day or a replay is over."""
+    when = (F.lit(at).cast("timestamp") + F.make_interval(secs=F.lit(late_seconds + seconds + 1))).alias("ts")
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in TICK if f.name not in ("ts", "type")]
+    return spark.range(1).select(*none, when, F.lit("drain").alias("type")).select(*TICK.names)
 
 
 class RecursiveIndicators(StatefulProcessor):
@@ -105,10 +86,16 @@ class Cooldown(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "at timestamp", self.ttl_seconds and 1000 * self.ttl_seconds)
 
+    def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: ANN001, N802, N803
+        self.last.update((initialState["ts"].iloc[0].to_pydatetime(),))
+
     def handleInputRows(self, key, rows, timerValues):  # noqa: ANN001, ANN201, N802, N803
         last = self.last.get()[0] if self.last.exists() else None
         kept = []
-        new = pd.concat(list(rows)).sort_values("ts")
+        new = pd.concat(list(rows))
+        if not len(new):  # a key of the history alone comes with an empty frame
+            return
+        new = new[new["ts"].notna()].sort_values(["ts", *ties(list(new.columns))], kind="stable").reset_index(drop=True)
         for i, ts in zip(new.index, new["ts"], strict=True):
             if last is None or (ts.to_pydatetime() - last).total_seconds() >= self.seconds:
                 last = ts.to_pydatetime()
@@ -121,14 +108,21 @@ class Cooldown(StatefulProcessor):
         pass
 
 
-def stream_cooldown(matches: DataFrame, seconds: int, ttl_seconds: int | None = None) -> DataFrame:
-    """Matches let through. With ttl_seconds, a rule and symbol not heard of for so long (by the clock) are forgotten, so
+def last_fired(alerts: DataFrame) -> DataFrame:
+    """(rule_id, symbol, ts): when each rule last fired for a symbol, from which a cooldown goes on."""
+    return alerts.filter("ts is not null").groupBy("rule_id", "symbol").agg(F.max("ts").alias("ts"))
+
+
+def stream_cooldown(matches: DataFrame, seconds: int, ttl_seconds: int | None = None, history: DataFrame | None = None) -> DataFrame:
+    """Matches let through. history: alerts that fired before, with which a new query, or one whose checkpoint is lost, goes
+    on. With ttl_seconds, a rule and symbol not heard of for so long (by the clock) are forgotten, so
     state stays bounded; give more than the cooldown plus the stream's delay. Such a stream always has timers to serve, so
     it never drains: start its sink with drain=False."""
     if ttl_seconds is not None and ttl_seconds < seconds:
         raise ValueError("state must live as long as the cooldown")
     mode = "None" if ttl_seconds is None else "ProcessingTime"
-    return matches.groupBy("rule_id", "symbol").transformWithStateInPandas(Cooldown(seconds, ttl_seconds), matches.schema, "Append", mode)
+    first = None if history is None else last_fired(history).groupBy("rule_id", "symbol")
+    return matches.groupBy("rule_id", "symbol").transformWithStateInPandas(Cooldown(seconds, ttl_seconds), matches.schema, "Append", mode, first)
 
 
 def stream_dedup(alerts: DataFrame, ttl: str = "1 hour") -> DataFrame:
@@ -141,9 +135,9 @@ def append(df: DataFrame, path: str, checkpoint: str, drain: bool = True):  # no
     return (writer.trigger(availableNow=True) if drain else writer).start()
 
 
-def each_batch(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, drain: bool = True):  # noqa: ANN201
-    """A foreachBatch sink (upserts, insert-ignore, toplist pages, rule reload); `write` must be idempotent."""
-    writer = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+def each_batch(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, drain: bool = True, mode: str = "append"):  # noqa: ANN201
+    """A foreachBatch sink (upserts, insert-ignore, scans, toplist pages); `write` must be idempotent."""
+    writer = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if drain else writer).start()
 
 

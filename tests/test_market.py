@@ -10,6 +10,7 @@ from barloom.functions import sessions as S
 from barloom.operators import alerts as A
 from barloom.operators import bars as B
 from barloom.operators import metrics as M
+from barloom.operators import rule_index as RI
 from barloom.operators import rules as R
 from barloom.operators import toplists as K
 from barloom.plans import queries as Q
@@ -24,7 +25,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for name in ("events", "lineitem", "part"):
+    for name in ("events", "lineitem", "orders", "part"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return con
 
@@ -110,33 +111,6 @@ def test_normalize_shapes(spark):
     assert [r.reason for r in rows[3:]] == ["not JSON", "price not positive", "no timestamp"]
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    ticks = T.ticks_from_events(spark, SF, "event_type")
-    ticks.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(str(tmp_path / "in"))
-    far = ticks.limit(1).withColumn("ts", F.lit("2024-03-01").cast("timestamp")).withColumn("symbol", F.lit("end"))
-    source = T.stream_ticks(spark, str(tmp_path / "in"))
-    stream.append(stream.stream_bars(source, 3600, "40 days"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    far.write.mode("append").parquet(str(tmp_path / "in"))
-    stream.append(stream.stream_bars(source, 3600, "40 days"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    batch = {(r.symbol, r.ts): (r.open, r.high, r.low, r.close, r.volume) for r in B.ticks_to_bars(ticks, 3600).collect()}
-    streamed = {(r.symbol, r.ts): (r.open, r.high, r.low, r.close, r.volume) for r in spark.read.parquet(str(tmp_path / "out")).collect()} if os.path.exists(tmp_path / "out") else {}
-    assert streamed and all(batch[k] == v for k, v in streamed.items())
-
-
-def test_stream_state(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    bars = Q.hour_bars(spark, SF).select("symbol", "ts", "close", "volume").repartition(1).sortWithinPartitions("ts")
-    bars.write.parquet(str(tmp_path / "bars"))
-    source = spark.readStream.schema(bars.schema).parquet(str(tmp_path / "bars"))
-    stream.append(stream.stream_metrics(source), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    got = {(r.symbol, r.ts): (r.price_change_5m_pct, r.volume_5m) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    want = M.with_metrics(Q.hour_bars(spark, SF), ["price_change_5m_pct", "volume_5m"]).collect()
-    assert len(got) == len(want)
-    for r in want:
-        change, volume = got[r.symbol, r.ts]
-        assert volume == r.volume_5m and (change is None) == (r.price_change_5m_pct is None) and (change is None or math.isclose(change, r.price_change_5m_pct, rel_tol=1e-9, abs_tol=1e-9))
-
-
 def test_messages_are_parsed_once(spark):
     good, _ = N.split_normalized(Q.raw_messages(spark, SF))
     plan = good._jdf.queryExecution().optimizedPlan().toString()
@@ -148,9 +122,9 @@ def test_rule_sets(spark):
     off = Q._rule("off", ("close", ">", "0"), enabled=False)
     assert R.scan(metrics, []).count() == 0 and R.scan(metrics, [off]).count() == 0
     table = Q._rule_table(spark, [off])
-    assert R.scan_table(R.long_form(metrics, ["close"]), table).count() == 0
+    assert RI.scan_table(metrics, table).count() == 0
     never = Q._rule("never", ("close", ">", "0", 10**12, "premarket"))
-    assert R.scan(metrics, [never]).count() == R.scan_table(R.long_form(metrics, ["close"]), Q._rule_table(spark, [never])).count() == 0
+    assert R.scan(metrics, [never]).count() == RI.scan_table(metrics, Q._rule_table(spark, [never])).count() == 0
     from pyspark.sql import Observation
 
     seen = Observation()
@@ -160,8 +134,7 @@ def test_rule_sets(spark):
 
 def test_both_scans_agree_on_metadata(spark):
     metrics = M.with_metrics(Q.user_bars(spark, SF), R.required_metrics(Q.RULES)).cache()
-    names = sorted({c["metric"] for r in Q.RULES for c in r["conditions"]})
-    told = [{(r.symbol, r.ts, r.rule_id): (r.price, r.metadata) for r in df.collect()} for df in (R.scan(metrics, Q.RULES), R.scan_table(R.long_form(metrics, names), Q._rule_table(spark, Q.RULES)))]
+    told = [{(r.symbol, r.ts, r.rule_id): (r.price, r.metadata) for r in df.collect()} for df in (R.scan(metrics, Q.RULES), RI.scan_table(metrics, Q._rule_table(spark, Q.RULES)))]
     assert told[0] == told[1] and all(m for _, m in told[0].values())
 
 
