@@ -63,7 +63,8 @@ class BytePairs:
 def slices(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int]]:
     """Where groups end: (tokens of a, tokens of b) up to each byte offset that ends a token on both sides."""
     at_a, at_b = dict(zip(ends_a, itertools.count(1), strict=False)), dict(zip(ends_b, itertools.count(1), strict=False))
-    common = sorted(at_a.keys() & at_b.keys())
+    # Ends rise, so the keys of the one that the other has as well are in order as they come.
+    common = list(filter(at_b.__contains__, at_a))
     return list(zip(map(at_a.__getitem__, common), map(at_b.__getitem__, common), strict=True))
 
 
@@ -98,11 +99,11 @@ def align(docs: DataFrame, ranks: str, pattern: str, model: str, id_col: str = "
         names_a, names_b = ([str(i) for i in range(len(t.surfaces))] for t in (first, second))
         size_a, size_b = ([len(s) for s in t.surfaces] for t in (first, second))
 
-        def one(text):
+        def one(text, encoded):
             if not text:
                 return 0, 0, [], []
             whole = f" {text}"
-            a, b = first.encode(whole), np.frombuffer(second.encode(text), "<u4").tolist()
+            a, b = first.encode(whole), np.frombuffer(encoded, "<u4").tolist()
             joined = whole.encode()
             if b"".join(map(first.surfaces.__getitem__, a)) != joined or b"".join(map(second.surfaces.__getitem__, b)) != joined:
                 return 0, 0, [], []
@@ -111,8 +112,9 @@ def align(docs: DataFrame, ranks: str, pattern: str, model: str, id_col: str = "
 
         for batch in batches:
             n_a, n_b, n_groups, n_links, groups, pairs, times = ([] for _ in range(7))
-            for text in batch.column(1):
-                a, b, grouped, links = one(text.as_py())
+            texts = batch.column(1).to_pylist()
+            for text, encoded in zip(texts, second.encode_all(texts), strict=True):
+                a, b, grouped, links = one(text, encoded)
                 distinct, counted = np.unique(np.array(links, np.int64), return_counts=True)
                 for column, value in ((n_a, a), (n_b, b), (n_groups, len(grouped)), (n_links, len(links)), (groups, ";".join(grouped)), (pairs, distinct), (times, counted.astype(np.int32))):
                     column.append(value)

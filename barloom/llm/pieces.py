@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-KEPT_UNITS, KEPT_PAIRS, LONG_UNIT = 100_000, 100_000, 64
+KEPT_UNITS, KEPT_PAIRS, LONG_UNIT = 150_000, 100_000, 64
 #: Slots of the table of pairs that many look-ups share: a power of two, 9 bytes each.
 SLOTS = 1 << 21
 #: Characters of texts encoded together.
@@ -82,6 +82,25 @@ class PieceBpe:
         found.make_automaton()
         return found
 
+    @functools.cached_property
+    def longer(self) -> ahocorasick.Automaton:
+        """Finds the pieces of two characters and more; what is one character long `single` tells."""
+        found = ahocorasick.Automaton()
+        for piece, i in self.ids.items():
+            if len(piece) > 1:
+                found.add_word(piece, i << 8 | len(piece))
+        found.make_automaton()
+        return found
+
+    @functools.cached_property
+    def single(self) -> np.ndarray:
+        """The piece of each character alone, by code point; -1 if it is none."""
+        out = np.full(0x110000, -1, np.int32)
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                out[ord(piece)] = i
+        return out
+
     @functools.cached_property
     def units(self) -> re.Pattern:
         """Cuts a text where the vocabulary lets no piece reach across."""
@@ -213,11 +232,15 @@ class PieceBpe:
         unit is at its start plus n."""
         lengths = np.fromiter(map(len, units), np.int64, len(units))
         starts = np.cumsum(lengths + 1) - lengths - 1
-        found = np.fromiter(itertools.chain.from_iterable(self.automaton.iter(self.apart.join(units))), np.int64).reshape(-1, 2)
-        end, token, length = found[:, 0] + 1, found[:, 1] >> 8, found[:, 1] & 255
+        text = self.apart.join([*units, ""])
+        found = np.fromiter(itertools.chain.from_iterable(self.longer.iter(text)), np.int64).reshape(-1, 2)
+        alone = self.single[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        at = np.flatnonzero(alone >= 0)
+        end, token = np.r_[at, found[:, 0]] + 1, np.r_[alone[at].astype(np.int64), found[:, 1] >> 8]
+        length = np.r_[np.ones(len(at), np.int64), found[:, 1] & 255]
         begin = end - length
         nth = end - np.repeat(starts, lengths + 1)[end]
-        last, size = np.full(int(lengths.sum()) + len(units), _START - 1), np.ones(int(lengths.sum()) + len(units), np.int64)
+        last, size = np.full(len(text), _START - 1), np.ones(len(text), np.int64)
         last[starts] = _START
         order = np.argsort(nth, kind="stable")
         for now in np.split(order, np.flatnonzero(np.diff(nth[order])) + 1):
@@ -242,11 +265,12 @@ class PieceBpe:
         for i, unit in enumerate(units):
             self.young[unit] = self.unit_ids(unit) if i in odd else ids[bounds[i] : bounds[i + 1]]
 
-    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """The ids of each text, without begin and end, as little-endian unsigned 32-bit numbers."""
+    def encode_all(self, texts: Iterable[str | None], marked: bool = False) -> Iterator[bytes]:
+        """The ids of each text, without begin and end, as little-endian unsigned 32-bit numbers. marked: texts are parts of
+        one that begin as they are, without a space put before them."""
         group, size = [], 0
         for text in texts:
-            group.append(self.units.findall(SPACE + text.replace(" ", SPACE)) if text else [])
+            group.append(self.units.findall(("" if marked else SPACE) + text.replace(" ", SPACE)) if text else [])
             size += len(text or "")
             if size > GROUP:
                 yield from self._encode(group)
