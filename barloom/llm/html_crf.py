@@ -52,13 +52,15 @@ PARTS = {
 _PART = {w: part for part, words in PARTS.items() for w in words.split()}
 
 
-KNOWN_TAGS = BLOCK_TAGS | VOID_TAGS | frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd mark math noscript object q s samp small span strong sub sup time tt u var".split())
+KNOWN_TAGS = BLOCK_TAGS | VOID_TAGS | frozenset("a abbr b bdi bdo cite code datalist optgroup data del dfn em font i ins kbd mark math noscript object q s samp small span strong sub sup time tt u var".split())
 
 
 _NAMED = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _NAME = re.compile(r"/?[A-Za-z][^\s/>]*")
-_STOP = re.compile(r"""[>"']""")
+_GAP, _ATTRIBUTE, _EQUALS, _BARE = (re.compile(p) for p in (r"[\s/]*", r"[^\s/>][^\s/>=]*", r"\s*=\s*", r"[^\s>]*"))
+#: What a form's controls say is never part of a text.
+CONTROLS = frozenset("button select option optgroup datalist".split())
 
 
 @dataclass(slots=True)
@@ -118,13 +120,24 @@ class _Scanner:
         return found
 
     def tag_end(self, at: int) -> int:
-        """Place of the > that ends a tag; a quoted value may hold one. -1: none."""
-        while m := _STOP.search(self.page, at):
-            if m[0] == ">":
-                return m.start()
-            close = self.find(m[0], m.end())
-            at = close + 1 if close >= 0 else m.end()
-        return -1
+        """Place of the > that ends a tag. A quote counts only where an attribute's value begins with it; then the value may
+        hold a >. -1: none."""
+        page = self.page
+        while True:
+            at = _GAP.match(page, at).end()
+            if at >= len(page):
+                return -1
+            if page[at] == ">":
+                return at
+            at = _ATTRIBUTE.match(page, at).end()
+            if not (equals := _EQUALS.match(page, at)):
+                continue
+            at = equals.end()
+            if page[at : at + 1] in ('"', "'"):
+                close = self.find(page[at], at + 1)
+                at = close + 1 if close >= 0 else at + 1
+            else:
+                at = _BARE.match(page, at).end()
 
     def raw_end(self, tag: str, at: int) -> int:
         """Where the text after the element's closing tag begins; -1: it has none."""
@@ -132,7 +145,7 @@ class _Scanner:
             self.low = "".join(c.lower() if "A" <= c <= "Z" else c for c in self.page) if not self.page.isascii() else self.page.lower()
         if tag in self.gone:
             return -1
-        found = re.compile(rf"</{re.escape(tag)}\s*>").search(self.low, at)
+        found = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>").search(self.low, at)
         if not found:
             self.gone.add(tag)
         return found.end() if found else -1
@@ -148,7 +161,7 @@ def blocks(page: str | None) -> list[tuple[str, Place, float]]:
     def close():
         nonlocal linked
         whole = " ".join(html.unescape("".join(text)).split())
-        if whole:
+        if whole and not opened.places[-1].tags & CONTROLS:
             out.append((whole, opened.places[-1], min(1.0, linked / max(1, sum(map(len, text))))))
         text.clear()
         linked = 0

@@ -5,7 +5,8 @@ the k-gram itself, so a hash collision never counts). A hit at word p of the tex
 diagonal p - q. Short templates (phrases) count where one diagonal holds all their k-grams; long ones after neighbouring
 diagonals (insertions and deletions shift them) are merged into spans. A span is verified by the share of the template's
 k-grams it holds, by its length, and by the template's own words: every k-gram of the words that tell the template from
-its kin (a notice of another licence shares most of the rest) must stand in it.
+its kin (a notice of another licence shares most of the rest) must stand in it. Where repeated lines chain diagonals into
+more than a notice, each diagonal with its neighbours is a part that is verified for itself, and the best one counts.
 
 Only the templates are broadcast: their number is fixed here. Only hits are shuffled, once; texts are read once for the
 hits and once for their number of words.
@@ -98,15 +99,17 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phras
     )
     along = Window.partitionBy("_id", "_text_key", "template").orderBy("diagonal", "low")
     opens = (F.col("diagonal") - F.lag("diagonal").over(along) > NEAR_DIAGONALS) | (F.col("low") - F.lag("high").over(along) > NEAR_WORDS) | (F.lag("low").over(along) - F.col("high") > NEAR_WORDS)
-    merged = (
-        diagonals.filter(~F.col("phrase"))
-        .withColumn("span", F.sum(F.when(F.coalesce(opens, F.lit(False)), 1).otherwise(0)).over(along))
-        .groupBy(*one, "span")
-        .agg(F.array_distinct(F.flatten(F.collect_list("held"))).alias("held"), F.min("low").alias("first"), F.max("high").alias("high"))
-        .withColumn("coverage", F.size("held") / F.col("grams"))
-        .filter((F.col("coverage") >= COVERAGE) & (F.size(F.array_except("must", "held")) == 0) & (F.col("high") - F.col("first") <= MOST_SPREAD * F.col("grams")))
-        .select("_id", "_text_key", "label", "phrase", F.col("first").cast("long"), (F.col("high") + k - 1).cast("long").alias("last"), "coverage")
-    )
+    chain = Window.partitionBy("_id", "_text_key", "template", "span")
+    chained = diagonals.filter(~F.col("phrase")).withColumn("span", F.sum(F.when(F.coalesce(opens, F.lit(False)), 1).otherwise(0)).over(along))
+    chained = chained.withColumn("spread", F.max("high").over(chain) - F.min("low").over(chain))
+    fits = F.col("spread") <= MOST_SPREAD * F.col("grams")
+    merged = chained.filter(fits).groupBy(*one, "span").agg(F.array_distinct(F.flatten(F.collect_list("held"))).alias("held"), F.min("low").alias("first"), F.max("high").alias("high"))
+    # A chain longer than any notice is cut: around each of its diagonals, those near it are a part of bounded length.
+    near = chain.orderBy("diagonal").rangeBetween(-NEAR_DIAGONALS, NEAR_DIAGONALS)
+    cut = chained.filter(~fits).select(*one, "span", F.array_distinct(F.flatten(F.collect_list("held").over(near))).alias("held"), F.min("low").over(near).alias("first"), F.max("high").over(near).alias("high"))
+    verified = merged.unionByName(cut).withColumn("coverage", F.size("held") / F.col("grams")).filter((F.col("coverage") >= COVERAGE) & (F.size(F.array_except("must", "held")) == 0))
+    best = chain.orderBy(F.col("coverage").desc(), "first", "high")
+    merged = verified.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select("_id", "_text_key", "label", "phrase", F.col("first").cast("long"), (F.col("high") + k - 1).cast("long").alias("last"), "coverage")
     return whole.unionByName(merged)
 
 
@@ -137,9 +140,11 @@ h AS (SELECT doc_id, pos, tpl.* FROM (SELECT doc_id, pos, w[pos + 1] || ' ' || w
 g AS (SELECT doc_id, template, label, phrase, grams, must, pos - tpos AS diagonal, list(DISTINCT tpos) AS held, min(pos) AS low, max(pos) AS high FROM h GROUP BY ALL),
 o AS (SELECT *, lag(diagonal) OVER a AS pd, lag(low) OVER a AS pl, lag(high) OVER a AS ph FROM g WHERE NOT phrase WINDOW a AS (PARTITION BY doc_id, template ORDER BY diagonal, low)),
 s AS (SELECT *, sum(CASE WHEN coalesce(diagonal - pd > {NEAR_DIAGONALS} OR low - ph > {NEAR_WORDS} OR pl - high > {NEAR_WORDS}, false) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, template ORDER BY diagonal, low) AS span FROM o),
-m AS (SELECT doc_id, label, grams, must, list_distinct(flatten(list(held))) AS held, max(high) - min(low) AS spread FROM s GROUP BY doc_id, template, label, grams, must, span),
+z AS (SELECT *, max(high) OVER c - min(low) OVER c <= {MOST_SPREAD} * grams AS fits FROM s WINDOW c AS (PARTITION BY doc_id, template, span)),
+m AS (SELECT doc_id, label, grams, must, list_distinct(flatten(list(held))) AS held FROM z WHERE fits GROUP BY doc_id, template, label, grams, must, span
+  UNION ALL SELECT doc_id, label, grams, must, list_distinct(flatten(list(held) OVER (PARTITION BY doc_id, template, span ORDER BY diagonal RANGE BETWEEN {NEAR_DIAGONALS} PRECEDING AND {NEAR_DIAGONALS} FOLLOWING))) FROM z WHERE NOT fits),
 f AS (SELECT doc_id, label, true AS phrase, diagonal AS first, 1.0::DOUBLE AS coverage FROM g WHERE phrase AND len(held) = grams
-  UNION ALL SELECT doc_id, label, false, NULL, len(held) / grams FROM m WHERE len(held) / grams >= {COVERAGE} AND len(list_filter(must, lambda q: NOT list_contains(held, q))) = 0 AND spread <= {MOST_SPREAD} * grams),
+  UNION ALL SELECT doc_id, label, false, NULL, len(held) / grams FROM m WHERE len(held) / grams >= {COVERAGE} AND len(list_filter(must, lambda q: NOT list_contains(held, q))) = 0),
 r AS (SELECT doc_id, count(*) FILTER (phrase) AS n_base, min(first) AS first_word, max(first) AS last_word,
   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(coverage) AS score FROM f GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
