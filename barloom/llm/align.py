@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import materialize
-from barloom.llm.pieces import PieceBpe
+from barloom.llm.pieces import SPACE, PieceBpe
 
 #: Pairs whose counts are broadcast: 17 bytes each.
 KNOWN_PAIRS = 1_000_000
@@ -60,30 +60,37 @@ class BytePairs:
         return self.encoding.encode_ordinary(text)
 
 
-def slices(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int]]:
-    """Where groups end: (tokens of a, tokens of b) up to each byte offset that ends a token on both sides."""
+def slices(ends_a: list[int], ends_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Where groups end: tokens of a and tokens of b up to each byte offset that ends a token on both sides."""
     at_a, at_b = dict(zip(ends_a, itertools.count(1), strict=False)), dict(zip(ends_b, itertools.count(1), strict=False))
     # Ends rise, so the keys of the one that the other has as well are in order as they come.
     common = list(filter(at_b.__contains__, at_a))
-    return list(zip(map(at_a.__getitem__, common), map(at_b.__getitem__, common), strict=True))
-
-
-def aligned(a: list[int], ends_a: list[int], b: list[int], ends_b: list[int], names_a: list[str], names_b: list[str]) -> tuple[list[str], list[int]]:
-    """The groups as text, and the pair of each link."""
-    groups, links, i, j = [], [], 0, 0
-    for next_i, next_j in slices(ends_a, ends_b):
-        if next_i - i == 1 and next_j - j == 1:
-            groups.append(f"{names_a[a[i]]}|{names_b[b[j]]}")
-            links.append(a[i] * SHIFT + b[j])
-            i, j = next_i, next_j
+    return tuple(np.fromiter(map(at.__getitem__, common), np.int64, len(common)) for at in (at_a, at_b))
+
+
+def aligned(a: np.ndarray, ends_a: list[int], b: np.ndarray, ends_b: list[int], names_a: list[str], names_b: list[str]) -> tuple[list[str], np.ndarray]:
+    """The groups as text, and the pair of each link. Groups of one token on both sides, the most, are one link each; the
+    others are expanded one by one."""
+    stop_a, stop_b = slices(ends_a, ends_b)
+    from_a, from_b = np.r_[0, stop_a[:-1]], np.r_[0, stop_b[:-1]]
+    first_a, first_b = a[from_a], b[from_b]
+    groups = list(map("|".join, zip(map(names_a.__getitem__, first_a.tolist()), map(names_b.__getitem__, first_b.tolist()), strict=True)))
+    single = (stop_a - from_a == 1) & (stop_b - from_b == 1)
+    links = []
+    larger, all_a, all_b = np.flatnonzero(~single), a.tolist(), b.tolist()
+    for at, i, next_i, j, next_j in zip(*(x.tolist() for x in (larger, from_a[larger], stop_a[larger], from_b[larger], stop_b[larger])), strict=True):
+        held_a, held_b = all_a[i:next_i], all_b[j:next_j]
+        groups[at] = ",".join([names_a[x] for x in held_a]) + "|" + ",".join([names_b[x] for x in held_b])
+        if len(held_a) == 1 or len(held_b) == 1:
+            links += [x * SHIFT + y for x in held_a for y in held_b]
             continue
-        groups.append(",".join([names_a[x] for x in a[i:next_i]]) + "|" + ",".join([names_b[x] for x in b[j:next_j]]))
-        while i < next_i:
-            links.append(a[i] * SHIFT + b[j])
-            till_a, till_b = ends_a[i], ends_b[j]
-            i += till_a <= till_b
-            j += till_b <= till_a
-    return groups, links
+        m = n = 0
+        while m < len(held_a):
+            links.append(held_a[m] * SHIFT + held_b[n])
+            till_a, till_b = ends_a[i + m], ends_b[j + n]
+            m += till_a <= till_b
+            n += till_b <= till_a
+    return groups, np.concatenate([first_a[single] * SHIFT + first_b[single], np.array(links, np.int64)])
 
 
 def align(docs: DataFrame, ranks: str, pattern: str, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -97,25 +104,25 @@ def align(docs: DataFrame, ranks: str, pattern: str, model: str, id_col: str = "
     def run(batches):
         first, second = BytePairs.cached(ranks, pattern), PieceBpe.cached(model)
         names_a, names_b = ([str(i) for i in range(len(t.surfaces))] for t in (first, second))
-        size_a, size_b = ([len(s) for s in t.surfaces] for t in (first, second))
+        none = np.zeros(0, np.int64)
+        size_a, size_b = (np.array([len(s) for s in t.surfaces]) for t in (first, second))
 
         def one(text, encoded):
-            if not text:
-                return 0, 0, [], []
-            whole = f" {text}"
-            a, b = first.encode(whole), np.frombuffer(encoded, "<u4").tolist()
-            joined = whole.encode()
-            if b"".join(map(first.surfaces.__getitem__, a)) != joined or b"".join(map(second.surfaces.__getitem__, b)) != joined:
-                return 0, 0, [], []
-            ends = (list(itertools.accumulate(map(size.__getitem__, ids))) for size, ids in ((size_a, a), (size_b, b)))
-            return len(a), len(b), *aligned(a, next(ends), b, next(ends), names_a, names_b)
+            # Byte-level tokens always give the text back; pieces do, but that the mark they have for a space becomes one.
+            if not text or SPACE in text:
+                return 0, 0, [], none
+            a, b = np.array(first.encode(f" {text}"), np.int64), np.frombuffer(encoded, "<u4").astype(np.int64)
+            ends_a, ends_b = np.cumsum(size_a[a]).tolist(), np.cumsum(size_b[b]).tolist()
+            if not ends_a[-1] == ends_b[-1] == 1 + len(text.encode()):
+                raise ValueError("the tokens of a text are not of its length")
+            return len(a), len(b), *aligned(a, ends_a, b, ends_b, names_a, names_b)
 
         for batch in batches:
             n_a, n_b, n_groups, n_links, groups, pairs, times = ([] for _ in range(7))
             texts = batch.column(1).to_pylist()
             for text, encoded in zip(texts, second.encode_all(texts), strict=True):
                 a, b, grouped, links = one(text, encoded)
-                distinct, counted = np.unique(np.array(links, np.int64), return_counts=True)
+                distinct, counted = np.unique(links, return_counts=True)
                 for column, value in ((n_a, a), (n_b, b), (n_groups, len(grouped)), (n_links, len(links)), (groups, ";".join(grouped)), (pairs, distinct), (times, counted.astype(np.int32))):
                     column.append(value)
             bounds = pa.array(np.cumsum([0, *map(len, pairs)]), pa.int32())
