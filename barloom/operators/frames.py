@@ -71,6 +71,16 @@ class Frames:
         return F.when(self.count(n) >= n, value)
 
 
+class RingFrames(Frames):
+    """As `Frames`, but a day's volume, dollars, high and low are those of the last n bars, whatever day they are of."""
+
+    def __init__(self, n: int) -> None:
+        self.n = n
+
+    def today(self, how: str, name: str) -> Column:
+        return self.rows(how, name, self.n) if name in ("volume", "dollars", "high", "low") else super().today(how, name)
+
+
 class StateFrames(Frames):
     """Columns of the frames asked for; `asked` maps each column to its frame."""
 

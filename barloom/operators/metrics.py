@@ -16,7 +16,7 @@ from barloom.functions import sessions as S
 from barloom.operators import bars as B
 from barloom.operators import indicators as I
 from barloom.operators import timeframes as TF
-from barloom.operators.frames import BATCH, Frames
+from barloom.operators.frames import BATCH, Frames, RingFrames
 
 C = F.col
 
@@ -208,22 +208,23 @@ def own_frame(name: str) -> tuple[str, Callable[[Column], Column]] | None:
     return (name, _AT["relative_volume"]) if re.fullmatch(r"relative_volume_([0-9]+[mh]|daily)", name) else None
 
 
-def with_metrics(bars: DataFrame, names: list[str], events: DataFrame | None = None, own_frames: bool = False) -> DataFrame:
+def with_metrics(bars: DataFrame, names: list[str], events: DataFrame | None = None, own_frames: bool = False, ring: int | None = None) -> DataFrame:
     """bars with the named metrics only. events(symbol, event_ts, kind) feeds the news and earnings metrics.
 
     own_frames: `ma_dist_*`, `atrp_14_*`, `relative_volume_*` and `relative_range_pct` are computed at the timeframe that
     their name tells (a day for the last), from its last whole interval; without it from the bars at hand, whatever the name
-    says."""
+    says. ring: day metrics (`volume_daily`, `dollar_volume_daily`, `*_today`) over the last so many bars instead of the day;
+    session volumes stay the day's."""
     if own_frames and (at := {n: own_frame(n) for n in names if own_frame(n)}):
         rest = [n for n in names if n not in at]
         held = {n: f"_at_{i}" for i, n in enumerate(at)}
         framed = TF.with_timeframes(bars.withColumn("et_date", S.et_date(C("ts"))), list(dict.fromkeys(x for x, _ in at.values())))
         framed = framed.withColumns({held[n]: made(C(x)) for n, (x, made) in at.items()}).select(*bars.columns, *held.values())
-        out = with_metrics(framed, rest, events)
+        out = with_metrics(framed, rest, events, ring=ring)
         return out.withColumnsRenamed({c: n for n, c in held.items()}).select(*bars.columns, "session", "et_date", *names)
     own = _in_order_of_need(names)
     names = list(dict.fromkeys([d for n in own for d in _custom[n][1] if d not in _custom] + [n for n in names if n not in _custom]))
-    base = catalogue()
+    base = catalogue(RingFrames(ring) if ring else BATCH)
     framed = [n for n in names if TF.parts(n) and (n in TF.NAMES or n not in base)]
     made = base | {n: lambda n=n: C(n) for n in framed}
     if unknown := [n for n in names if n not in made]:

@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.sources.ticks import bar_fault
+
 
 def latest(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The last row per key by `order`."""
@@ -46,9 +48,9 @@ def merge_bars(bars: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Upserts bars into a table of `write_bars`: only the (date, bucket) parts that bars touch are read and written anew, a
     bar with the symbol and time of one that is there takes its place. The same bars again change nothing, so a replayed
     micro-batch is harmless. Of two incoming bars of one symbol and time the one with more trades stays, then the one of
-    higher volume. The parts of one write are a task each, never a whole day."""
+    higher volume. Bars that `bar_fault` finds invalid are left out. The parts of one write are a task each, never a whole day."""
     spark = bars.sparkSession
-    new = latest(bars, ["symbol", "ts"], ["trade_count", "volume"])
+    new = latest(bars.filter(bar_fault().isNull()), ["symbol", "ts"], ["trade_count", "volume"])
     placed = _placed(new, buckets)
     try:
         held = spark.read.schema(bars.schema.add("date", "date").add("bucket", "integer")).parquet(path)

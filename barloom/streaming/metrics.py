@@ -26,12 +26,11 @@ from barloom.functions import sessions as S
 from barloom.operators import frames as FR
 from barloom.operators import indicators as I
 from barloom.operators import metrics as M
+from barloom.sources.ticks import bar_fault
 
 _MA = re.compile(r"(?:sma)_([0-9]+)")
 _DAY = re.compile(r"_(avg_volume|close)_([0-9]+)d|_(high|low|biggest)_([0-9]+[dmy])")
 _TODAY = {"today_open", "today_close", "yesterday_close"}
-#: Days of the longest multi-day frame.
-DAYS_KEPT = max(M._DAYS.values())
 
 
 def _windows(x: np.ndarray, n: int, m: int, fill: float) -> np.ndarray:
@@ -58,6 +57,8 @@ class SymbolState:
         self.ring = {c: np.zeros(0) for c in self.ringed}
         self.at = np.zeros(0, np.int64)
         self.us, self.count, self.skipped, self.close = None, 0, 0, None
+        spans = [_DAY.fullmatch(n) for n in held]
+        self.days_kept = max((int(f[2]) if f[2] else M._DAYS[f[4]] for f in spans if f), default=0)
         self.summed = sorted({f[2] for f in kinds if f[0] == "today"} | {"high", "low", "volume"})
         self.day, self.days, self.before, self.today = None, [], {}, {}
         self.opened = self.market = self.after = self.yesterday = self.close_of_day = None
@@ -140,7 +141,7 @@ class SymbolState:
         """Closes the day at hand and sets out what the next one takes from the days before."""
         if self.day is not None:
             high, low, volume = self.today["high"][1], self.today["low"][2], self.today["volume"][0]
-            self.days = [*self.days[1 - DAYS_KEPT :], (self.close_of_day, high, low, volume)]
+            self.days = [*self.days, (self.close_of_day, high, low, volume)][-self.days_kept :] if self.days_kept else []
             closed = self.market if self.market is not None else self.after
             self.yesterday = self.yesterday if closed is None else closed
         self.today = {c: (np.nan, np.nan, np.nan) for c in self.summed}
@@ -217,9 +218,9 @@ class SymbolState:
 
 
 def _inputs(bars: DataFrame) -> DataFrame:
-    """bars with what the state reads of each."""
+    """The valid bars with what the state reads of each."""
     made = {"session": S.market_session(F.col("ts")), "in_us": F.unix_micros("ts"), "in_day": F.unix_date(S.et_date(F.col("ts"))), "in_minute": S.minute_of_day(F.col("ts"))}
-    own = bars.withColumns(made).withColumns({f"in_{d}": FR.column(d).cast("double") for d in FR.DERIVED})
+    own = bars.filter(bar_fault().isNull()).withColumns(made).withColumns({f"in_{d}": FR.column(d).cast("double") for d in FR.DERIVED})
     return own.withColumnRenamed("session", "in_session")
 
 

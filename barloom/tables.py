@@ -1,10 +1,10 @@
-"""Cutting lineage: tables that outlive the executors that made them."""
+"""Tables that outlive the executors that made them."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -16,3 +16,9 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoints-", dir="/tmp"))
     return df.checkpoint()
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of a table that is no longer needed, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

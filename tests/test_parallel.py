@@ -10,6 +10,7 @@ from barloom.operators import metrics as M
 from barloom.operators import prefix as PX
 from barloom.operators import rule_index as RI
 from barloom.operators import rules as R
+from barloom.operators import toplists as K
 from barloom.plans import queries as Q
 from barloom.sources import normalize as N
 from pyspark.sql import functions as F
@@ -189,3 +190,50 @@ def test_nanosecond_instants(spark):
     nanos = [1_704_067_200_000_000_000 + 1000 * random.Random(5).randrange(10**12) + i for i in range(2000)]
     raw = spark.createDataFrame([(f'{{"ev":"T","sym":"X","p":3,"s":{i},"t":{n}}}',) for i, n in enumerate(nanos)], "raw string")
     assert {r["size"]: r.us for r in N.normalize(raw).select("size", F.unix_micros("ts").alias("us")).collect()} == {i: n // 1000 for i, n in enumerate(nanos)}
+
+
+def test_day_metrics_over_a_ring(spark):
+    bars = one_symbol(spark, 500).select("symbol", "ts", F.col("close").alias("open"), F.col("close").alias("high"), (F.col("close") - 1).alias("low"), "close", F.lit(2).cast("long").alias("volume"), "close", F.lit(1).cast("long").alias("trade_count")).toDF("symbol", "ts", "open", "high", "low", "close", "volume", "vwap", "trade_count")
+    rows = M.with_metrics(bars, ["volume_daily", "range_today", "premarket_volume"], ring=200).orderBy("ts").collect()
+    assert [r.volume_daily for r in rows] == [2 * min(i + 1, 200) for i in range(len(rows))]
+    for i in (0, 150, len(rows) - 1):
+        last = rows[max(0, i - 199) : i + 1]
+        assert math.isclose(rows[i].range_today, max(r.high for r in last) - min(r.low for r in last))
+
+
+def test_own_frames(spark):
+    """Metrics at the timeframe their name tells, from its last whole interval."""
+    bars = Q.user_bars(spark, SF)
+    names = ["ma_dist_ema9_15m_pct", "ma_dist_ema9_1m_pct", "relative_range_pct", "close"]
+    own, plain = ({(r.symbol, r.ts): r for r in M.with_metrics(bars, names, own_frames=o).collect()} for o in (True, False))
+    held = {(r.symbol, r.ts): r for r in M.with_metrics(bars, ["ema_9_15m", "atr_14_daily", "range_today"]).collect()}
+    assert own.keys() == plain.keys() and [r.close for r in own.values()] == [plain[k].close for k in own]
+    for k, r in own.items():
+        ema, atr = held[k].ema_9_15m, held[k].atr_14_daily
+        assert r.ma_dist_ema9_15m_pct == (None if ema is None else pytest.approx((r.close - ema) / ema * 100))
+        assert r.ma_dist_ema9_1m_pct == (None if plain[k].ma_dist_ema9_1m_pct is None else pytest.approx(plain[k].ma_dist_ema9_1m_pct))
+        assert r.relative_range_pct == (None if not atr else pytest.approx(held[k].range_today / atr * 100))
+    assert any(r.ma_dist_ema9_15m_pct is not None for r in own.values())
+
+
+def test_lists_of_a_user_and_changes_by_window(spark):
+    specs = [("a", "a", "volume", "5m", "desc", "u", True), ("b", "b", "volume", "5m", "desc", "u", False), ("c", "c", "volume", "5m", "desc", "w", True)]
+    made = [(*s, *[None] * 7, f"2024-01-0{i + 1} 00:00:00") for i, s in enumerate(specs)]
+    table = spark.createDataFrame(made, K.SPEC.replace("created_at timestamp", "created_at string")).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    assert [r.list_id for r in K.for_user(table, "u").collect()] == ["b", "a"] and [r.list_id for r in K.enabled(table).collect()] == ["c", "a"]
+    latest = spark.createDataFrame([("x", 1.0, 10, 1.0, 9.0, 5.0), ("y", 1.0, 10, 9.0, 1.0, 6.0)], "symbol string, close double, volume_daily long, price_change_1m_pct double, price_change_5m_pct double, volume_5m double")
+    asked = [("five", "n", "volume", "5m", "desc", None, True, None, 5.0), ("one", "n", "volume", "1m", "desc", None, True, None, 5.0)]
+    values = K.long_values(latest.withColumn("volume_1m", F.col("volume_5m")), ["volume_5m", "volume_1m"])
+    assert {(r.list_id, r.symbol) for r in K.ranked(values, K.spec_table(spark, asked)).collect()} == {("five", "x"), ("one", "y")}
+    assert K.filter_columns(asked) == ["price_change_1m_pct", "price_change_5m_pct", "volume_daily"] and K._column_of("relative_volume", "1h") == "relative_volume_60m"
+
+
+def test_indicator_metadata_and_short_ratio(spark):
+    I.register_indicator("twice_close", F.col("close") * 2, "twice the close", "price", {"times": 2})
+    rows = {r.name: r for r in I.catalogue(spark).collect()}
+    assert (rows["rsi_14"].category, rows["rsi_14"].parameters) == ("momentum", '{"periods": [14]}') and rows["vwap_5m"].parameters == '{"window": "5m"}'
+    assert rows["macd_12_26_9"].parameters == '{"periods": [12, 26, 9]}' and rows["bb_20_2.0"].parameters == '{"periods": [20, 2.0]}'
+    assert (rows["twice_close"].description, rows["twice_close"].kind) == ("twice the close", "registered")
+    table = spark.createDataFrame([("A", 100.0), ("B", 5.0)], "symbol string, shares_short double")
+    bars = spark.createDataFrame([("A", 50.0), ("B", 0.0), ("C", 1.0)], "symbol string, avg_volume_20d double")
+    assert {r.symbol: r.short_ratio for r in M.with_fundamentals(bars, table).collect()} == {"A": 2.0, "B": None, "C": None}

@@ -218,3 +218,22 @@ def test_snapshot_equals_panel(spark, streamed):
     panel = M.with_metrics(bars, names).filter(F.col("ts") == F.lit(at)).first()
     snap = M.snapshot(ticks.filter(F.col("ts") < F.lit(at) + F.expr("interval 1 minute")), at.replace(second=59, microsecond=999999), names).first()
     assert not [(n, snap[n], panel[n]) for n in names if not close_to(snap[n], panel[n])]
+
+
+def test_alert_streams_and_latest_values(spark, tmp_path):
+    """Two sinks of one alert stream; and the table of newest values, with its time to live."""
+    alerts = spark.createDataFrame([(f"i{i}", "r", "n", f"s{i % 3}", 1_700_000_000_000 + 250 * i, 1.0) for i in range(12)] + [("", "r", "n", "s0", 1_700_000_100_000, 1.0)], "id string, rule_id string, rule_name string, symbol string, ms long, price double")
+    alerts = alerts.withColumn("ts", F.timestamp_millis("ms"))
+    split(alerts, str(tmp_path / "in"), "2023-11-14 22:13:21")
+    source = stream_of(spark, alerts.schema, str(tmp_path / "in"))
+    users = spark.createDataFrame([("u", "r", ["s0", "s1"])], "user_id string, rule_id string, symbols array<string>")
+    for q in SC.alert_streams(source, str(tmp_path / "out"), str(tmp_path / "ck"), users):
+        q.awaitTermination()
+    raw, kept = (sorted(r.id for r in spark.read.parquet(str(tmp_path / "out" / n)).collect()) for n in ("alerts", "alerts.filtered"))
+    want = A.user_filter(A.dedup(A.valid_alerts(alerts)), users)
+    assert raw == sorted(f"i{i}" for i in range(12)) and len(kept) == want.count() and 0 < len(kept) < 8
+    SC.latest_stream(source.select("symbol", "ts", "price", "id"), str(tmp_path / "latest"), str(tmp_path / "ck3")).awaitTermination()
+    newest = {r.symbol: r.ts for r in alerts.groupBy("symbol").agg(F.max("ts").alias("ts")).collect()}
+    assert {r.symbol: r.ts for r in SC.read_latest(spark, str(tmp_path / "latest"), "2023-11-14 22:15:00").collect()} == newest
+    assert {r.symbol for r in SC.read_latest(spark, str(tmp_path / "latest"), "2023-11-14 22:23:25").collect()} == {"s0"}
+    assert len(list((tmp_path / "latest" / "latest" / "run=0").iterdir())) == 2
