@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,24 +41,26 @@ def dedup(alerts: DataFrame) -> DataFrame:
     return alerts.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def _everyone(subscriptions: DataFrame, most: int) -> list:
-    """The users who list nothing, at most `most`: they are carried with each alert, so their number is counted first."""
-    users = [r.user_id for r in subscriptions.filter(F.size("symbols") == 0).select("user_id").distinct().limit(most + 1).collect()]
-    if len(users) > most:
-        raise ValueError(f"more than {most} users are sent everything: deliver to them by a topic of all alerts instead")
-    return users
+def _everyone(subscriptions: DataFrame, block: int) -> Iterator[list]:
+    """The users who list nothing, in blocks of about `block` users, each collected by itself."""
+    users = subscriptions.filter(F.size("symbols") == 0).select("user_id").distinct()
+    parts = math.ceil(users.count() / block)
+    for part in range(parts):
+        yield [r.user_id for r in users.filter(F.pmod(F.xxhash64("user_id"), F.lit(parts)) == part).collect()]
 
 
-def subscribed(alerts: DataFrame, subscriptions: DataFrame, most: int = 10_000) -> DataFrame:
+def subscribed(alerts: DataFrame, subscriptions: DataFrame, block: int = 10_000) -> DataFrame:
     """alerts with the user_id of each subscriber(user_id, symbols) that lists their symbol or has an empty list.
 
     Users with an empty list are sent everything, so the result has a row for each alert and such user; they are exploded
-    where the alert is, without a shuffle. A null list subscribes to nothing."""
+    where the alert is, a block of users after the other, without a shuffle. A null list subscribes to nothing."""
     listed = subscriptions.select("user_id", F.explode("symbols").alias("symbol")).distinct()
     out = alerts.join(listed, "symbol").select(*alerts.columns, "user_id")
-    everyone = _everyone(subscriptions, most)
-    users = F.array(*map(F.lit, everyone)).cast(f"array<{subscriptions.schema['user_id'].dataType.simpleString()}>")
-    return out.unionByName(alerts.withColumn("user_id", F.explode(users))) if everyone else out
+    kind = f"array<{subscriptions.schema['user_id'].dataType.simpleString()}>"
+    for users in _everyone(subscriptions, block):
+        if users:
+            out = out.unionByName(alerts.withColumn("user_id", F.explode(F.array(*map(F.lit, users)).cast(kind))))
+    return out
 
 
 def user_filter(alerts: DataFrame, subscriptions: DataFrame) -> DataFrame:
