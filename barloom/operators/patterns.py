@@ -61,10 +61,12 @@ def level_patterns(level: str, near: float = 0.002, away: float = 0.005, n: int
 
 
 def running_60s(ticks: DataFrame) -> DataFrame:
-    """Tick level: price now against the oldest price within 60 seconds, absolute and in percent."""
-    w = Window.partitionBy("symbol").orderBy(F.unix_seconds("ts")).rangeBetween(-60, 0)
-    past = F.first("price").over(w)
-    return ticks.withColumns({"running_60s": C("price") - past, "running_60s_pct": F.when(past > 0, (C("price") - past) / past * 100)})
+    """Tick level: price now against the oldest price within 60 seconds, absolute and in percent. Of the ticks of one
+    second the first by ts, then seq, is the oldest, in whatever order they come."""
+    held = ticks.withColumn("_s", F.unix_seconds("ts")).repartition("symbol")
+    held = held.withColumn("_opened", F.first("price").over(Window.partitionBy("symbol", "_s").orderBy("ts", "seq")))
+    past = F.first("_opened").over(Window.partitionBy("symbol").orderBy("_s").rangeBetween(-60, 0))
+    return held.withColumns({"running_60s": C("price") - past, "running_60s_pct": F.when(past > 0, (C("price") - past) / past * 100)}).drop("_s", "_opened")
 
 
 def opening_range(bars: DataFrame) -> DataFrame:
