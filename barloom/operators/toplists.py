@@ -11,6 +11,8 @@ METRICS, WINDOWS, ORDERS = ("change_pct", "volume", "rsi", "relative_volume", "v
 SPEC = "list_id string, name string, metric string, time_window string, sort_order string, user_id string, enabled boolean, min_volume double, min_change_pct double, price_min double, price_max double, exchange string, market_cap_min double, market_cap_max double, created_at timestamp"
 
 
+#: Lists that are broadcast; more are joined by shuffle.
+FEW_LISTS = 10_000
 LIMITS = ("min_volume", "min_change_pct", "price_min", "price_max", "exchange", "market_cap_min", "market_cap_max")
 
 
@@ -92,6 +94,12 @@ def routed(specs: DataFrame) -> DataFrame:
     return specs.filter("enabled").withColumn("column", name).filter("column is not null")
 
 
+def _joined(long_values: DataFrame, asked: DataFrame) -> DataFrame:
+    """Values with the lists that ask for their metric. Metrics are few, so a shuffle by them would send all symbols to a
+    few tasks: the lists go to the values as long as they can be broadcast."""
+    return long_values.join(F.broadcast(asked) if asked.limit(FEW_LISTS + 1).count() <= FEW_LISTS else asked, "metric")
+
+
 def ranked(long_values: DataFrame, specs: DataFrame, n: int = 50, offset: int = 0) -> DataFrame:
     """(list_id, rank, symbol, value): one page of every list. long_values: symbol, metric, value, close, volume_daily,
     changes, and where lists ask for them exchange and market_cap.
@@ -103,7 +111,7 @@ def ranked(long_values: DataFrame, specs: DataFrame, n: int = 50, offset: int =
     asked = routed(specs).select("list_id", F.col("column").alias("metric"), "time_window", "sort_order", *LIMITS)
     passes = lambda limit, ok: F.col(limit).isNull() | F.coalesce(ok, F.lit(False))
     long_values = long_values.withColumns({c: F.lit(None).cast(t) for c, t in (("exchange", "string"), ("market_cap", "double")) if c not in long_values.columns})
-    rows = long_values.join(asked.withColumnRenamed("exchange", "only_exchange"), "metric").filter(
+    rows = _joined(long_values, asked.withColumnRenamed("exchange", "only_exchange")).filter(
         passes("min_volume", F.col("volume_daily") >= F.col("min_volume")) & passes("min_change_pct", F.try_element_at("changes", F.col("time_window")) >= F.col("min_change_pct"))
         & passes("only_exchange", F.col("exchange") == F.col("only_exchange"))
         & passes("market_cap_min", F.col("market_cap") >= F.col("market_cap_min")) & passes("market_cap_max", F.col("market_cap") <= F.col("market_cap_max"))
@@ -122,7 +130,7 @@ def single(snapshot: DataFrame, column: str, ascending: bool = False, n: int = 5
 
 def cardinality(long_values: DataFrame, specs: DataFrame) -> DataFrame:
     asked = routed(specs).select("list_id", F.col("column").alias("metric"))
-    return long_values.join(asked, "metric").groupBy("list_id").agg(F.countDistinct("symbol").alias("n"))
+    return _joined(long_values, asked).groupBy("list_id").agg(F.countDistinct("symbol").alias("n"))
 
 
 def newest_first(specs: DataFrame) -> DataFrame:
