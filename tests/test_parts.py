@@ -1,5 +1,6 @@
 """Tasks whose rows don't grow with the tables."""
 
+from barloom.operators import bars as B
 from barloom.operators import toplists as K
 from barloom.plans import queries as Q
 
@@ -16,3 +17,11 @@ def test_values_are_not_dealt_by_metric(spark, monkeypatch):
     want = sorted(page().collect())
     monkeypatch.setattr(K, "FEW_LISTS", 0)
     assert "hashpartitioning(metric" in plan(page()) and sorted(page().collect()) == want
+
+
+def test_day_bars_are_dealt_by_symbol_alone(spark, monkeypatch):
+    want = sorted(Q.QUERIES["avg_volume_nd"](spark, SF).collect(), key=repr)
+    monkeypatch.setattr(B, "PART_ROWS", 500)
+    assert Q.day_bars(spark, SF).rdd.getNumPartitions() == 12
+    assert "hashpartitioning(symbol#" in plan(Q.day_bars(spark, SF)) and plan(Q.day_bars(spark, SF)).count("Exchange") == 1
+    assert sorted(Q.QUERIES["avg_volume_nd"](spark, SF).collect(), key=repr) == want
