@@ -1,8 +1,7 @@
 """Alignment of two tokenizers' ids over the same bytes, and how often each pair of ids is linked in the corpus.
 
-Each side's cumulative byte ends are the keys of a dictionary to token indexes. The keys that both hold, in order, are
-where both tokenizers end a token: they slice the two id lists into groups. In a slice every pair of tokens whose bytes
-overlap is a link; the first token of either side that ends earlier makes way for its next one.
+The cumulative byte ends of one side are a hash set, and those of the other that it holds, in order, are where both
+tokenizers end a token: they slice the two id lists into groups. Every pair of tokens whose bytes overlap is a link.
 
 Each document's distinct pairs and their numbers are written once, as a table in the shared folder, and the corpus counts
 are sums over it, combined before the shuffle. Looking the counts up again needs no shuffle for the `known` most frequent
@@ -17,7 +16,6 @@ null id stays null; an empty table gives no rows; other columns are ignored. Mem
 from __future__ import annotations
 
 import base64
-import itertools
 
 import numpy as np
 import pandas as pd
@@ -60,37 +58,36 @@ class BytePairs:
         return self.encoding.encode_ordinary(text)
 
 
-def slices(ends_a: list[int], ends_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def slices(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where groups end: tokens of a and tokens of b up to each byte offset that ends a token on both sides."""
-    at_a, at_b = dict(zip(ends_a, itertools.count(1), strict=False)), dict(zip(ends_b, itertools.count(1), strict=False))
-    # Ends rise, so the keys of the one that the other has as well are in order as they come.
-    common = list(filter(at_b.__contains__, at_a))
-    return tuple(np.fromiter(map(at.__getitem__, common), np.int64, len(common)) for at in (at_a, at_b))
+    held, listed = set(ends_a.tolist()), ends_b.tolist()
+    stop_b = np.flatnonzero(np.fromiter(map(held.__contains__, listed), bool, len(listed))) + 1
+    # Ends rise, so those of both sides are in order as they come.
+    return np.searchsorted(ends_a, ends_b[stop_b - 1]) + 1, stop_b
 
 
-def aligned(a: np.ndarray, ends_a: list[int], b: np.ndarray, ends_b: list[int], names_a: list[str], names_b: list[str]) -> tuple[list[str], np.ndarray]:
-    """The groups as text, and the pair of each link. Groups of one token on both sides, the most, are one link each; the
-    others are expanded one by one."""
+def marked_names(size_a: int, size_b: int) -> list[str]:
+    """Ids with the mark behind them: of a inside and at the end of its part of a group, then so of b; for `aligned`."""
+    return [f"{i}{mark}" for size, marks in ((size_a, ",|"), (size_b, ",;")) for i in range(size) for mark in marks]
+
+
+def aligned(a: np.ndarray, ends_a: np.ndarray, b: np.ndarray, ends_b: np.ndarray, names: list[str], size_a: int) -> tuple[int, str, np.ndarray]:
+    """The number of groups, the groups as text, and the pair of each link; names: `marked_names`, size_a: its first size.
+
+    A group's tokens of a stand before its tokens of b, so a token's place is its own number and the other side's tokens of
+    the groups before (for b of its group too). The bytes that two tokens share end where one of them ends: each end of a is
+    a link with the token of b that holds it, and each end of b alone is one with the token of a around it."""
     stop_a, stop_b = slices(ends_a, ends_b)
-    from_a, from_b = np.r_[0, stop_a[:-1]], np.r_[0, stop_b[:-1]]
-    first_a, first_b = a[from_a], b[from_b]
-    groups = list(map("|".join, zip(map(names_a.__getitem__, first_a.tolist()), map(names_b.__getitem__, first_b.tolist()), strict=True)))
-    single = (stop_a - from_a == 1) & (stop_b - from_b == 1)
-    links = []
-    larger, all_a, all_b = np.flatnonzero(~single), a.tolist(), b.tolist()
-    for at, i, next_i, j, next_j in zip(*(x.tolist() for x in (larger, from_a[larger], stop_a[larger], from_b[larger], stop_b[larger])), strict=True):
-        held_a, held_b = all_a[i:next_i], all_b[j:next_j]
-        groups[at] = ",".join([names_a[x] for x in held_a]) + "|" + ",".join([names_b[x] for x in held_b])
-        if len(held_a) == 1 or len(held_b) == 1:
-            links += [x * SHIFT + y for x in held_a for y in held_b]
-            continue
-        m = n = 0
-        while m < len(held_a):
-            links.append(held_a[m] * SHIFT + held_b[n])
-            till_a, till_b = ends_a[i + m], ends_b[j + n]
-            m += till_a <= till_b
-            n += till_b <= till_a
-    return groups, np.concatenate([first_a[single] * SHIFT + first_b[single], np.array(links, np.int64)])
+    n_a, n_b = np.diff(stop_a, prepend=0), np.diff(stop_b, prepend=0)
+    text = np.empty(len(a) + len(b), np.int64)
+    place_a, place_b = np.arange(len(a)) + np.repeat(stop_b - n_b, n_a), np.arange(len(b)) + np.repeat(stop_a, n_b)
+    text[place_a], text[place_b] = 2 * a, 2 * (b + size_a)
+    text[place_a[stop_a - 1]] += 1
+    text[place_b[stop_b - 1]] += 1
+    alone = np.ones(len(b), bool)
+    alone[stop_b - 1] = False
+    links = np.r_[a * SHIFT + b[np.searchsorted(ends_b, ends_a)], a[np.searchsorted(ends_a, ends_b[alone])] * SHIFT + b[alone]]
+    return len(stop_a), "".join(map(names.__getitem__, text.tolist()))[:-1], links
 
 
 def align(docs: DataFrame, ranks: str, pattern: str, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,27 +100,27 @@ def align(docs: DataFrame, ranks: str, pattern: str, model: str, id_col: str = "
 
     def run(batches):
         first, second = BytePairs.cached(ranks, pattern), PieceBpe.cached(model)
-        names_a, names_b = ([str(i) for i in range(len(t.surfaces))] for t in (first, second))
+        names = marked_names(len(first.surfaces), len(second.surfaces))
         none = np.zeros(0, np.int64)
         size_a, size_b = (np.array([len(s) for s in t.surfaces]) for t in (first, second))
 
         def one(text, encoded):
             # Byte-level tokens always give the text back; pieces do, but that the mark they have for a space becomes one.
             if not text or SPACE in text:
-                return 0, 0, [], none
+                return 0, 0, 0, "", none
             a, b = np.array(first.encode(f" {text}"), np.int64), np.frombuffer(encoded, "<u4").astype(np.int64)
-            ends_a, ends_b = np.cumsum(size_a[a]).tolist(), np.cumsum(size_b[b]).tolist()
+            ends_a, ends_b = np.cumsum(size_a[a]), np.cumsum(size_b[b])
             if not ends_a[-1] == ends_b[-1] == 1 + len(text.encode()):
                 raise ValueError("the tokens of a text are not of its length")
-            return len(a), len(b), *aligned(a, ends_a, b, ends_b, names_a, names_b)
+            return len(a), len(b), *aligned(a, ends_a, b, ends_b, names, len(first.surfaces))
 
         for batch in batches:
             n_a, n_b, n_groups, n_links, groups, pairs, times = ([] for _ in range(7))
             texts = batch.column(1).to_pylist()
             for text, encoded in zip(texts, second.encode_all(texts), strict=True):
-                a, b, grouped, links = one(text, encoded)
+                a, b, grouped, told, links = one(text, encoded)
                 distinct, counted = np.unique(links, return_counts=True)
-                for column, value in ((n_a, a), (n_b, b), (n_groups, len(grouped)), (n_links, len(links)), (groups, ";".join(grouped)), (pairs, distinct), (times, counted.astype(np.int32))):
+                for column, value in ((n_a, a), (n_b, b), (n_groups, grouped), (n_links, len(links)), (groups, told), (pairs, distinct), (times, counted.astype(np.int32))):
                     column.append(value)
             bounds = pa.array(np.cumsum([0, *map(len, pairs)]), pa.int32())
             flat = [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([np.zeros(0, kind), *lists]), kind_)) for lists, kind, kind_ in ((pairs, np.int64, pa.int64()), (times, np.int32, pa.int32()))]
