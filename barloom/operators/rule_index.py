@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.operators import rules as R
+from barloom.tables import cut
 
 #: Conditions of one broadcast block, some 40 bytes each.
 BLOCK = 500_000
@@ -139,7 +140,7 @@ class RuleIndex:
                 row, rule = row[met | ~asked], rule[met | ~asked]
             yield row, rule
 
-    def scan(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def scan(self, batch: pa.RecordBatch, metadata: bool = True) -> Iterator[pa.RecordBatch]:
         """The matches of a batch with the columns symbol, ts, price, _session, _reach and the metrics."""
         held = [batch.column(f"_m{i}") for i in range(len(self.metrics))]
         n = batch.num_rows
@@ -151,35 +152,41 @@ class RuleIndex:
             for rows, rules in self.matches(values, given, session, reached):
                 for at in range(0, len(rows), MATCHES):
                     row, rule = rows[at : at + MATCHES], rules[at : at + MATCHES]
+                    told = [*[batch.column(c).take(pa.array(row)) for c in ("symbol", "ts", "price")], *[x.take(pa.array(rule)) for x in (self.ids, self.names)]]
+                    if not metadata:
+                        yield pa.RecordBatch.from_arrays(told, names=["symbol", "ts", "price", "rule_id", "rule_name"])
+                        continue
                     sizes = self.shown_sizes[rule]
                     first = np.repeat(self.shown_starts[rule] - np.cumsum(sizes) + sizes, sizes)
                     shown = self.shown[first + np.arange(len(first))]
                     keys = pa.DictionaryArray.from_arrays(pa.array(shown, pa.int32()), pa.array(self.metrics, pa.string())).dictionary_decode()
-                    metadata = pa.MapArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), keys, pa.array(values[shown, np.repeat(row, sizes)]))
-                    own = [batch.column(c).take(pa.array(row)) for c in ("symbol", "ts", "price")]
-                    yield pa.RecordBatch.from_arrays([*own, self.ids.take(pa.array(rule)), self.names.take(pa.array(rule)), metadata], names=["symbol", "ts", "price", "rule_id", "rule_name", "metadata"])
+                    shown_values = pa.MapArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), keys, pa.array(values[shown, np.repeat(row, sizes)]))
+                    yield pa.RecordBatch.from_arrays([*told, shown_values], names=["symbol", "ts", "price", "rule_id", "rule_name", "metadata"])
 
 
-def _blocks(rules: DataFrame, block: int) -> Iterator[pa.Table]:
-    """The enabled, valid rules in blocks of about `block` conditions (rules are spread by hash); one rule is never cut."""
+def _blocks(rules: DataFrame, block: int) -> Iterator[tuple[int, pa.Table]]:
+    """How many blocks there are, with each: the enabled, valid rules in blocks of about `block` conditions (rules are spread by hash); one rule is never cut."""
     flat = _flat(R.valid_rules(rules.filter("enabled")))
     total = flat.agg(F.sum(F.size("metric"))).first()[0] or 0
     parts = math.ceil(total / block)
     for part in range(parts):
-        yield (flat if parts == 1 else flat.filter(F.pmod(F.xxhash64("rule_id", "rule_name"), F.lit(parts)) == part)).toArrow()
+        yield parts, (flat if parts == 1 else flat.filter(F.pmod(F.xxhash64("rule_id", "rule_name"), F.lit(parts)) == part)).toArrow()
 
 
-def scan_table(metrics: DataFrame, rules: DataFrame, block: int = BLOCK) -> DataFrame:
+def scan_table(metrics: DataFrame, rules: DataFrame, block: int = BLOCK, metadata: bool = True) -> DataFrame:
     """`rules.scan`'s matches (symbol, ts, price, rule_id, rule_name, metadata) for a table of rules.
 
     metrics: symbol, ts, close, session and the metrics that rules read (`required`); a rule over a metric that is not
     there never matches. Only enabled, valid rules count, each row of the table for itself. A null value meets no
-    condition; NaN is above every number, as in Spark's comparisons. No rules give no matches.
+    condition; NaN is above every number, as in Spark's comparisons. No rules give no matches. Where rules are more than one
+    block, the metrics are computed once and kept. metadata: whether matches carry the values that their rules read.
     """
-    spark, schema = metrics.sparkSession, "symbol string, ts timestamp, price double, rule_id string, rule_name string, metadata map<string, double>"
+    spark, schema = metrics.sparkSession, "symbol string, ts timestamp, price double, rule_id string, rule_name string" + (", metadata map<string, double>" if metadata else "")
     named = set(metrics.columns)
     out = None
-    for flat in _blocks(rules, block):
+    for parts, flat in _blocks(rules, block):
+        if out is None and parts > 1:
+            metrics = cut(metrics)
         names = sorted(set(pc.list_flatten(flat.column("metric")).to_pylist()) & named)
         index = spark.sparkContext.broadcast(RuleIndex(flat, names))
         told = F.coalesce(*[F.when(F.col("session") == s, i) for i, s in enumerate(_SESSIONS)], F.lit(3)).alias("_session")
@@ -187,7 +194,7 @@ def scan_table(metrics: DataFrame, rules: DataFrame, block: int = BLOCK) -> Data
 
         def run(batches, index=index):
             for batch in batches:
-                yield from index.value.scan(batch)
+                yield from index.value.scan(batch, metadata)
 
         found = rows.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)

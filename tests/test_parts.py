@@ -1,6 +1,8 @@
 """Tasks whose rows don't grow with the tables."""
 
 from barloom.operators import bars as B
+from barloom.operators import metrics as M
+from barloom.operators import rule_index as RI
 from barloom.operators import toplists as K
 from barloom.plans import queries as Q
 
@@ -25,3 +27,11 @@ def test_day_bars_are_dealt_by_symbol_alone(spark, monkeypatch):
     assert Q.day_bars(spark, SF).rdd.getNumPartitions() == 12
     assert "hashpartitioning(symbol#" in plan(Q.day_bars(spark, SF)) and plan(Q.day_bars(spark, SF)).count("Exchange") == 1
     assert sorted(Q.QUERIES["avg_volume_nd"](spark, SF).collect(), key=repr) == want
+
+
+def test_metrics_are_computed_once_for_all_blocks_of_rules(spark):
+    rules = Q.order_rules(spark, SF)
+    metrics = M.with_metrics(Q.user_bars(spark, SF), RI.required(rules))
+    whole, parts = RI.scan_table(metrics, rules, metadata=False), RI.scan_table(metrics, rules, 200)
+    assert "metadata" not in whole.columns and "FileScan" in plan(whole) and "FileScan" not in plan(parts)
+    assert sorted(whole.collect()) == sorted(parts.drop("metadata").collect())
