@@ -1,10 +1,14 @@
 """N-gram Jaccard join with set-relation skipping, to connected components.
 
 Candidates. A document's set of k-word shingles, in hash order, is cut by hash range into m parts. Two sets of sizes in
-one band that reach the threshold differ in at most D elements, so with m > D parts some part is the same in both; m also
-leaves room for empty parts, and a set with more empty parts than that room posts its empty parts too, so no link is
-missed. Each part is a posting; documents that share a posting are tied to the list's smallest member (never pair by
-pair), first inside each scanning block, then globally, and the ties' components hold every link.
+one band that reach the threshold differ in at most D elements, so of m = D + 1 + r parts at least r + 1 are the same in
+both. Each set leaves out its r weakest parts: those with the fewest shingles that are not common (a list from a bounded
+sample), then the fewest shingles, then the lowest key. The strongest part that two such sets share has r weaker ones
+beside it in either set, so both keep it and no link is missed, whatever the list of common shingles; but phrases that
+many documents carry seldom tie them. Each kept part is a posting; documents that share a posting are tied to the list's
+smallest member (never pair by pair), first inside each scanning block, then globally, and the ties' components hold every
+link. Postings travel by stretches of their keys, packed, and cut to KEY_BYTES beyond the stretch: two keys that meet by
+the cut are a tie too many, and links are counted on the sets.
 
 Links. The sets of a component are grouped by size bands, of which only neighbours can be linked, and joined band by band
 in blocks of at most `block` sets: a band of one block in one task, larger ones in block pairs (at most 32 blocks until
@@ -25,6 +29,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -39,6 +44,10 @@ PERCENT = 85
 CHUNK_BYTES = 3_000_000
 BLOCK, MOST_BLOCKS, LARGEST_BLOCK = 192, 32, 20_000
 LARGEST_SHINGLES = 1_000_000
+#: Stretches of posting keys, and the bytes of a key that follow.
+SLOT_BITS, KEY_BYTES = 12, 5
+#: Shingles are common that stand in at least LEAST_COMMON of about SAMPLE_DOCS texts; MOST_COMMON of them are told.
+SAMPLE_DOCS, LEAST_COMMON, MOST_COMMON = 10_000, 3, 500_000
 NO_ID = 1 << 62
 
 
@@ -69,7 +78,7 @@ def shingle_sets(raws: list[bytes], k: int = SHINGLE, known: rc.Names | None = N
 
 
 class Parts:
-    """The cut of sets into parts, by size band."""
+    """The cut of sets into parts, by size band: (parts, how many of them are kept)."""
 
     def __init__(self, percent: int):
         self.percent, self.least, self.plans = percent, [1], []
@@ -78,21 +87,22 @@ class Parts:
         for k in range(len(self.least) - 1):
             most = 2 * (self.least[k + 1] - 1)
             differ = max(s - 2 * -(-percent * s // (100 + percent)) for s in range(max(1, most - 100), most + 1))
-            room = 2 + differ // 16 if differ else 0
-            self.plans.append((differ + room + 1, room))
+            self.plans.append((differ + 1 + (2 + differ // 4 if differ else 0), differ + 1))
         self.least = np.array(self.least)
 
-    def keys(self, names: np.ndarray) -> np.ndarray:
-        """The postings of a set: its parts as a member of its own size band and of the next."""
+    def keys(self, names: np.ndarray, common: np.ndarray | None = None) -> np.ndarray:
+        """The postings of a set: its strongest parts as a member of its own size band and of the next. common: which
+        shingles are."""
         band = int(np.searchsorted(self.least, len(names), "right")) - 1
         high, sums = names >> np.uint64(32), np.r_[np.uint64(0), np.cumsum(rc.mix(names))]
+        rare = np.arange(len(names) + 1) if common is None else np.r_[0, np.cumsum(~common)]
         out = []
         for k in (band, band + 1):
-            m, room = self.plans[k]
+            m, kept = self.plans[k]
             edges = np.searchsorted((high * np.uint64(m)) >> np.uint64(32), np.arange(m + 1, dtype=np.uint64))
-            empty = edges[1:] == edges[:-1]
             key = rc.mix(sums[edges[1:]] - sums[edges[:-1]] + _steps(m) + np.uint64(k * 0x9E3779B1))
-            out.append(key if empty.sum() > room else key[~empty])
+            strength = (np.diff(rare[edges]) << 32) + np.diff(edges)
+            out.append(key[np.lexsort((key, strength))[m - kept :]])
         return np.concatenate(out)
 
 
@@ -114,10 +124,41 @@ def _chunks(batches):
         yield block
 
 
-def _set_rows(k: int, percent: int):
-    """(key, a, b, id, shingles). With a key: a posting of document a (b is null), or a tie of a and b found inside the
-    block. Without one: document a, its id and size, and as b and mark the digest of its set (of an empty one, its key).
-    Of equal sets in a block only the smallest document posts."""
+def _counted(k: int):
+    """(shingle, n): in how many of a block's different sets each shingle stands."""
+
+    def run(batches):
+        known = rc.Names()
+        for block in _chunks(batches):
+            sets = {s.tobytes(): s for s in shingle_sets([r for _, r, _ in block], k, known)}
+            found, n = np.unique(np.concatenate([*sets.values(), np.zeros(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["shingle", "n"])
+
+    return run
+
+
+def common_shingles(rows: DataFrame, k: int) -> np.ndarray:
+    """Sorted names of at most MOST_COMMON shingles, the most frequent ones of a sample."""
+    sample = rows.sample(min(1.0, SAMPLE_DOCS / max(1, rows.count())), seed=1)
+    counts = sample.mapInArrow(_counted(k), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+    told = counts.filter(F.col("n") >= LEAST_COMMON).orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).select("shingle").toArrow()
+    return np.sort(told.column(0).to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _among(names: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    """Which names stand in a sorted list."""
+    if not len(listed):
+        return np.zeros(len(names), bool)
+    return listed[np.minimum(np.searchsorted(listed, names), len(listed) - 1)] == names
+
+
+FOUND = "slot bigint, base bigint, width int, packed binary, a bigint, b bigint, _id bigint, n_shingles bigint, mark bigint"
+
+
+def _set_rows(k: int, percent: int, common):
+    """Rows FOUND, of three kinds. Postings of a block with keys in one slot, packed (see `_packed`). A tie of documents a
+    and b found inside the block. Document a with its id and size, and as b and mark the digest of its set (of an empty
+    one, its key). Of equal sets in a block only the smallest document posts. common: a broadcast list."""
 
     def run(batches):
         parts, known = Parts(percent), rc.Names()
@@ -128,49 +169,101 @@ def _set_rows(k: int, percent: int):
             for mark, (key, _, _), s in zip(marks, block, sets, strict=True):
                 first[mark] = (min(key, first[mark][0]) if mark in first else key, s)
             halves = np.frombuffer(b"".join(marks), np.int64)
-            yield _set_batch(
-                pa.nulls(len(block), pa.int64()), [d for d, _, _ in block], pa.array(np.ascontiguousarray(halves[::2])),
-                pa.array([i for _, _, i in block], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.ascontiguousarray(halves[1::2])),
-            )
+            ids = np.array([d for d, _, _ in block], np.int64)
+            yield _found(
+                len(block), slot=rc.mix(ids.view(np.uint64)).view(np.int64), a=ids, b=np.ascontiguousarray(halves[::2]),
+                _id=pa.array([i for _, _, i in block], pa.int64()), n_shingles=np.array([len(s) for s in sets], np.int64), mark=np.ascontiguousarray(halves[1::2]),
+            )
             posted = [(d, s) for d, s in first.values() if len(s)]
             if not posted:
                 continue
-            made = [parts.keys(s) for _, s in posted]
+            ends = np.cumsum([len(s) for _, s in posted])
+            usual = np.split(_among(np.concatenate([s for _, s in posted]), common.value), ends[:-1])
+            made = [parts.keys(s, u) for (_, s), u in zip(posted, usual, strict=True)]
             keys, docs = np.concatenate(made), np.repeat(np.array([d for d, _ in posted], np.int64), [len(m) for m in made])
-            order = np.lexsort((docs, keys))
-            keys, docs = keys[order], docs[order]
-            heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            hub = np.repeat(docs[heads], np.diff(np.r_[heads, len(keys)]))
-            ties = np.unique(np.stack([hub, docs], 1)[hub != docs], axis=0)
-            b = pa.array(np.r_[np.zeros(len(heads), np.int64), ties[:, 1]], mask=np.r_[np.ones(len(heads), bool), np.zeros(len(ties), bool)])
-            spread = rc.mix(ties[:, 0].astype(np.uint64) ^ rc.mix(ties[:, 1].astype(np.uint64)))
-            none = pa.nulls(len(b), pa.int64())
-            yield _set_batch(np.r_[keys[heads], spread].view(np.int64), np.r_[docs[heads], ties[:, 0]], b, none, none, none)
+            keys, docs, ties = _tied(keys, docs)
+            yield _packed(keys, docs)
+            yield _found(len(ties), slot=rc.mix(ties[:, 0].astype(np.uint64) ^ rc.mix(ties[:, 1].astype(np.uint64))).view(np.int64), a=np.ascontiguousarray(ties[:, 0]), b=np.ascontiguousarray(ties[:, 1]))
 
     return run
 
 
-def _set_batch(key, a, b, ids, n, mark):
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(a, pa.int64()), b, ids, n, mark], names=["key", "a", "b", "_id", "n_shingles", "mark"])
+def _tied(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each key with its smallest document, ascending, and the ties of that with the key's others."""
+    order = np.lexsort((docs, keys))
+    keys, docs = keys[order], docs[order]
+    heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else order
+    hub = np.repeat(docs[heads], np.diff(np.r_[heads, len(keys)]))
+    return keys[heads], docs[heads], np.unique(np.stack([hub, docs], 1)[hub != docs], axis=0)
+
+
+def _found(n: int, **given) -> pa.RecordBatch:
+    fields = [(f.split()[0], {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[f.split()[1]]) for f in FOUND.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(given[c], t) if c in given else pa.nulls(n, t) for c, t in fields], names=[c for c, _ in fields])
+
+
+def _packed(keys: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
+    """Postings with ascending keys, a row for each slot: KEY_BYTES of each key after the slot's bits, and its document
+    less the least one of the block in as few bytes as the block's documents need."""
+    slot = (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    base = docs.min()
+    beyond = docs.view(np.uint64) - np.array([base]).view(np.uint64)
+    width = max(1, -(-int(beyond.max()).bit_length() // 8))
+    cells = np.empty((len(keys), KEY_BYTES + width), np.uint8)
+    cells[:, :KEY_BYTES] = _bytes(keys >> np.uint64(64 - SLOT_BITS - 8 * KEY_BYTES))[:, :KEY_BYTES]
+    cells[:, KEY_BYTES:] = _bytes(beyond)[:, :width]
+    heads = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
+    ends = np.r_[heads, len(keys)] * (KEY_BYTES + width)
+    packed = pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(cells)])
+    return _found(len(heads), slot=slot[heads], base=np.full(len(heads), base), width=np.full(len(heads), width, np.int32), packed=packed)
+
+
+def _bytes(x: np.ndarray) -> np.ndarray:
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)
+
+
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(key, document) of packed rows; a key is the slot's bits and the KEY_BYTES that follow."""
+    keys, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    slots, bases, widths = (batch.column(c).to_numpy() for c in ("slot", "base", "width"))
+    for width in np.unique(widths).tolist():
+        which = widths == width
+        rows = batch.column("packed").filter(pa.array(which)).to_pylist()
+        n = np.fromiter(map(len, rows), np.int64, len(rows)) // (KEY_BYTES + width)
+        cells = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, KEY_BYTES + width)
+        both = np.zeros((2, len(cells), 8), np.uint8)
+        both[0, :, :KEY_BYTES], both[1, :, :width] = cells[:, :KEY_BYTES], cells[:, KEY_BYTES:]
+        low, beyond = both.view("<u8")[..., 0]
+        keys.append((np.repeat(slots[which], n).view(np.uint64) << np.uint64(8 * KEY_BYTES)) | low)
+        docs.append((np.repeat(bases[which], n).view(np.uint64) + beyond).view(np.int64))
+    return np.concatenate(keys), np.concatenate(docs)
 
 
 def _tie_rows(batches):
-    """From postings sorted by key: each member of a list tied to the list's first."""
-    last, hub = None, 0
+    """From rows sorted by slot: ties and documents as they came, and each member of a posting list tied to the list's
+    first. A slot's postings are held until the next slot."""
+    held, now = [], None
+
+    def told():
+        ties = _tied(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))[2]
+        return _found(len(ties), a=np.ascontiguousarray(ties[:, 0]), b=np.ascontiguousarray(ties[:, 1])).select(KEPT)
+
     for batch in batches:
-        key, a = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        tied = batch.column(2)
-        inside = ~np.asarray(tied.is_null())
-        out = [np.stack([a[inside], tied.filter(pa.array(inside)).to_numpy(zero_copy_only=False)], 1)]
-        key, a = key[~inside], a[~inside]
-        if len(key):
-            new = np.r_[last is None or key[0] != last, key[1:] != key[:-1]]
-            at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-            own = np.where(at < 0, hub, a[at])
-            out.append(np.stack([own, a], 1)[own != a])
-            last, hub = key[-1], own[-1]
-        both = np.unique(np.concatenate(out).astype(np.int64), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], names=["a", "b"])
+        packed = batch.column("packed").is_valid()
+        yield batch.filter(pc.invert(packed)).select(KEPT)
+        posted = batch.filter(packed)
+        if not posted.num_rows:
+            continue
+        keys, docs = _unpacked(posted)
+        last = posted.column("slot")[-1].as_py()
+        if last != now:
+            own = keys >> np.uint64(8 * KEY_BYTES) == np.uint64(last)
+            held.append((keys[~own], docs[~own]))
+            yield told()
+            held, now, keys, docs = [], last, keys[own], docs[own]
+        held.append((keys, docs))
+    if held:
+        yield told()
 
 
 def _pressed(batches):
@@ -275,6 +368,9 @@ def _edges(pairs):
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
 
+KEPT = ["a", "b", "_id", "n_shingles", "mark"]
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
 
@@ -282,13 +378,13 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK, shingles: int = LARGEST_SHINGLES) -> DataFrame:
     """(doc, _id, n_shingles, component): component is the smallest document key reachable by links."""
     rows = _rows(docs, id_col, text_col)
-    # One pass, stored: a second scan may cut other blocks, and what is posted depends on them.
-    found = materialize(rows.mapInArrow(_set_rows(k, percent), "key bigint, a bigint, b bigint, _id bigint, n_shingles bigint, mark bigint"), "sets")
-    postings = found.filter("key is not null").select("key", "a", "b")
-    ties = postings.repartition("key").sortWithinPartitions("key").mapInArrow(_tie_rows, "a bigint, b bigint")
-    clusters = components(ties)
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, k))
+    # One pass for both, as a second scan may cut other blocks, and what is posted depends on them. What is stored are the ties alone.
+    found = rows.mapInArrow(_set_rows(k, percent, common), FOUND).repartition("slot").sortWithinPartitions("slot")
+    found = materialize(found.mapInArrow(_tie_rows, "a bigint, b bigint, _id bigint, n_shingles bigint, mark bigint"), "sets")
+    clusters = components(found.filter("n_shingles is null").select("a", "b"))
     # Equal sets are one from here on: the smallest document with the set stands for all, its twins.
-    marked = found.filter("key is null").select(F.col("a").alias("doc"), "_id", "n_shingles", "b", "mark")
+    marked = found.filter("n_shingles is not null").select(F.col("a").alias("doc"), "_id", "n_shingles", "b", "mark")
     one = marked.groupBy("b", "mark").agg(F.min("doc").alias("twin"))
     sized = materialize(marked.join(one, ["b", "mark"]).select("doc", "_id", "n_shingles", "twin"), "sized")
     ratio = 100 / (percent - 1)  # a little over the largest ratio of linked sizes, so that linked sets are at most one band apart
