@@ -16,7 +16,8 @@ def components(edges: DataFrame) -> DataFrame:
     that both sides of each join are plain scans, which lets AQE split a hub's rows.
     """
     ways = F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))))
-    both = materialize(edges.select(ways.alias("e")).select("e.*").filter("u <> v").distinct(), "edges", few=True)
+    once = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+    both = materialize(once.select(ways.alias("e")).select("e.*"), "edges", few=True)
     labels = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label"))
     labels = materialize(labels, "labels", few=True)
     while True:

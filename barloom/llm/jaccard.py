@@ -5,9 +5,9 @@ one band that reach the threshold differ in at most D elements, so of m = D + 1
 both. Each set leaves out its r weakest parts: those with the fewest shingles that are not common (a list from a bounded
 sample), then the fewest shingles, then the lowest key. The strongest part that two such sets share has r weaker ones
 beside it in either set, so both keep it and no link is missed, whatever the list of common shingles; but phrases that
-many documents carry seldom tie them. Each kept part is a posting; documents that share a posting are tied to the list's
-smallest member (never pair by pair), first inside each scanning block, then globally, and the ties' components hold every
-link. Postings travel by stretches of their keys, packed, and cut to KEY_BYTES beyond the stretch: two keys that meet by
+many documents carry seldom tie them. Each kept part is a posting; documents that share a posting are tied to the
+smallest one that they are connected with (never pair by pair), first inside each scanning block, then in each stretch of
+keys, and the ties' components hold every link. Postings travel by stretches of their keys, packed, and cut to KEY_BYTES beyond the stretch: two keys that meet by
 the cut are a tie too many, and links are counted on the sets.
 
 Links. The sets of a component are grouped by size bands, of which only neighbours can be linked, and joined band by band
@@ -46,6 +46,8 @@ BLOCK, MOST_BLOCKS, LARGEST_BLOCK = 192, 32, 20_000
 LARGEST_SHINGLES = 1_000_000
 #: Stretches of posting keys, and the bytes of a key that follow.
 SLOT_BITS, KEY_BYTES = 12, 5
+#: Ties that a task holds before it passes them on.
+MOST_TIES = 200_000
 #: Shingles are common that stand in at least LEAST_COMMON of about SAMPLE_DOCS texts; MOST_COMMON of them are told.
 SAMPLE_DOCS, LEAST_COMMON, MOST_COMMON = 10_000, 3, 500_000
 NO_ID = 1 << 62
@@ -189,12 +191,32 @@ def _set_rows(k: int, percent: int, common):
 
 
 def _tied(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each key with its smallest document, ascending, and the ties of that with the key's others."""
+    """Each key once, ascending, with the document that stands for its own, and the ties (see `_forest`) that the lists make."""
     order = np.lexsort((docs, keys))
     keys, docs = keys[order], docs[order]
     heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else order
     hub = np.repeat(docs[heads], np.diff(np.r_[heads, len(keys)]))
-    return keys[heads], docs[heads], np.unique(np.stack([hub, docs], 1)[hub != docs], axis=0)
+    ties = _forest(hub[hub != docs], docs[hub != docs])
+    keys, docs = keys[heads], docs[heads]
+    at = np.minimum(np.searchsorted(ties[:, 1], docs), max(len(ties) - 1, 0))
+    return keys, np.where(ties[at, 1] == docs, ties[at, 0], docs) if len(ties) else docs, ties
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Ties that connect what those of a and b do, in order of their second document: each with the smallest one that it
+    is connected with, so that a document has one tie at most, however many lists it shares with others."""
+    nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+    label, u, v = np.arange(len(nodes)), at[: len(a)], at[len(a) :]
+    while True:
+        low, least = label.copy(), np.minimum(label[u], label[v])
+        for which in (u, v, label[u], label[v]):
+            np.minimum.at(low, which, least)
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return np.stack([nodes[label[moved]], nodes[moved]], 1)
 
 
 def _found(n: int, **given) -> pa.RecordBatch:
@@ -240,12 +262,16 @@ def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _tie_rows(batches):
-    """From rows sorted by slot: ties and documents as they came, and each member of a posting list tied to the list's
-    first. A slot's postings are held until the next slot."""
-    held, now = [], None
+    """From rows sorted by slot: ties and documents as they came, and the ties that a slot's posting lists make.
+    A slot's postings are held until the next slot, and ties until they are MOST_TIES or the last ones."""
+    held, now, made = [], None, [np.zeros((0, 2), np.int64)]
+
+    def tie():
+        made.append(_tied(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))[2])
 
     def told():
-        ties = _tied(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))[2]
+        ties = _forest(*np.concatenate(made).T)
+        made[1:] = []
         return _found(len(ties), a=np.ascontiguousarray(ties[:, 0]), b=np.ascontiguousarray(ties[:, 1])).select(KEPT)
 
     for batch in batches:
@@ -259,11 +285,14 @@ def _tie_rows(batches):
         if last != now:
             own = keys >> np.uint64(8 * KEY_BYTES) == np.uint64(last)
             held.append((keys[~own], docs[~own]))
-            yield told()
+            tie()
+            if sum(map(len, made)) > MOST_TIES:
+                yield told()
             held, now, keys, docs = [], last, keys[own], docs[own]
         held.append((keys, docs))
     if held:
-        yield told()
+        tie()
+    yield told()
 
 
 def _pressed(batches):
@@ -420,7 +449,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows with a null id stay, unless they are linked with a row that has one.
     """
     found = classes(docs, id_col, text_col, k, percent)
-    gone = materialize(found.filter((F.col("doc") != F.col("component")) & ((F.col("doc") < NO_ID) | (F.col("component") < NO_ID))).select(F.col("doc").alias("_gone")).distinct(), "near-copies")
+    gone = materialize(found.filter((F.col("doc") != F.col("component")) & ((F.col("doc") < NO_ID) | (F.col("component") < NO_ID))).select(F.col("doc").alias("_gone")).distinct(), "near-copies", few=True)
+    repeated = materialize(found.filter("_id is not null").groupBy(F.col("_id").alias("_again")).count().filter("count > 1").select("_again"), "repeated-ids", few=True)
+    gone, repeated = small(gone), small(repeated)
     own = docs.columns
     tagged = docs.select(*[docs[c].alias(f"_c{i}") for i, c in enumerate(own)])
     at, text = f"_c{own.index(id_col)}", f"_c{own.index(text_col)}"
@@ -433,6 +464,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     with_id = tagged.filter(F.col(at).isNotNull()).join(gone, F.col(at).cast("long") == F.col("_gone"), "left_anti")
     without = tagged.filter(F.col(at).isNull()).withColumn("_key", key(F.col(at), F.col(text))).join(gone, F.col("_key") == F.col("_gone"), "left_anti").drop("_key")
+    # Only rows whose id comes again are brought together by it, so that the other texts stay where they are.
+    again = F.col(at).cast("long") == F.col("_again")
     one = Window.partitionBy(at).orderBy(F.lit(1))
-    with_id = with_id.withColumn("_row", F.row_number().over(one)).filter("_row = 1").drop("_row")
-    return with_id.unionByName(without).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(own)])
+    several = with_id.join(repeated, again, "left_semi").withColumn("_row", F.row_number().over(one)).filter("_row = 1").drop("_row")
+    return with_id.join(repeated, again, "left_anti").unionByName(several).unionByName(without).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(own)])

@@ -68,3 +68,37 @@ def test_packed_postings_come_back():
         by = np.lexsort((which, keys))
         again = np.lexsort((back, cut))
         assert (cut[again] == (keys >> np.uint64(64 - jaccard.SLOT_BITS - 8 * jaccard.KEY_BYTES))[by]).all() and (np.sort(back) == np.sort(which)).all()
+
+
+def test_near_copies_have_one_tie_a_stretch_and_block(spark, stored):
+    """Ninety near copies share many lists; before, each was tied to the first of every one of them."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    rows = [(i, " ".join(base[: 4 * i] + [f"n{i}"] + base[4 * i + 1 :])) for i in range(90)]
+    found = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {r.component_id for r in found} == {0}
+    inside = stored["sets"].filter("n_shingles is null").select("a", "b")
+    assert inside.distinct().count() <= 90
+
+
+def test_forest_connects_what_ties_do():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 5, 60, 200):
+        a, b = rng.integers(-50, 50, n), rng.integers(-50, 50, n)
+        name = {x: x for x in (*a.tolist(), *b.tolist())}
+        for _ in range(len(name)):
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                name[x] = name[y] = min(name[x], name[y])
+        got = jaccard._forest(a, b)
+        assert {y: x for x, y in got.tolist()} == {x: low for x, low in name.items() if x != low} and (np.diff(got[:, 1]) > 0).all()
+
+
+def test_only_rows_of_repeated_ids_are_brought_together(spark):
+    rows = [(i, f"{i} a b c d e f g {i}") for i in range(50)] + [(3, "3 a b c d e f g 3")] * 2 + [(None, "no id here"), (None, "no id here")]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.filter("doc_id is not null").collect()) == list(range(50))
+    assert kept.filter("doc_id is null").count() == 2
+    plain = jaccard.one_of_each(spark.createDataFrame(rows[:50], "doc_id long, text string"))
+    plan = plain._jdf.queryExecution().optimizedPlan().toString()
+    window = re.search(r"Window \[row_number(.|\n)*?LeftSemi", plan)
+    assert window and plain.count() == 50
